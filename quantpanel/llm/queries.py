@@ -1,15 +1,18 @@
 """The registered queries of this subpackage and their SQL."""
 
-from quantpanel.llm import decontaminate, exact_dedup, language, license_scan, sharding, toxicity
+from quantpanel.llm import decontaminate, exact_dedup, language, license_scan, line_dedup, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_license_scan": license_scan.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_decontamination": decontaminate.query,
     "op6_sharding": sharding.query,
+    "op7_line_dedup": line_dedup.query,
+    "op8_simhash": simhash.query,
     "op9_toxicity": toxicity.query,
     "op10_language": language.query,
 }
 SQL = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op7_line_dedup": line_dedup.SQL,
 }
