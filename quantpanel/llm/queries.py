@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from quantpanel.llm import decontaminate, exact_dedup, language, license_scan, line_dedup, sharding, simhash, toxicity
+from quantpanel.llm import decontaminate, exact_dedup, language, license_scan, line_dedup, sentencepiece, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece.query,
     "op2_license_scan": license_scan.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_decontamination": decontaminate.query,
