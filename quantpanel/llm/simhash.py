@@ -91,7 +91,7 @@ def group_bits(corr: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def plan(sample: np.ndarray, total: int, distance: int, probe_cost: float = 10.0) -> Plan:
+def plan(sample: np.ndarray, total: int, distance: int, probe_cost: float = 50.0) -> Plan:
     """The cheapest partitions and thresholds for `total` fingerprints; a probe costs as much as `probe_cost` comparisons."""
     bits = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(float) if len(sample) else np.zeros((0, BITS))
     signs = bits * 2 - 1
@@ -264,7 +264,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, grams binary")
 
 
-def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 10, nearest: int = 4) -> DataFrame:
+def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14, nearest: int = 4) -> DataFrame:
     """(doc_id, component_id) of the documents in a group of two or more; ids are taken as unique.
 
     Candidates are the `nearest` closest fingerprints within the distance in each bucket, and the first document of an
@@ -294,7 +294,7 @@ def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 10) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14) -> DataFrame:
     """The rows of `docs` that stay: of each group of near duplicates the smallest id."""
     dropped = verified_duplicates(docs, size, similarity, distance).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
