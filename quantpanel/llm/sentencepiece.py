@@ -26,6 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,31 +187,54 @@ def fold_merges(masked: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, p: Pieces, block_bytes: int = 40_000_000) -> DataFrame:
     """One row per input row: doc_id, ids (array of int), text_sha256."""
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: dict[int, set[str]]) -> Iterator[pa.RecordBatch]:
-            for b, words in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b, np.int32)), pa.array(list(words), pa.string())], ["block", "word"])
+        """The distinct words of each block, packed: sorted lines, compressed."""
+
+        def out(held: dict[int, set[str]]) -> pa.RecordBatch:
+            packs = [zstandard.compress("\n".join(sorted(words - {"\n"})).encode("utf-8", "surrogatepass")) for words in held.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packs, pa.binary())], ["block", "words"])
 
         held: dict[int, set[str]] = {}
         for batch in batches:
             for b, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 held.setdefault(b, set()).update(words_of(text))
             if sum(map(len, held.values())) > 1_000_000:
-                yield from out(held)
+                yield out(held)
                 held = {}
-        yield from out(held)
+        yield out(held)
+
+    def merge(key: tuple, packs: pa.Table) -> pa.Table:
+        words = {"\n"}.union(*(zstandard.decompress(x).decode("utf-8", "surrogatepass").split("\n") for x in packs.column("words").to_pylist())) - {""}
+        return pa.table({"block": pa.array(np.full(len(words), key[0].as_py(), np.int32)), "word": pa.array(sorted(words), pa.string())})
 
-    needed = cut(dealt.select("block", "text").mapInArrow(collect, "block int, word string").distinct())
-    # A fixed number of partitions: the words are few bytes but much work, and adaptive execution would join them.
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    codes = encode_words(needed.select("word").distinct().repartition(partitions, "word"), p)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of each block of a batch as one compressed Arrow stream."""
+        for batch in batches:
+            part = np.asarray(batch.column("block"))
+            held = np.unique(part)
+            packs = []
+            for b in held:
+                rows = pa.Table.from_batches([batch]).take(np.flatnonzero(part == b)).select(["doc_id", "text"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(rows)
+                packs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(packs, pa.binary())], ["block", "pack"])
+
+    needed = cut(dealt.select("block", "text").mapInArrow(collect, "block int, words binary").groupBy("block").applyInArrow(merge, "block int, word string"))
+    # The words are few bytes but much work: partitions of some thousand words, whatever their bytes.
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-needed.count() // 20_000))
+    codes = encode_words(needed.select("word").repartition(partitions, "word").dropDuplicates(["word"]), p)
     answers = needed.join(codes, "word").select("block", "word", "ids")
 
-    def assemble(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def assemble(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = [pa.ipc.open_stream(x).read_all() for x in packs.column("pack").to_pylist()]
+        texts = pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
         place = dict(zip(answers.column("word").to_pylist(), range(answers.num_rows), strict=True))
         lists = answers.column("ids").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
@@ -229,7 +254,7 @@ def encode(docs: DataFrame, p: Pieces, block_bytes: int = 40_000_000) -> DataFra
         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *flat]).astype(np.int32)))
         return pa.table({"doc_id": texts.column("doc_id"), "ids": ids, "text_sha256": pa.array(sha, pa.string())})
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>, text_sha256 string")
+    return dealt.mapInArrow(pack, "block int, pack binary").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>, text_sha256 string")
 
 
 def decode(tokens: DataFrame, p: Pieces) -> DataFrame:
