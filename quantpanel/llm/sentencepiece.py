@@ -185,7 +185,7 @@ def fold_merges(masked: DataFrame) -> DataFrame:
     return masked.select("word", F.expr(f"element_at(transform(array({borders}), borders -> {tokens}), 1)").alias("ids"))
 
 
-def encode(docs: DataFrame, p: Pieces, block_bytes: int = 40_000_000) -> DataFrame:
+def encode(docs: DataFrame, p: Pieces, block_bytes: int = 16_000_000) -> DataFrame:
     """One row per input row: doc_id, ids (array of int), text_sha256."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
