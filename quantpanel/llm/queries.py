@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from quantpanel.llm import decontaminate, exact_dedup, language, license_scan, line_dedup, sentencepiece, sharding, simhash, toxicity
+from quantpanel.llm import decontaminate, exact_dedup, language, license_scan, line_dedup, sentencepiece, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.query,
     "op2_license_scan": license_scan.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_decontamination": decontaminate.query,
     "op6_sharding": sharding.query,
