@@ -8,7 +8,7 @@
    For BPE models, whose ids the sum of scores doesn't give, the fold applies the best merge among the edges that join
    two neighbouring tokens, until none is left; a long holds the token borders. Both equal the library's ids.
    Words above `MOST` characters, too long for a 64-bit border set, are encoded by the same rules in `long_word`.
-4. Texts are dealt into blocks of some megabytes; each block gets the codes of the words it holds, not of all words.
+4. Texts are dealt into blocks of some megabytes; each block asks for the codes of the words it holds, not of all words.
 
 Characters outside the vocabulary become byte pieces. Decoding joins the pieces and drops the space in front.
 
@@ -21,12 +21,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,19 +126,19 @@ def long_word(word: str, p: Pieces, known: dict[str, tuple[int, float]]) -> list
 
 
 def lattice(words: DataFrame, p: Pieces) -> DataFrame:
-    """(word, edges): array of (start, len, score, ids), by start and length. A character without piece is an edge of bytes."""
+    """(part, word, edges): array of (start, len, score, ids), by start and length. A character without piece is an edge of bytes."""
     spark = words.sparkSession
     pieces = spark.createDataFrame(p.pieces, "piece string, id int, score double")
     if len(p.pieces) <= 1_000_000:
         pieces = F.broadcast(pieces)
-    starts = words.select("word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("start"))
-    parts = starts.select("word", "start", F.explode(F.expr(f"sequence(1, least({p.longest}, length(word) - start))")).alias("len"))
+    starts = words.select("part", "word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("start"))
+    parts = starts.select("part", "word", "start", F.explode(F.expr(f"sequence(1, least({p.longest}, length(word) - start))")).alias("len"))
     parts = parts.withColumn("piece", F.expr("substring(word, start + 1, len)"))
     ids = ", ".join(map(str, p.byte_ids))
     spelled = F.expr(f"transform(sequence(1, octet_length(piece)), i -> element_at(array({ids}), 1 + cast(conv(substring(hex(piece), 2 * i - 1, 2), 16, 10) as int)))")
     edges = parts.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
     edge = F.struct("start", "len", F.coalesce("score", F.lit(p.unknown_score)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled).alias("ids"))
-    return edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy("part", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def fold_viterbi() -> Column:
@@ -151,24 +151,24 @@ def fold_viterbi() -> Column:
 
 
 def encode_words(words: DataFrame, p: Pieces) -> DataFrame:
-    """(word, ids) of distinct, non-empty words."""
+    """(part, word, ids) of the distinct, non-empty words of (part, word); nothing is shuffled if they are partitioned by part."""
     short = lattice(words.where(F.length("word") <= MOST), p)
     if p.kind == "bpe":
-        masked = short.select("word", F.expr(
+        masked = short.select("part", "word", F.expr(
             "transform(edges, e -> named_struct('start', e.start, 'score', e.score, 'ids', e.ids, "
             "'ends', shiftleft(1L, e.start) | shiftleft(1L, e.start + e.len), 'inner', shiftleft(1L, e.start + e.len) - shiftleft(1L, e.start + 1)))"
         ).alias("edges"))
         folded = fold_merges(masked)
     else:
-        folded = short.select("word", fold_viterbi().alias("ids"))
+        folded = short.select("part", "word", fold_viterbi().alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {t: (i, s) for t, i, s in p.pieces}
         for batch in batches:
             ids = [long_word(w, p, known) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["part", "word", "ids"])
 
-    return folded.union(words.where(F.length("word") > MOST).mapInArrow(run, "word string, ids array<int>"))
+    return folded.union(words.where(F.length("word") > MOST).mapInArrow(run, "part int, word string, ids array<int>"))
 
 
 def fold_merges(masked: DataFrame) -> DataFrame:
@@ -182,22 +182,39 @@ def fold_merges(masked: DataFrame) -> DataFrame:
     borders = f"element_at(transform(array(filter(edges, e -> e.inner != 0)), longer -> {borders}), 1)"
     tokens = "flatten(transform(filter(edges, e -> (borders & (e.ends | e.inner)) = e.ends), e -> e.ids))"
     # As arguments of a lambda, the longer edges and the borders are computed once for the word.
-    return masked.select("word", F.expr(f"element_at(transform(array({borders}), borders -> {tokens}), 1)").alias("ids"))
+    return masked.select("part", "word", F.expr(f"element_at(transform(array({borders}), borders -> {tokens}), 1)").alias("ids"))
 
 
-def encode(docs: DataFrame, p: Pieces, block_bytes: int = 16_000_000) -> DataFrame:
-    """One row per input row: doc_id, ids (array of int), text_sha256."""
+def squeezed(words: list[str]) -> bytes:
+    """Sorted words as compressed lines; the line end itself, which is a word of its own, is left out."""
+    return zstandard.compress("\n".join(words).encode("utf-8", "surrogatepass"), 3)
+
+
+def loosened(pack: bytes) -> list[str]:
+    text = zstandard.decompress(pack).decode("utf-8", "surrogatepass")
+    return text.split("\n") if text else []
+
+
+def part_of(word: str, parts: int) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % parts
+
+
+def encode(docs: DataFrame, p: Pieces, block_bytes: int = 16_000_000, part_words: int = 8_000) -> DataFrame:
+    """One row per input row: doc_id, ids (array of int), text_sha256.
+
+    Texts are dealt into blocks, distinct words into parts. A block asks each part for the words that it holds, in sorted
+    order, and gets their ids back in that order, so words travel compressed, once to their part.
+    """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each block, packed: sorted lines, compressed."""
+        """The distinct words of each block."""
 
         def out(held: dict[int, set[str]]) -> pa.RecordBatch:
-            packs = [zstandard.compress("\n".join(sorted(words - {"\n"})).encode("utf-8", "surrogatepass")) for words in held.values()]
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packs, pa.binary())], ["block", "words"])
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([squeezed(sorted(w - {"\n"})) for w in held.values()], pa.binary())], ["block", "words"])
 
         held: dict[int, set[str]] = {}
         for batch in batches:
@@ -208,51 +225,89 @@ def encode(docs: DataFrame, p: Pieces, block_bytes: int = 16_000_000) -> DataFra
                 held = {}
         yield out(held)
 
+    gathered = cut(dealt.select("block", "text").mapInArrow(collect, "block int, words binary"))
+    # Only for parallelism: distinct words grow with a power of the text, some three million in 860 MB here.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(3e6 * (total / 8.6e8) ** 0.7 / part_words))
+
+    def ask(key: tuple, packs: pa.Table) -> pa.Table:
+        """A block's requests: for each part the words it holds, sorted."""
+        held: dict[int, list[str]] = {}
+        for w in sorted(set().union(*map(loosened, packs.column("words").to_pylist()))):
+            held.setdefault(part_of(w, parts), []).append(w)
+        return pa.table({"block": pa.array([key[0].as_py()] * len(held), pa.int32()), "part": pa.array(list(held), pa.int32()), "words": pa.array([squeezed(w) for w in held.values()], pa.binary())})
+
+    requests = cut(gathered.groupBy("block").applyInArrow(ask, "block int, part int, words binary"))
+
     def merge(key: tuple, packs: pa.Table) -> pa.Table:
-        words = {"\n"}.union(*(zstandard.decompress(x).decode("utf-8", "surrogatepass").split("\n") for x in packs.column("words").to_pylist())) - {""}
-        return pa.table({"block": pa.array(np.full(len(words), key[0].as_py(), np.int32)), "word": pa.array(sorted(words), pa.string())})
+        words = sorted(set().union(*map(loosened, packs.column("words").to_pylist())))
+        return pa.table({"part": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.string())})
+
+    # A fixed number of partitions: the words are few bytes but much work.
+    dealt_requests = requests.repartition(parts, "part")
+    words = dealt_requests.select("part", "words").groupBy("part").applyInArrow(merge, "part int, word string")
+    # A part's words fit in a hash aggregate; beyond 128 keys it would be sorted.
+    limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, 4 * part_words)
+    try:
+        codes = cut(encode_words(words, p))
+    finally:
+        spark.conf.set(limit, before)
+
+    def answer(asked: pa.Table, codes: pa.Table) -> pa.Table:
+        """To each block its words' ids in the order asked for: lengths, then ids."""
+        ids = dict(zip(codes.column("word").to_pylist(), codes.column("ids").to_pylist(), strict=True))
+        out = []
+        for pack in asked.column("words").to_pylist():
+            found = [ids[w] for w in loosened(pack)]
+            out.append(zstandard.compress(np.array([len(x) for x in found], np.uint32).tobytes() + np.array([i for x in found for i in x], np.uint32).tobytes(), 3))
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "n": pa.array([len(loosened(x)) for x in asked.column("words").to_pylist()], pa.int32()), "ids": pa.array(out, pa.binary())})
+
+    answers = requests.groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(answer, "block int, part int, n int, ids binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts of each block of a batch as one compressed Arrow stream."""
+        codec = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
         for batch in batches:
-            part = np.asarray(batch.column("block"))
-            held = np.unique(part)
-            packs = []
+            block = np.asarray(batch.column("block"))
+            held, packs = np.unique(block), []
             for b in held:
-                rows = pa.Table.from_batches([batch]).take(np.flatnonzero(part == b)).select(["doc_id", "text"])
+                rows = pa.Table.from_batches([batch]).take(np.flatnonzero(block == b)).select(["doc_id", "text"])
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                with pa.ipc.new_stream(sink, rows.schema, options=codec) as w:
                     w.write_table(rows)
                 packs.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(packs, pa.binary())], ["block", "pack"])
 
-    needed = cut(dealt.select("block", "text").mapInArrow(collect, "block int, words binary").groupBy("block").applyInArrow(merge, "block int, word string"))
-    # The words are few bytes but much work: partitions of some thousand words, whatever their bytes.
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-needed.count() // 20_000))
-    codes = encode_words(needed.select("word").repartition(partitions, "word").dropDuplicates(["word"]), p)
-    answers = needed.join(codes, "word").select("block", "word", "ids")
+    newline = [p.byte_ids[10]]
 
     def assemble(packs: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = [pa.ipc.open_stream(x).read_all() for x in packs.column("pack").to_pylist()]
-        texts = pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
-        place = dict(zip(answers.column("word").to_pylist(), range(answers.num_rows), strict=True))
-        lists = answers.column("ids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-        values = np.asarray(lists.flatten()) if answers.num_rows else np.zeros(0, np.int32)
-        sizes = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64) if answers.num_rows else np.zeros(0, np.int64)
-        first = np.cumsum(sizes) - sizes
-        flat, offsets, sha = [], [0], []
-        for text in texts.column("text").to_pylist():
+        tables = [pa.ipc.open_stream(x).read_all() for x in packs.column("pack").to_pylist()]
+        rows = [(d, t) for x in tables for d, t in zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist(), strict=True)]
+        listed = [words_of(t) for _, t in rows]
+        held: dict[int, list[str]] = {}
+        for w in sorted(set().union(*listed) - {"\n"}):
+            held.setdefault(part_of(w, parts), []).append(w)
+        place, sizes, values = {"\n": 0}, [np.ones(1, np.int64)], [np.array(newline, np.uint32)]
+        for part, n, raw in zip(answers.column("part").to_pylist(), answers.column("n").to_pylist(), answers.column("ids").to_pylist(), strict=True):
+            got = np.frombuffer(zstandard.decompress(raw), np.uint32)
+            at = len(place)
+            place.update(zip(held[part], range(at, at + n), strict=True))
+            sizes.append(got[:n].astype(np.int64))
+            values.append(got[n:])
+        size, value = np.concatenate(sizes), np.concatenate(values).astype(np.int32)
+        first = np.cumsum(size) - size
+        flat, offsets, sha = [np.zeros(0, np.int32)], [0], []
+        for (_, text), words in zip(rows, listed, strict=True):
             sha.append(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest())
-            words = words_of(text)
             at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            n = sizes[at]
+            n = size[at]
             end = np.cumsum(n)
-            total = int(end[-1]) if len(end) else 0
-            flat.append(values[np.repeat(first[at] - (end - n), n) + np.arange(total)])
-            offsets.append(offsets[-1] + total)
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *flat]).astype(np.int32)))
-        return pa.table({"doc_id": texts.column("doc_id"), "ids": ids, "text_sha256": pa.array(sha, pa.string())})
+            count = int(end[-1]) if len(end) else 0
+            flat.append(value[np.repeat(first[at] - (end - n), n) + np.arange(count)])
+            offsets.append(offsets[-1] + count)
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
+        return pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "ids": ids, "text_sha256": pa.array(sha, pa.string())})
 
     return dealt.mapInArrow(pack, "block int, pack binary").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>, text_sha256 string")
 
