@@ -403,7 +403,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of = lambda what: grouped.where(F.col("what") == what).select("place", "pack")
     texts = keyed.mapInArrow(pack_texts, "place int, pack binary")
     fetched = texts.groupBy("place").cogroup(of("ask").groupBy("place")).applyInArrow(fetch, "place int, pack binary")
-    decided = cut(of("wait").groupBy("place").cogroup(fetched.groupBy("place")).applyInArrow(decide, "place int, pack binary"))
+    # A fixed number of partitions: the runs are few bytes but much work, and adaptive execution would join them.
+    waiting, fetched = of("wait").repartition(shards, "place"), fetched.repartition(shards, "place")
+    decided = cut(waiting.groupBy("place").cogroup(fetched.groupBy("place")).applyInArrow(decide, "place int, pack binary"))
     return texts.groupBy("place").cogroup(of("span").union(decided).groupBy("place")).applyInArrow(finish, "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
