@@ -208,6 +208,36 @@ def smallest_docs(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
 
 
 def resolve(groups: np.ndarray, strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
+    """smallest_docs of all strings; those of a group can be equal in part, and `groups` is sorted.
+
+    A window whose hash stands alone has no equal one. Only stretches of the other windows go to the suffix array, which
+    compares their bytes.
+    """
+    if not strings:
+        return []
+    buf = np.frombuffer(b"".join(strings), np.uint8)
+    n, sizes = len(buf), np.array([len(s) for s in strings])
+    counts, first = sizes - LENGTH + 1, np.cumsum(sizes) - sizes
+    forward, back = powers(BASE, n), powers(BACK, n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTES[buf] * back, dtype=np.uint64, out=sums[1:])
+    owner = np.repeat(np.arange(len(strings)), counts)
+    begin = np.cumsum(counts) - counts
+    start = np.arange(len(owner)) + (first - begin)[owner]
+    _, inverse, seen = np.unique(mixed((sums[start + LENGTH] - sums[start]) * forward[start]), return_inverse=True, return_counts=True)
+    often = seen[inverse] > 1
+    low = docs[owner]
+    edge = np.concatenate([[True], owner[1:] != owner[:-1]])
+    new = often & (edge | ~np.concatenate([[False], often[:-1]]))
+    at = np.flatnonzero(new)
+    length = np.bincount(np.cumsum(new)[often] - 1, minlength=len(at))
+    pieces = [buf[a : a + k + LENGTH - 1].tobytes() for a, k in zip(start[at].tolist(), length.tolist(), strict=True)]
+    for a, k, found in zip(at.tolist(), length.tolist(), in_chunks(groups[owner[at]], pieces, docs[owner[at]]), strict=True):
+        low[a : a + k] = found
+    return np.split(low, begin[1:])
+
+
+def in_chunks(groups: np.ndarray, strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """smallest_docs by group (`groups` is sorted), in chunks of whole groups; a larger group by its single windows."""
     out: list[np.ndarray] = []
     cuts = np.concatenate([np.flatnonzero(np.diff(groups, prepend=-1)), [len(groups)]])
