@@ -173,11 +173,11 @@ class Labeller:
             self.new = []
 
     def probabilities(self, rows: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """Of texts with words: their numbers, lengths and word probabilities, some 100,000 words at a time."""
+        """Of texts with words: their numbers, lengths and word probabilities, some 400,000 words at a time."""
         order = sorted((i for i, r in enumerate(rows) if len(r)), key=lambda i: len(rows[i]))
         while order:
             take, longest = [], 0
-            while order and (not take or (len(take) + 1) * longest <= 100_000):
+            while order and (not take or (len(take) + 1) * longest <= 400_000):
                 longest = max(longest, len(rows[order[-1]]))
                 take.append(order.pop())
             lengths = np.array([len(rows[i]) for i in take])
@@ -231,8 +231,8 @@ def identify(docs: DataFrame, field: Field | None) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             best, score = ["und"] * len(texts), np.zeros(len(texts))
-            for at in range(0, len(texts), 500) if labeller else ():
-                rows = [labeller.rows(words_of(t)) for t in texts[at : at + 500]]
+            for at in range(0, len(texts), 4_000) if labeller else ():
+                rows = [labeller.rows(words_of(t)) for t in texts[at : at + 4_000]]
                 labeller.settle()
                 for take, lengths, probs in labeller.probabilities(rows):
                     mean = probs.sum(1) / lengths[:, None]
