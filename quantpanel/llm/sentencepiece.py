@@ -7,7 +7,7 @@
 3. Fold: a higher-order aggregate folds the edges of a word. For unigram models it is Viterbi: the best path to each end.
    For BPE models, whose ids the sum of scores doesn't give, the fold applies the best merge among the edges that join
    two neighbouring tokens, until none is left; a long holds the token borders. Both equal the library's ids.
-   Words above `MOST` characters, too long for a 64-bit border set, are encoded by the same rules in `long_word`.
+   Words above `MOST` characters, too long for a 64-bit border set, come with the ids that `long_word` finds by the same rules.
 4. Texts are dealt into blocks of some megabytes; each block asks for the codes of the words it holds, not of all words.
 
 Characters outside the vocabulary become byte pieces. Decoding joins the pieces and drops the space in front.
@@ -126,19 +126,20 @@ def long_word(word: str, p: Pieces, known: dict[str, tuple[int, float]]) -> list
 
 
 def lattice(words: DataFrame, p: Pieces) -> DataFrame:
-    """(part, word, edges): array of (start, len, score, ids), by start and length. A character without piece is an edge of bytes."""
+    """(part, word, long_ids, edges): array of (start, len, score, ids), by start and length. A character without piece is an edge of bytes."""
     spark = words.sparkSession
     pieces = spark.createDataFrame(p.pieces, "piece string, id int, score double")
     if len(p.pieces) <= 1_000_000:
         pieces = F.broadcast(pieces)
-    starts = words.select("part", "word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("start"))
-    parts = starts.select("part", "word", "start", F.explode(F.expr(f"sequence(1, least({p.longest}, length(word) - start))")).alias("len"))
+    # A word that comes with ids needs no lattice; one edge keeps its row.
+    starts = words.select("part", "word", "long_ids", F.explode(F.expr("sequence(0, if(long_ids IS NULL, length(word) - 1, 0))")).alias("start"))
+    parts = starts.select("part", "word", "long_ids", "start", F.explode(F.expr(f"sequence(1, if(long_ids IS NULL, least({p.longest}, length(word) - start), 1))")).alias("len"))
     parts = parts.withColumn("piece", F.expr("substring(word, start + 1, len)"))
     ids = ", ".join(map(str, p.byte_ids))
     spelled = F.expr(f"transform(sequence(1, octet_length(piece)), i -> element_at(array({ids}), 1 + cast(conv(substring(hex(piece), 2 * i - 1, 2), 16, 10) as int)))")
     edges = parts.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
     edge = F.struct("start", "len", F.coalesce("score", F.lit(p.unknown_score)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled).alias("ids"))
-    return edges.groupBy("part", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy("part", "word").agg(F.first("long_ids").alias("long_ids"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def fold_viterbi() -> Column:
@@ -150,25 +151,23 @@ def fold_viterbi() -> Column:
     return F.expr(f"element_at(aggregate(sequence(1, length(word)), array(cast(named_struct('score', 0D, 'ids', array()) as struct<score:double,ids:array<int>>)), {step}), -1).ids")
 
 
+def with_long_ids(words: list[str], p: Pieces, known: dict[str, tuple[int, float]]) -> pa.Array:
+    """Ids of the words that are too long for the fold, null for the others."""
+    return pa.array([long_word(w, p, known) if len(w) > MOST else None for w in words], pa.list_(pa.int32()))
+
+
 def encode_words(words: DataFrame, p: Pieces) -> DataFrame:
-    """(part, word, ids) of the distinct, non-empty words of (part, word); nothing is shuffled if they are partitioned by part."""
-    short = lattice(words.where(F.length("word") <= MOST), p)
+    """(part, word, ids) of distinct, non-empty (part, word, long_ids); nothing is shuffled if they are partitioned by part."""
+    edges = lattice(words, p)
     if p.kind == "bpe":
-        masked = short.select("part", "word", F.expr(
+        masked = edges.select("part", "word", "long_ids", F.expr(
             "transform(edges, e -> named_struct('start', e.start, 'score', e.score, 'ids', e.ids, "
             "'ends', shiftleft(1L, e.start) | shiftleft(1L, e.start + e.len), 'inner', shiftleft(1L, e.start + e.len) - shiftleft(1L, e.start + 1)))"
         ).alias("edges"))
         folded = fold_merges(masked)
     else:
-        folded = short.select("part", "word", fold_viterbi().alias("ids"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {t: (i, s) for t, i, s in p.pieces}
-        for batch in batches:
-            ids = [long_word(w, p, known) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["part", "word", "ids"])
-
-    return folded.union(words.where(F.length("word") > MOST).mapInArrow(run, "part int, word string, ids array<int>"))
+        folded = edges.select("part", "word", "long_ids", F.when(F.col("long_ids").isNull(), fold_viterbi()).alias("ids"))
+    return folded.select("part", "word", F.coalesce("long_ids", "ids").alias("ids"))
 
 
 def fold_merges(masked: DataFrame) -> DataFrame:
@@ -182,7 +181,7 @@ def fold_merges(masked: DataFrame) -> DataFrame:
     borders = f"element_at(transform(array(filter(edges, e -> e.inner != 0)), longer -> {borders}), 1)"
     tokens = "flatten(transform(filter(edges, e -> (borders & (e.ends | e.inner)) = e.ends), e -> e.ids))"
     # As arguments of a lambda, the longer edges and the borders are computed once for the word.
-    return masked.select("part", "word", F.expr(f"element_at(transform(array({borders}), borders -> {tokens}), 1)").alias("ids"))
+    return masked.select("part", "word", "long_ids", F.when(F.col("long_ids").isNull(), F.expr(f"element_at(transform(array({borders}), borders -> {tokens}), 1)")).alias("ids"))
 
 
 def squeezed(words: list[str]) -> bytes:
@@ -225,7 +224,7 @@ def encode(docs: DataFrame, p: Pieces, block_bytes: int = 16_000_000, part_words
                 held = {}
         yield out(held)
 
-    gathered = cut(dealt.select("block", "text").mapInArrow(collect, "block int, words binary"))
+    gathered = dealt.select("block", "text").mapInArrow(collect, "block int, words binary")
     # Only for parallelism: distinct words grow with a power of the text, some three million in 860 MB here.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(3e6 * (total / 8.6e8) ** 0.7 / part_words))
 
@@ -240,30 +239,25 @@ def encode(docs: DataFrame, p: Pieces, block_bytes: int = 16_000_000, part_words
 
     def merge(key: tuple, packs: pa.Table) -> pa.Table:
         words = sorted(set().union(*map(loosened, packs.column("words").to_pylist())))
-        return pa.table({"part": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.string())})
+        known = {t: (i, s) for t, i, s in p.pieces} if any(len(w) > MOST for w in words) else {}
+        return pa.table({"part": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.string()), "long_ids": with_long_ids(words, p, known)})
 
     # A fixed number of partitions: the words are few bytes but much work.
     dealt_requests = requests.repartition(parts, "part")
-    words = dealt_requests.select("part", "words").groupBy("part").applyInArrow(merge, "part int, word string")
-    # A part's words fit in a hash aggregate; beyond 128 keys it would be sorted.
-    limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(limit)
-    spark.conf.set(limit, 4 * part_words)
-    try:
-        codes = cut(encode_words(words, p))
-    finally:
-        spark.conf.set(limit, before)
+    words = dealt_requests.groupBy("part").applyInArrow(merge, "part int, word string, long_ids array<int>").repartition(parts, "part")
+    codes = encode_words(words, p)
 
     def answer(asked: pa.Table, codes: pa.Table) -> pa.Table:
         """To each block its words' ids in the order asked for: lengths, then ids."""
         ids = dict(zip(codes.column("word").to_pylist(), codes.column("ids").to_pylist(), strict=True))
-        out = []
+        out, counts = [], []
         for pack in asked.column("words").to_pylist():
             found = [ids[w] for w in loosened(pack)]
+            counts.append(len(found))
             out.append(zstandard.compress(np.array([len(x) for x in found], np.uint32).tobytes() + np.array([i for x in found for i in x], np.uint32).tobytes(), 3))
-        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "n": pa.array([len(loosened(x)) for x in asked.column("words").to_pylist()], pa.int32()), "ids": pa.array(out, pa.binary())})
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "n": pa.array(counts, pa.int32()), "ids": pa.array(out, pa.binary())})
 
-    answers = requests.groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(answer, "block int, part int, n int, ids binary")
+    answers = dealt_requests.groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(answer, "block int, part int, n int, ids binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts of each block of a batch as one compressed Arrow stream."""

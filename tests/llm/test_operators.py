@@ -312,7 +312,7 @@ def test_viterbi_fold_finds_the_best_path(spark):
     p = sentencepiece.Pieces("unigram", pieces, list(range(10, 266)), [b""] * 266, 3)
     known = {t: (i, s) for t, i, s in pieces}
     words = ["▁" + "".join(w) for n in range(1, 6) for w in itertools.product("abc", repeat=n)]
-    got = {r.word: list(r.ids) for r in sentencepiece.encode_words(spark.createDataFrame([(0, w) for w in words], "part int, word string"), p).collect()}
+    got = {r.word: list(r.ids) for r in sentencepiece.encode_words(spark.createDataFrame([(0, w, None) for w in words], "part int, word string, long_ids array<int>"), p).collect()}
     score = lambda ids: sum({i: s for _, i, s in pieces}.get(i, p.unknown_score) for i in ids)
     for w in words:
         assert score(got[w]) == pytest.approx(score(sentencepiece.long_word(w, p, known)))
