@@ -25,17 +25,17 @@ from quantpanel.llm.common import cut, table
 LOWEST = -(2**63)
 
 
-def at_or_after(key: tuple[int, int]) -> Column:
-    return (F.col("h") > F.lit(key[0])) | ((F.col("h") == F.lit(key[0])) & (F.col("oid") >= F.lit(key[1])))
+def place(bounds: list[tuple[int, int]]) -> Column:
+    """Number of sorted `bounds` at or below the row's key, as a balanced tree of comparisons."""
 
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        h, oid = bounds[mid]
+        return f"if(h > {h}L OR (h = {h}L AND oid >= {oid}L), {tree(mid + 1, high)}, {tree(low, mid)})"
 
-def place(bounds: list[tuple[int, int]], low: int = 0, high: int | None = None) -> Column:
-    """Number of sorted `bounds` at or below the row's key, as a balanced tree of comparisons."""
-    high = len(bounds) if high is None else high
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(at_or_after(bounds[mid]), place(bounds, mid + 1, high)).otherwise(place(bounds, low, mid))
+    return F.expr(tree(0, len(bounds)))
 
 
 def quantiles(keys: list[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
