@@ -198,7 +198,7 @@ def part_of(word: str, parts: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % parts
 
 
-def encode(docs: DataFrame, p: Pieces, block_bytes: int = 16_000_000, part_words: int = 8_000) -> DataFrame:
+def encode(docs: DataFrame, p: Pieces, block_bytes: int = 10_000_000, part_words: int = 8_000) -> DataFrame:
     """One row per input row: doc_id, ids (array of int), text_sha256.
 
     Texts are dealt into blocks, distinct words into parts. A block asks each part for the words that it holds, in sorted
@@ -278,23 +278,28 @@ def encode(docs: DataFrame, p: Pieces, block_bytes: int = 16_000_000, part_words
     def assemble(packs: pa.Table, answers: pa.Table) -> pa.Table:
         tables = [pa.ipc.open_stream(x).read_all() for x in packs.column("pack").to_pylist()]
         rows = [(d, t) for x in tables for d, t in zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist(), strict=True)]
-        listed = [words_of(t) for _, t in rows]
-        held: dict[int, list[str]] = {}
-        for w in sorted(set().union(*listed) - {"\n"}):
-            held.setdefault(part_of(w, parts), []).append(w)
-        place, sizes, values = {"\n": 0}, [np.ones(1, np.int64)], [np.array(newline, np.uint32)]
+        number: dict[str, int] = {}
+        coded = []  # the texts as numbers of words: the words themselves would take most of a worker's memory
+        for _, text in rows:
+            words = words_of(text)
+            coded.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        held: dict[int, list[int]] = {}
+        for w in sorted(number.keys() - {"\n"}):
+            held.setdefault(part_of(w, parts), []).append(number[w])
+        size, first, values, at = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [np.array(newline, np.uint32)], 1
+        if "\n" in number:
+            size[number["\n"]] = 1
+        del number
         for part, n, raw in zip(answers.column("part").to_pylist(), answers.column("n").to_pylist(), answers.column("ids").to_pylist(), strict=True):
             got = np.frombuffer(zstandard.decompress(raw), np.uint32)
-            at = len(place)
-            place.update(zip(held[part], range(at, at + n), strict=True))
-            sizes.append(got[:n].astype(np.int64))
+            size[held[part]] = got[:n]
+            first[held[part]] = at + np.cumsum(got[:n]) - got[:n]
             values.append(got[n:])
-        size, value = np.concatenate(sizes), np.concatenate(values).astype(np.int32)
-        first = np.cumsum(size) - size
+            at += len(got) - n
+        value = np.concatenate(values).astype(np.int32)
         flat, offsets, sha = [np.zeros(0, np.int32)], [0], []
-        for (_, text), words in zip(rows, listed, strict=True):
+        for (_, text), at in zip(rows, coded, strict=True):
             sha.append(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest())
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
             n = size[at]
             end = np.cumsum(n)
             count = int(end[-1]) if len(end) else 0
@@ -313,8 +318,8 @@ def decode(tokens: DataFrame, p: Pieces) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for at in range(0, len(batch), 500):
-                for ids in batch.column("ids")[at : at + 500].to_pylist():
+            for at in range(0, len(batch), 100):
+                for ids in batch.column("ids")[at : at + 100].to_pylist():
                     line = b"".join(map(names.__getitem__, ids or ())).decode("utf-8", "replace")
                     texts.append(line[1:] if line.startswith(" ") else line)
                     counts.append(len(ids or ()))
