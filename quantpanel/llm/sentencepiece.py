@@ -219,7 +219,7 @@ def encode(docs: DataFrame, p: Pieces, block_bytes: int = 10_000_000, part_words
         for batch in batches:
             for b, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 held.setdefault(b, set()).update(words_of(text))
-            if sum(map(len, held.values())) > 1_000_000:
+            if sum(map(len, held.values())) > 300_000:
                 yield out(held)
                 held = {}
         yield out(held)
