@@ -50,20 +50,23 @@ def hashes(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in parts]), ">u8")
 
 
-def fingerprint(text: str | None, size: int) -> int:
+def fingerprint(text: str | None, size: int, distinct: bool = False) -> int:
+    """The majority of the shingles' hash bits; with `distinct`, a repeated shingle counts once."""
     h = hashes(shingles(text, size))
+    if distinct:
+        h = np.unique(h).astype(">u8")
     if not len(h):
         return 0
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, size: int) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int, distinct: bool = False) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], np.uint64)
+            fp = np.array([fingerprint(t, size, distinct) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -267,10 +270,11 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14, nearest: int = 4) -> DataFrame:
     """(doc_id, component_id) of the documents in a group of two or more; ids are taken as unique.
 
+    Fingerprints count distinct shingles, as the similarity does: a line repeated in one copy doesn't move it away.
     Candidates are the `nearest` closest fingerprints within the distance in each bucket, and the first document of an
     equal fingerprint; links are those whose shingle sets have the similarity.
     """
-    fps = cut(fingerprints(docs, size))
+    fps = cut(fingerprints(docs, size, distinct=True))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     near = links(classes, sampled_plan(classes, distance), distance, nearest)
     reps = classes.select("fp", "rep")

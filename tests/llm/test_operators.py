@@ -193,6 +193,15 @@ def test_verified_duplicates(spark, empty):
     assert simhash.keep_one_of_each(empty).count() == 0
 
 
+def test_a_repeated_footer_does_not_hide_a_copy(spark):
+    rows = []
+    for k in range(8):
+        footer = " " + prose(200 + k, 12)
+        rows += [(10 * k, prose(k, 400) + footer), (10 * k + 1, prose(k, 400) + footer * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one_of_each(df).collect()} == {10 * k for k in range(8)}
+
+
 def test_components_of_a_chain(spark):
     n = 300
     order = np.random.default_rng(0).permutation(n).tolist()
