@@ -9,8 +9,8 @@ emits links that connect what its links connect, never all pairs of a group.
 
 Equal fingerprints are one class before anything is probed; only class members move with the final join.
 
-`near_duplicates` links fingerprints alone. `verified_duplicates` takes a wider distance and confirms each candidate by
-the Jaccard similarity of the shingle sets.
+`near_duplicates` links fingerprints alone. `verified_duplicates` takes a wider distance and confirms candidates by the
+Jaccard similarity of the shingle sets: all of them, but for those whose ends are connected already.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and is linked like any other; a text
 of fewer words than a shingle is one shingle; null ids never become component ids unless a class has no other; repeated
@@ -267,16 +267,147 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, grams binary")
 
 
+def near_others(p: Plan, i: int, probe: tuple[np.ndarray, np.ndarray], home: tuple[np.ndarray, np.ndarray], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (in `probe`, in `home`) of the candidates of one bucket of partition i, in blocks of a million comparisons.
+
+    Both sides are fingerprints and groups. Candidates lie within the distance and in different groups; of all buckets
+    where a pair meets only the one of its first partition has it, and only from its larger side.
+    """
+    (fp_p, group_p), (fp_h, group_h) = probe, home
+    masks = [(np.uint64(sum(1 << (BITS - 1 - b) for b in part)), t) for part, t in zip(p.parts[:i], p.thresholds[:i], strict=True) if t >= 0]
+    step = max(1, 1_000_000 // max(1, len(fp_h)))
+    for at in range(0, len(fp_p), step):
+        f, g = fp_p[at : at + step, None], group_p[at : at + step, None]
+        x, y = np.nonzero((np.bitwise_count(f ^ fp_h) <= distance) & ((f > fp_h) | ((f == fp_h) & (g > group_h))) & (g != group_h))
+        x += at
+        differ = fp_p[x] ^ fp_h[y]
+        first = np.ones(len(x), bool)
+        for mask, t in masks:
+            first &= np.bitwise_count(differ & mask) > t
+        yield x[first], y[first]
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of each key of batches that are sorted by `key`."""
+    rest = None
+    for batch in batches:
+        got = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        rest = got if rest is None else [np.concatenate(x) for x in zip(rest, got, strict=True)]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(rest[0])) + 1])
+        for a, b in zip(edges, edges[1:]):
+            yield [x[a:b] for x in rest]
+        rest = [x[edges[-1] :] for x in rest]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+SKETCH = 1024
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of SKETCH bits for each set: how often each residue occurs, odd or even. Rows differ in no more bits than sets in members."""
+    odd = np.array([np.bincount(s & np.uint32(SKETCH - 1), minlength=SKETCH) & 1 for s in sets], np.uint8).reshape(-1, SKETCH)
+    return np.packbits(odd, axis=1).view(np.uint64)
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def remaining_links(docs: DataFrame, members: DataFrame, p: Plan, size: int, similarity: float, distance: int) -> DataFrame:
+    """(u, v): verified links that connect what all verified candidates of different groups connect.
+
+    `members` has doc_id, fp, grp. First the rows of buckets that have a candidate of another group are found; only they
+    fetch their shingle sets. Then every candidate of a bucket is verified whose groups no link of that bucket has
+    connected yet: no pair is written anywhere, and none is left out.
+    """
+    spots = members.select("fp", "grp").distinct()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = [within(len(part), t) if t >= 0 else None for part, t in zip(p.parts, p.thresholds, strict=True)]
+        for batch in batches:
+            for at in range(0, len(batch), 2_000):
+                fp, grp = (batch.column(n)[at : at + 2_000].to_numpy() for n in ("fp", "grp"))
+                for i, (part, mask) in enumerate(zip(p.parts, masks, strict=True)):
+                    if mask is None:
+                        continue
+                    key = (part_values(fp.view(np.uint64), part)[:, None] ^ mask[None, :]) | (i << 48)
+                    home = np.zeros(key.shape, bool)
+                    home[:, 0] = True
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), np.repeat(fp, len(mask)), np.repeat(grp, len(mask)), home.ravel())], ["key", "fp", "grp", "home"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for key, fp, grp, home in by_bucket(batches, ["key", "fp", "grp", "home"]):
+            if len(key) < 2 or not home.any():
+                continue
+            at_home, used = np.flatnonzero(home), np.zeros(len(key), bool)
+            f = fp.view(np.uint64)
+            for x, y in near_others(p, int(key[0]) >> 48, (f, grp), (f[at_home], grp[at_home]), distance):
+                used[x] = True
+                used[at_home[y]] = True
+            if used.any():
+                out.append([c[used] for c in (key, fp, grp, home)])
+                held += len(out[-1][0])
+            if held > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "fp", "grp", "home"])
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "fp", "grp", "home"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fp, grp, home, doc, grams in by_bucket(batches, ["key", "fp", "grp", "home", "doc_id", "grams"]):
+            at_home = np.flatnonzero(home)
+            f, sets = fp.view(np.uint64), [np.frombuffer(g, np.uint32) for g in grams]
+            n, odd = np.array([len(s) for s in sets]), parities(sets)
+            above: dict[int, int] = {}
+
+            def root(g: int) -> int:
+                while g in above:
+                    above[g] = above.get(above[g], above[g])
+                    g = above[g]
+                return g
+
+            us, vs = [], []
+            for x, y in near_others(p, int(key[0]) >> 48, (f, grp), (f[at_home], grp[at_home]), distance):
+                y = at_home[y]
+                for at in range(0, len(x), 50_000):
+                    a, b = x[at : at + 50_000], y[at : at + 50_000]
+                    apart = np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64)
+                    # |a ^ b| <= |a| + |b| - 2 both, so more odd bits apart than this can't have the similarity
+                    may = (apart <= (n[a] + n[b]) * (1 - similarity) / (1 + similarity) + 1e-6) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
+                    for i, j in zip(a[may].tolist(), b[may].tolist(), strict=True):
+                        ra, rb = root(int(grp[i])), root(int(grp[j]))
+                        if ra != rb and similar(sets[i], sets[j], similarity):
+                            above[ra] = rb
+                            us.append(int(doc[i]))
+                            vs.append(int(doc[j]))
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    bucket = "key long, fp long, grp long, home boolean"
+    rows = spots.mapInArrow(spread, bucket).repartition("key").sortWithinPartitions("key")
+    met = cut(rows.mapInArrow(meet, bucket))
+    wanted = members.join(met.select("fp", "grp").distinct(), ["fp", "grp"])
+    sets = shingle_sets(docs.join(wanted.select("doc_id"), "doc_id", "left_semi"), size)
+    held = cut(wanted.join(sets, "doc_id"))
+    full = met.join(held, ["fp", "grp"]).select("key", "fp", "grp", "home", "doc_id", "grams")
+    return full.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
+
+
 def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14, nearest: int = 4) -> DataFrame:
     """(doc_id, component_id) of the documents in a group of two or more; ids are taken as unique.
 
     Fingerprints count distinct shingles, as the similarity does: a line repeated in one copy doesn't move it away.
-    Candidates are the `nearest` closest fingerprints within the distance in each bucket, and the first document of an
-    equal fingerprint; links are those whose shingle sets have the similarity.
+    Links are the pairs within the distance whose shingle sets have the similarity. The first round verifies the `nearest`
+    closest fingerprints in each bucket and the first document of an equal fingerprint, which connects most of what
+    belongs together; the second verifies all other candidates whose ends the first left in different groups.
     """
     fps = cut(fingerprints(docs, size, distinct=True))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    near = links(classes, sampled_plan(classes, distance), distance, nearest)
+    p = sampled_plan(classes, distance)
+    near = links(classes, p, distance, nearest)
     reps = classes.select("fp", "rep")
     pairs = near.join(reps.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(reps.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select("a", "b")
     same = fps.join(reps, "fp").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -286,15 +417,16 @@ def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8,
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+            keep = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     sided = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
-    roots = components(sided.select("a", "b", "ga", "gb").mapInArrow(jaccard, "u long, v long"))
+    found = cut(components(sided.select("a", "b", "ga", "gb").mapInArrow(jaccard, "u long, v long")))
+    groups = found.select(F.col("node").alias("doc_id"), F.col("root").alias("grp"))
+    firsts = classes.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "fp")
+    members = cut(firsts.join(groups, "doc_id", "left").select("doc_id", "fp", F.coalesce("grp", "doc_id").alias("grp")))
+    rest = remaining_links(docs, members, p, size, similarity, distance)
+    roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest))
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 

@@ -202,6 +202,31 @@ def test_a_repeated_footer_does_not_hide_a_copy(spark):
     assert {r.doc_id for r in simhash.keep_one_of_each(df).collect()} == {10 * k for k in range(8)}
 
 
+def test_pairs_among_many_documents_of_one_template(spark):
+    template, rows = prose(500, 250).split(), []
+    for k in range(700):
+        rng = np.random.default_rng(k)
+        at = lambda words, n, seed: [w if m not in lost else f"own{seed}x{m}" for lost in [set(rng.choice(len(words), n, replace=False).tolist())] for m, w in enumerate(words)]
+        own = at(template, 5, 2 * k)
+        rows.append((2 * k, " ".join(own)))
+        if k < 60:
+            rows.append((2 * k + 1, " ".join(at(own, 5, 2 * k + 1))))
+    grams = {i: {tuple(t.split()[m : m + 5]) for m in range(len(t.split()) - 4)} for i, t in rows}
+    ids = sorted(grams)
+    fp = {i: simhash.fingerprint(t, 5, True) for i, t in rows}
+    near = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 14 and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    assert len(near) > 30
+    first = {i: i for i in ids}
+    for _ in ids:
+        before = dict(first)
+        for a, b in near:
+            first[a] = first[b] = min(first[a], first[b])
+        if first == before:
+            break
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one_of_each(df).collect()} == {i for i in ids if first[i] == i}
+
+
 def test_components_of_a_chain(spark):
     n = 300
     order = np.random.default_rng(0).permutation(n).tolist()
