@@ -402,7 +402,8 @@ def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     Fingerprints count distinct shingles, as the similarity does: a line repeated in one copy doesn't move it away.
     Links are the pairs within the distance whose shingle sets have the similarity. The first round verifies the `nearest`
     closest fingerprints in each bucket and the first document of an equal fingerprint, which connects most of what
-    belongs together; the second verifies all other candidates whose ends the first left in different groups.
+    belongs together; the second verifies all other candidates whose ends the first left in different groups, every document
+    of an equal fingerprint among them.
     """
     fps = cut(fingerprints(docs, size, distinct=True))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -423,8 +424,7 @@ def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     sided = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
     found = cut(components(sided.select("a", "b", "ga", "gb").mapInArrow(jaccard, "u long, v long")))
     groups = found.select(F.col("node").alias("doc_id"), F.col("root").alias("grp"))
-    firsts = classes.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "fp")
-    members = cut(firsts.join(groups, "doc_id", "left").select("doc_id", "fp", F.coalesce("grp", "doc_id").alias("grp")))
+    members = cut(fps.where("doc_id IS NOT NULL").join(groups, "doc_id", "left").select("doc_id", "fp", F.coalesce("grp", "doc_id").alias("grp")))
     rest = remaining_links(docs, members, p, size, similarity, distance)
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest))
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

@@ -227,6 +227,20 @@ def test_pairs_among_many_documents_of_one_template(spark):
     assert {r.doc_id for r in simhash.keep_one_of_each(df).collect()} == {i for i in ids if first[i] == i}
 
 
+def test_every_document_of_an_equal_fingerprint_is_compared(spark):
+    words = prose(700, 300).split()
+    at = np.random.default_rng(70).choice(60, 7, replace=False) * 5
+    far = [f"y70x{m}" if m in at else w for m, w in enumerate(words)]
+    middle = [far[m] if m == at[0] else w for m, w in enumerate(words)]
+    texts = [" ".join(w) for w in (words, middle, far)]
+    sets = [{tuple(w[m : m + 5]) for m in range(len(w) - 4)} for w in (words, middle, far)]
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    a, b, c = [simhash.fingerprint(t, 5, True) for t in texts]
+    assert a == b and (a ^ c).bit_count() <= 14 and jaccard(0, 2) < 0.8 <= jaccard(1, 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one_of_each(df).collect()} == {0}
+
+
 def test_components_of_a_chain(spark):
     n = 300
     order = np.random.default_rng(0).permutation(n).tolist()
