@@ -52,7 +52,8 @@ class Notice:
     def __init__(self, notice: str, label: str, edits: int):
         self.notice, self.label, self.edits, self.length = notice, label, edits, len(notice)
         self.pieces = pieces(notice, edits)
-        self.pattern = regex.compile(b"(?b) (?:%s){e<=%d} " % (regex.escape(notice.encode()), edits))
+        pattern = b" (?:%s){e<=%d} " % (regex.escape(notice.encode()), edits)
+        self.pattern, self.first = regex.compile(b"(?b)" + pattern), regex.compile(pattern)
 
     def windows(self, text: bytes) -> list[list[int]]:
         """Merged stretches of the text that can hold a match around an exact piece."""
@@ -71,9 +72,24 @@ class Notice:
         return merged
 
     def matches(self, text: bytes) -> Iterator[tuple[int, int, int]]:
+        """Matches of every window that share no word: the one with the fewest edits among those that overlap goes first."""
         for a, b in self.windows(text):
-            for m in self.pattern.finditer(text, a, b, overlapped=False):
+            left = [(a, b)]
+            while left:
+                a, b = left.pop()
+                m = self.first.search(text, a, b)
+                if m is None:
+                    continue
+                # The best match near the first one, until none that overlaps it has fewer edits; nothing starts before the first.
+                start, edits = m.start(), sum(m.fuzzy_counts) + 1
+                while sum(m.fuzzy_counts) < edits:
+                    edits, near = sum(m.fuzzy_counts), self.length + self.edits + 1
+                    m = self.pattern.search(text, max(start, m.start() - near), min(b, m.end() + near)) or m
                 yield m.start(), m.end(), sum(m.fuzzy_counts)
+                # A space may end one match and begin the next.
+                left.append((m.end() - 1, b))
+                if m.start() > start:
+                    left.append((start, m.start() + 1))
 
 
 def scan_text(text: str | None, notices: list[Notice]) -> dict:
@@ -90,7 +106,7 @@ def scan_text(text: str | None, notices: list[Notice]) -> dict:
             at = line.find(needle, at + 1)
     spans = []
     for n in notices:
-        for a, b, edits in n.matches(line):
+        for a, b, edits in sorted(n.matches(line)):
             spans.append({"label": n.label, "notice": n.notice, "first_word": word_at(a), "last_word": word_at(b - 1) - 1, "edits": edits})
             score = max(score, 1 - edits / n.length)
     return {

@@ -299,6 +299,15 @@ def test_fuzzy_notice_is_found_within_its_edits():
     assert not list(n.matches(b" nothing of the kind is granted "))
 
 
+def test_repeated_notices_are_all_counted():
+    notices = [license_scan.Notice("all rights reserved", "reserved", 1)]
+    spans = lambda t: [(s["first_word"], s["last_word"], s["edits"]) for s in license_scan.scan_text(t, notices)["spans"]]
+    assert spans("all rights reserve x all rights reserved") == [(0, 2, 1), (4, 6, 0)]
+    assert spans("all rights reserved all rights reserved") == [(0, 2, 0), (3, 5, 0)]
+    assert spans("a all right reserved all rights reserved b all rights reservd") == [(1, 3, 1), (4, 6, 0), (8, 10, 1)]
+    assert spans("all rights reservd " * 300) == [(3 * k, 3 * k + 2, 1) for k in range(300)]
+
+
 # --- toxicity and language -----------------------------------------------------------------------------------------------
 def test_toxicity_learns_a_pair(spark, docs, empty):
     """Only an insult together with a group mention is toxic: no additive weight can say so."""
