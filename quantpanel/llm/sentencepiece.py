@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-1. Texts become words: spaces turn into U+2581, one is put in front, and the text is cut where no piece can reach across
-   (checked against the vocabulary). Only distinct words are encoded, once for the whole corpus.
-2. Lattice: every word's substrings of at most the longest piece are exploded and joined to the piece table, which is
+1. Texts are dealt into blocks of some megabytes. A block's words are cut where no piece can reach across (checked against
+   the vocabulary); spaces and U+2581 are one character, and one is put in front. Words are slices of the block's bytes.
+2. Blocks ask for their distinct words, each word at one part of the hash space, so a word is encoded once for the corpus.
+3. Lattice: every word's substrings of at most the longest piece are exploded and joined to the piece table, which is
    broadcast (its size is the vocabulary's, checked); the edges are grouped by word.
-3. Fold: a higher-order aggregate folds the edges of a word. For unigram models it is Viterbi: the best path to each end.
-   For BPE models, whose ids the sum of scores doesn't give, the fold applies the best merge among the edges that join
-   two neighbouring tokens, until none is left; a long holds the token borders. Both equal the library's ids.
-   Words above `MOST` characters, too long for a 64-bit border set, come with the ids that `long_word` finds by the same rules.
-4. Texts are dealt into blocks of some megabytes; each block asks for the codes of the words it holds, not of all words.
+4. Fold: a higher-order aggregate folds the edges of a word. For unigram models it is Viterbi: the best path to each end.
+   BPE models have no path score (the sum of their scores gives other ids than the library), so there the fold takes the
+   edges from the best rank to the worst and merges what each joins, which is what BPE does; a long holds the token
+   borders. An edge that can't merge yet waits, and is tried again after each later merge. Both equal the library's ids.
+   Words above `MOST` characters, too long for a 64-bit border set, get their ids from `long_word` by the same rules.
+5. Each part answers the blocks with the ids in the order asked for, and blocks put their texts' ids together.
 
 Characters outside the vocabulary become byte pieces. Decoding joins the pieces and drops the space in front.
 
@@ -21,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,20 +32,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import cut, table
+from quantpanel.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MOST = 60
 #: Latin letters stand in words of their own, all other characters up to the next space or line in others.
-LATIN = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-WORDS = re.compile(f"{SPACE}*[{LATIN}]+|{SPACE}*[^{SPACE}\n{LATIN}]+|{SPACE}+|\n")
+LATIN = "a-zA-ZÀ-ÖØ-öø-ɏ"
+WORDS = re.compile(f" *[{LATIN}]+| *[^ \n{LATIN}]+| +|\n")
+#: The classes of a character.
+OTHER, LETTER, BLANK, LINE = 0, 1, 2, 3
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Pieces:
     kind: str  # "bpe" or "unigram"
-    pieces: list[tuple[str, int, float]]  # text, id, score; without control and byte pieces
+    pieces: list[tuple[str, int, float]]  # text (with spaces), id, score; without control and byte pieces
     byte_ids: list[int]
     names: list[bytes]  # by id, what it decodes to
     longest: int
@@ -53,6 +57,10 @@ class Pieces:
     def unknown_score(self) -> float:
         return min(s for _, _, s in self.pieces) - 10.0
 
+    def ranks(self) -> dict[float, int]:
+        """1 for the best score; equal scores share a rank."""
+        return {s: r for r, s in enumerate(sorted({s for _, _, s in self.pieces}, reverse=True), 1)}
+
 
 def load(path: str = MODEL, kind: str = "bpe") -> Pieces:
     """The vocabulary of a model file. The file must have byte pieces, an identity normaliser and no piece over a cut of WORDS."""
@@ -68,7 +76,7 @@ def load(path: str = MODEL, kind: str = "bpe") -> Pieces:
         elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
             names.append(b"")
         else:
-            found.append((text, i, model.get_score(i)))
+            found.append((text.replace(SPACE, " "), i, model.get_score(i)))
             names.append(text.replace(SPACE, " ").encode())
     bad = [t for t, _, _ in found if WORDS.fullmatch(t) is None]
     if bad:
@@ -76,8 +84,47 @@ def load(path: str = MODEL, kind: str = "bpe") -> Pieces:
     return Pieces(kind, found, byte_ids, names, max(len(t) for t, _, _ in found))
 
 
+def classes(buf: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte of UTF-8 text belongs to."""
+    table_ = np.full(256, OTHER, np.uint8)
+    table_[[*range(65, 91), *range(97, 123), *range(0xC4, 0xC9)]] = LETTER  # U+0100 to U+023F have these lead bytes
+    table_[32], table_[10] = BLANK, LINE
+    out = table_[buf]
+    for lead, low, high in ((0xC3, 0x80, 0xBF), (0xC9, 0x80, 0x8F)):
+        at = np.flatnonzero(buf[:-1] == lead)
+        follow = buf[at + 1]
+        good = (follow >= low) & (follow <= high)
+        if lead == 0xC3:
+            good &= (follow != 0x97) & (follow != 0xB7)  # the signs × and ÷
+        out[at[good]] = LETTER
+    inside = np.flatnonzero((buf & 0xC0) == 0x80)
+    for _ in range(3):  # a character has three continuation bytes at most
+        out[inside] = out[inside - 1]
+    return out
+
+
+def split_words(texts: list[bytes | None]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of all texts in a row (slices of one buffer), and the number of words of each text."""
+    ready = [b" " + t.replace(b"\xe2\x96\x81", b" ") if t else b"" for t in texts]
+    data = b"".join(ready)
+    buf, ends = np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, ready)])
+    if not len(buf):
+        return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
+    kind = classes(buf)
+    now, last = kind[1:], kind[:-1]
+    start = np.ones(len(buf), bool)
+    start[1:] = (now == LINE) | (last == LINE) | ((now == BLANK) & (last != BLANK)) | ((now == LETTER) & (last == OTHER)) | ((now == OTHER) & (last == LETTER))
+    # Of consecutive newlines each is a word; all other marks stand on a change of class, so never inside a character.
+    start[ends[:-1][np.diff(ends) > 0]] = True
+    at = np.flatnonzero(start)
+    offsets = np.append(at, len(buf)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return words, np.diff(np.searchsorted(at, ends))
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    words, _ = split_words([(text or "").encode("utf-8", "surrogatepass")])
+    return [w.decode("utf-8", "surrogatepass") for w in words.to_pylist()]
 
 
 def long_word(word: str, p: Pieces, known: dict[str, tuple[int, float]]) -> list[int]:
@@ -125,21 +172,32 @@ def long_word(word: str, p: Pieces, known: dict[str, tuple[int, float]]) -> list
     return out
 
 
+#: A BPE edge is one long: rank, start (6 bits), length (5 bits), id (32 bits). A single character has rank 0, so it comes
+#: first; one without a piece has length 0 and its UTF-8 bytes in place of the id.
+RANK, START, LEN = 43, 37, 32
+
+
 def lattice(words: DataFrame, p: Pieces) -> DataFrame:
-    """(part, word, long_ids, edges): array of (start, len, score, ids), by start and length. A character without piece is an edge of bytes."""
-    spark = words.sparkSession
-    pieces = spark.createDataFrame(p.pieces, "piece string, id int, score double")
+    """(part, word_no, long_ids, n, edges) of (part, word_no, word, long_ids): the edges sorted, n characters.
+
+    Edges are longs as above for BPE, (start, len, score, ids) for unigram models.
+    """
+    spark, ranks = words.sparkSession, p.ranks()
+    rows = [(t, i, s, (ranks[s] << RANK if len(t) > 1 else 0) | len(t) << LEN | i) for t, i, s in p.pieces]
+    pieces = spark.createDataFrame(rows, "piece string, id int, score double, packed long")
     if len(p.pieces) <= 1_000_000:
         pieces = F.broadcast(pieces)
     # A word that comes with ids needs no lattice; one edge keeps its row.
-    starts = words.select("part", "word", "long_ids", F.explode(F.expr("sequence(0, if(long_ids IS NULL, length(word) - 1, 0))")).alias("start"))
-    parts = starts.select("part", "word", "long_ids", "start", F.explode(F.expr(f"sequence(1, if(long_ids IS NULL, least({p.longest}, length(word) - start), 1))")).alias("len"))
-    parts = parts.withColumn("piece", F.expr("substring(word, start + 1, len)"))
-    ids = ", ".join(map(str, p.byte_ids))
-    spelled = F.expr(f"transform(sequence(1, octet_length(piece)), i -> element_at(array({ids}), 1 + cast(conv(substring(hex(piece), 2 * i - 1, 2), 16, 10) as int)))")
-    edges = parts.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
-    edge = F.struct("start", "len", F.coalesce("score", F.lit(p.unknown_score)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled).alias("ids"))
-    return edges.groupBy("part", "word").agg(F.first("long_ids").alias("long_ids"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    starts = words.select("*", F.explode(F.expr("sequence(0, if(long_ids IS NULL, length(word) - 1, 0))")).alias("start"))
+    parts = starts.select("*", F.explode(F.expr(f"sequence(1, if(long_ids IS NULL, least({p.longest}, length(word) - start), 1))")).alias("len"))
+    edges = parts.withColumn("piece", F.expr("substring(word, start + 1, len)")).join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
+    if p.kind == "bpe":
+        edge = F.expr(f"coalesce(packed, cast(conv(hex(piece), 16, 10) as bigint)) | shiftleft(cast(start as bigint), {START})")
+    else:
+        ids = ", ".join(map(str, p.byte_ids))
+        spelled = F.expr(f"transform(sequence(1, octet_length(piece)), i -> element_at(array({ids}), 1 + cast(conv(substring(hex(piece), 2 * i - 1, 2), 16, 10) as int)))")
+        edge = F.struct("start", "len", F.coalesce("score", F.lit(p.unknown_score)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled).alias("ids"))
+    return edges.groupBy("word_no", "part").agg(F.first("long_ids").alias("long_ids"), (F.max("start") + 1).alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def fold_viterbi() -> Column:
@@ -148,182 +206,218 @@ def fold_viterbi() -> Column:
         "(best, i) -> concat(best, array(aggregate(filter(edges, e -> e.start + e.len = i), cast(null as struct<score:double,ids:array<int>>), (b, e) -> "
         "if(b IS NULL OR element_at(best, e.start + 1).score + e.score >= b.score, named_struct('score', element_at(best, e.start + 1).score + e.score, 'ids', concat(element_at(best, e.start + 1).ids, e.ids)), b))))"
     )
-    return F.expr(f"element_at(aggregate(sequence(1, length(word)), array(cast(named_struct('score', 0D, 'ids', array()) as struct<score:double,ids:array<int>>)), {step}), -1).ids")
-
-
-def with_long_ids(words: list[str], p: Pieces, known: dict[str, tuple[int, float]]) -> pa.Array:
-    """Ids of the words that are too long for the fold, null for the others."""
-    return pa.array([long_word(w, p, known) if len(w) > MOST else None for w in words], pa.list_(pa.int32()))
+    return F.expr(f"element_at(aggregate(sequence(1, n), array(cast(named_struct('score', 0D, 'ids', array()) as struct<score:double,ids:array<int>>)), {step}), -1).ids")
+
+
+def fold_merges(p: Pieces) -> Column:
+    """Ids of a word under a BPE model: bit i of a long says that a token begins or ends before character i."""
+    start = lambda e: f"cast(shiftright({e}, {START}) & 63 as int)"
+    end = lambda e: f"cast((shiftright({e}, {START}) & 63) + greatest(1, shiftright({e}, {LEN}) & 31) as int)"
+    ends = lambda e: f"(shiftleft(1L, {start(e)}) | shiftleft(1L, {end(e)}))"
+    inner = lambda e: f"(shiftleft(1L, {end(e)}) - shiftleft(1L, {start(e)} + 1))"
+    whole = lambda b, e: f"({b} & {ends(e)}) = {ends(e)}"
+    # Of the waiting edges, best first, each one that has become possible merges; after it all are tried again.
+    first = f"coalesce(get(transform(filter(s.waiting, x -> {whole('b', 'x')} AND bit_count(b & {inner('x')}) = 1), x -> {inner('x')}), 0), 0L)"
+    merged = f"s.borders & ~{inner('e')}"
+    settled = f"if(size(s.waiting) = 0, {merged}, aggregate(s.waiting, {merged}, (b, _) -> b & ~{first}))"
+    step = (
+        f"(s, e) -> if({whole('s.borders', 'e')}, if(bit_count(s.borders & {inner('e')}) = 1, named_struct('borders', {settled}, 'waiting', s.waiting), "
+        f"if(bit_count(s.borders & {inner('e')}) > 1, named_struct('borders', s.borders, 'waiting', concat(s.waiting, array(e))), s)), s)"
+    )
+    borders = f"aggregate(filter(edges, e -> e >= {1 << RANK}), named_struct('borders', shiftleft(1L, n + 1) - 1L, 'waiting', cast(array() as array<bigint>)), {step}).borders"
+    tokens = f"sort_array(transform(filter(edges, e -> (borders & ({ends('e')} | {inner('e')})) = {ends('e')}), e -> e & {(1 << RANK) - 1}))"
+    ids = ", ".join(map(str, p.byte_ids))
+    low = (1 << 32) - 1
+    # A character of k bytes has its first one highest.
+    spelled = f"transform(filter(array(3, 2, 1, 0), k -> k = 0 OR (t & {low}) >= shiftleft(1L, 8 * k)), k -> element_at(array({ids}), 1 + cast(shiftright(t & {low}, 8 * k) & 255 as int)))"
+    plain = f"transform(tokens, t -> cast(t & {low} as int))"
+    bare = f"(t & {31 << LEN}) = 0"
+    out = f"if(exists(tokens, t -> {bare}), flatten(transform(tokens, t -> if({bare}, {spelled}, array(cast(t & {low} as int))))), {plain})"
+    # As arguments of a lambda, the borders and the tokens are computed once for the word.
+    return F.expr(f"element_at(transform(transform(array({borders}), borders -> {tokens}), tokens -> {out}), 1)")
 
 
 def encode_words(words: DataFrame, p: Pieces) -> DataFrame:
-    """(part, word, ids) of distinct, non-empty (part, word, long_ids); nothing is shuffled if they are partitioned by part."""
-    edges = lattice(words, p)
-    if p.kind == "bpe":
-        masked = edges.select("part", "word", "long_ids", F.expr(
-            "transform(edges, e -> named_struct('start', e.start, 'score', e.score, 'ids', e.ids, "
-            "'ends', shiftleft(1L, e.start) | shiftleft(1L, e.start + e.len), 'inner', shiftleft(1L, e.start + e.len) - shiftleft(1L, e.start + 1)))"
-        ).alias("edges"))
-        folded = fold_merges(masked)
-    else:
-        folded = edges.select("part", "word", "long_ids", F.when(F.col("long_ids").isNull(), fold_viterbi()).alias("ids"))
-    return folded.select("part", "word", F.coalesce("long_ids", "ids").alias("ids"))
+    """(part, word_no, ids) of (part, word_no, word, long_ids); nothing is shuffled if they are partitioned by part."""
+    fold = fold_merges(p) if p.kind == "bpe" else fold_viterbi()
+    return lattice(words, p).select("part", "word_no", F.when(F.col("long_ids").isNotNull(), F.col("long_ids")).otherwise(fold).alias("ids"))
 
 
-def fold_merges(masked: DataFrame) -> DataFrame:
-    """Merge after merge: a long holds the token borders, a merge clears the one border inside its edge."""
-    best = (
-        "aggregate(longer, cast(null as struct<score:double,left:int,inner:bigint>), (b, e) -> "
-        "if((borders & e.ends) = e.ends AND bit_count(borders & e.inner) = 1 AND (b IS NULL OR e.score > b.score OR (e.score = b.score AND e.start < b.left)), "
-        "named_struct('score', e.score, 'left', e.start, 'inner', e.inner), b))"
-    )
-    borders = f"aggregate(sequence(2, greatest(2, length(word))), shiftleft(1L, length(word) + 1) - 1L, (borders, i) -> coalesce(borders & ~({best}).inner, borders))"
-    borders = f"element_at(transform(array(filter(edges, e -> e.inner != 0)), longer -> {borders}), 1)"
-    tokens = "flatten(transform(filter(edges, e -> (borders & (e.ends | e.inner)) = e.ends), e -> e.ids))"
-    # As arguments of a lambda, the longer edges and the borders are computed once for the word.
-    return masked.select("part", "word", "long_ids", F.when(F.col("long_ids").isNull(), F.expr(f"element_at(transform(array({borders}), borders -> {tokens}), 1)")).alias("ids"))
+def sizes_of(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, bytes) of the words."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.diff(offsets), np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
 
 
-def squeezed(words: list[str]) -> bytes:
-    """Sorted words as compressed lines; the line end itself, which is a word of its own, is left out."""
-    return zstandard.compress("\n".join(words).encode("utf-8", "surrogatepass"), 3)
+def hashes(words: pa.BinaryArray) -> np.ndarray:
+    """64 bits for each word, none of them empty."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    size, data = sizes_of(words)
+    first = np.cumsum(size) - size
+    power = np.full(int(size.max()), MULTIPLIER)
+    power = np.multiply.accumulate(power)
+    h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(first, size)], first)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def loosened(pack: bytes) -> list[str]:
-    text = zstandard.decompress(pack).decode("utf-8", "surrogatepass")
-    return text.split("\n") if text else []
+def canonical(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of distinct words that doesn't depend on how they came, by hash, and the hashes in that order."""
+    h = hashes(words)
+    order = np.argsort(h, kind="stable")
+    if (h[order][1:] == h[order][:-1]).any():
+        held = words.to_pylist()
+        order = np.array(sorted(range(len(held)), key=lambda i: (h[i], held[i])))
+    return order, h[order]
 
 
-def part_of(word: str, parts: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % parts
+def packed_words(words: pa.BinaryArray) -> bytes:
+    size, data = sizes_of(words)
+    return zstandard.compress(np.int64(len(size)).tobytes() + size.astype(np.uint32).tobytes() + data.tobytes(), 3)
 
 
-def encode(docs: DataFrame, p: Pieces, block_bytes: int = 10_000_000, part_words: int = 8_000) -> DataFrame:
-    """One row per input row: doc_id, ids (array of int), text_sha256.
-
-    Texts are dealt into blocks, distinct words into parts. A block asks each part for the words that it holds, in sorted
-    order, and gets their ids back in that order, so words travel compressed, once to their part.
-    """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+def unpacked_words(packs: list[bytes]) -> tuple[pa.BinaryArray, list[int]]:
+    """The words of all packs in a row and the number of words of each."""
+    sizes, data, counts = [np.zeros(1, np.int64)], [], []
+    for pack in packs:
+        raw = zstandard.decompress(pack)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        sizes.append(np.frombuffer(raw, np.uint32, n, 8).astype(np.int64))
+        data.append(raw[8 + 4 * n :])
+        counts.append(n)
+    offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))]), counts
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each block."""
 
-        def out(held: dict[int, set[str]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([squeezed(sorted(w - {"\n"})) for w in held.values()], pa.binary())], ["block", "words"])
+def distinct(words: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """The distinct words in canonical order, their hashes, and for each word its place among them."""
+    coded = words.dictionary_encode()
+    order, h = canonical(coded.dictionary)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return coded.dictionary.take(pa.array(order)), h, rank[coded.indices.to_numpy()]
 
-        held: dict[int, set[str]] = {}
-        for batch in batches:
-            for b, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.setdefault(b, set()).update(words_of(text))
-            if sum(map(len, held.values())) > 300_000:
-                yield out(held)
-                held = {}
-        yield out(held)
-
-    gathered = dealt.select("block", "text").mapInArrow(collect, "block int, words binary")
-    # Only for parallelism: distinct words grow with a power of the text, some three million in 860 MB here.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(3e6 * (total / 8.6e8) ** 0.7 / part_words))
 
-    def ask(key: tuple, packs: pa.Table) -> pa.Table:
-        """A block's requests: for each part the words it holds, sorted."""
-        held: dict[int, list[str]] = {}
-        for w in sorted(set().union(*map(loosened, packs.column("words").to_pylist()))):
-            held.setdefault(part_of(w, parts), []).append(w)
-        return pa.table({"block": pa.array([key[0].as_py()] * len(held), pa.int32()), "part": pa.array(list(held), pa.int32()), "words": pa.array([squeezed(w) for w in held.values()], pa.binary())})
-
-    requests = cut(gathered.groupBy("block").applyInArrow(ask, "block int, part int, words binary"))
-
-    def merge(key: tuple, packs: pa.Table) -> pa.Table:
-        words = sorted(set().union(*map(loosened, packs.column("words").to_pylist())))
-        known = {t: (i, s) for t, i, s in p.pieces} if any(len(w) > MOST for w in words) else {}
-        return pa.table({"part": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.string()), "long_ids": with_long_ids(words, p, known)})
-
-    # A fixed number of partitions: the words are few bytes but much work.
-    dealt_requests = requests.repartition(parts, "part")
-    words = dealt_requests.groupBy("part").applyInArrow(merge, "part int, word string, long_ids array<int>").repartition(parts, "part")
-    codes = encode_words(words, p)
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of the hash, so words in canonical order are also sorted by part."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-    def answer(asked: pa.Table, codes: pa.Table) -> pa.Table:
-        """To each block its words' ids in the order asked for: lengths, then ids."""
-        ids = dict(zip(codes.column("word").to_pylist(), codes.column("ids").to_pylist(), strict=True))
-        out, counts = [], []
-        for pack in asked.column("words").to_pylist():
-            found = [ids[w] for w in loosened(pack)]
-            counts.append(len(found))
-            out.append(zstandard.compress(np.array([len(x) for x in found], np.uint32).tobytes() + np.array([i for x in found for i in x], np.uint32).tobytes(), 3))
-        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "n": pa.array(counts, pa.int32()), "ids": pa.array(out, pa.binary())})
 
-    answers = dealt_requests.groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(answer, "block int, part int, n int, ids binary")
+def encode(docs: DataFrame, p: Pieces, block_bytes: int = 10_000_000, part_words: int = 8_000) -> DataFrame:
+    """One row per input row: doc_id, ids (array of int), text_sha256. Words and texts travel compressed."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    # Only for parallelism: distinct words grow with a power of the text, some three million in 860 MB here.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(8_192, int(3e6 * (total / 8.6e8) ** 0.7 / part_words)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts of each block of a batch as one compressed Arrow stream."""
-        codec = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+        codec = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for batch in batches:
-            block = np.asarray(batch.column("block"))
-            held, packs = np.unique(block), []
-            for b in held:
-                rows = pa.Table.from_batches([batch]).take(np.flatnonzero(block == b)).select(["doc_id", "text"])
+            h = np.asarray(batch.column("h")).view(np.uint64)
+            order = np.argsort(h, kind="stable")
+            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])[: len(h)]
+            again = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            # Rows that are wholly equal go to one block after the other.
+            block = np.empty(len(h), np.int64)
+            block[order] = ((h[order] % np.uint64(blocks)).astype(np.int64) + again) % blocks
+            order = np.argsort(block, kind="stable")
+            held, first = np.unique(block[order], return_index=True)
+            rows, packs = pa.Table.from_batches([batch]).select(["doc_id", "text"]).take(pa.array(order)), []
+            for a, b in zip(first, [*first[1:], len(order)]):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rows.schema, options=codec) as w:
-                    w.write_table(rows)
+                    w.write_table(rows.slice(a, b - a))
                 packs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(packs, pa.binary())], ["block", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(packs, pa.binary())], ["block", "pack"])
+
+    def unpack(packs: pa.Table) -> tuple[list[int | None], list[bytes | None]]:
+        held = [pa.ipc.open_stream(x).read_all() for x in packs.column("pack").to_pylist()]
+        return [d for x in held for d in x.column("doc_id").to_pylist()], [t for x in held for t in x.column("text").cast(pa.binary()).to_pylist()]
 
-    newline = [p.byte_ids[10]]
+    def ask(key: tuple, packs: pa.Table) -> pa.Table:
+        """A block's requests: for each part the words that the block holds."""
+        words, h, _ = distinct(split_words(unpack(packs)[1])[0])
+        held, first = np.unique(part_of(h, parts), return_index=True)
+        asked = [packed_words(words.slice(a, b - a)) for a, b in zip(first, [*first[1:], len(h)])]
+        return pa.table({"block": pa.array([key[0].as_py()] * len(held), pa.int32()), "part": pa.array(held, pa.int32()), "words": pa.array(asked, pa.binary())})
+
+    def merge(key: tuple, asked: pa.Table) -> pa.Table:
+        """The distinct words of a part, numbered in canonical order."""
+        words, _, _ = distinct(unpacked_words(asked.column("words").to_pylist())[0])
+        size, data = sizes_of(words)
+        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        ends = np.cumsum(size)
+        long = np.flatnonzero(lead[ends] - lead[ends - size] > MOST)
+        ids: list[list[int] | None] = [None] * len(words)
+        if len(long):
+            known = {t: (i, s) for t, i, s in p.pieces}
+            for i in long.tolist():
+                ids[i] = long_word(words[i].as_py().decode("utf-8", "surrogatepass"), p, known)
+        text = pa.Array.from_buffers(pa.string(), len(words), words.buffers(), offset=words.offset)
+        return pa.table({"part": pa.array([key[0].as_py()] * len(words), pa.int32()), "word_no": pa.array(np.arange(len(words), dtype=np.int32)), "word": text, "long_ids": pa.array(ids, pa.list_(pa.int32()))})
+
+    def answer(asked: pa.Table, codes: pa.Table) -> pa.Table:
+        """To each block its words' ids in the order asked for: lengths, then ids."""
+        words, counts = unpacked_words(asked.column("words").to_pylist())
+        _, _, place = distinct(words)
+        codes = codes.sort_by("word_no").column("ids").combine_chunks()
+        out, at = [], 0
+        for n in counts:
+            found = codes.take(pa.array(place[at : at + n]))
+            sizes, ids = np.diff(found.offsets.to_numpy()), found.flatten().to_numpy()
+            out.append(zstandard.compress(sizes.astype(np.uint32).tobytes() + ids.astype(np.uint32).tobytes(), 3))
+            at += n
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "n": pa.array(counts, pa.int32()), "ids": pa.array(out, pa.binary())})
 
     def assemble(packs: pa.Table, answers: pa.Table) -> pa.Table:
-        tables = [pa.ipc.open_stream(x).read_all() for x in packs.column("pack").to_pylist()]
-        rows = [(d, t) for x in tables for d, t in zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist(), strict=True)]
-        number: dict[str, int] = {}
-        coded = []  # the texts as numbers of words: the words themselves would take most of a worker's memory
-        for _, text in rows:
-            words = words_of(text)
-            coded.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-        held: dict[int, list[int]] = {}
-        for w in sorted(number.keys() - {"\n"}):
-            held.setdefault(part_of(w, parts), []).append(number[w])
-        size, first, values, at = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [np.array(newline, np.uint32)], 1
-        if "\n" in number:
-            size[number["\n"]] = 1
-        del number
-        for part, n, raw in zip(answers.column("part").to_pylist(), answers.column("n").to_pylist(), answers.column("ids").to_pylist(), strict=True):
+        doc_ids, texts = unpack(packs)
+        sha = [hashlib.sha256(t or b"").hexdigest() for t in texts]
+        words, counts = split_words(texts)
+        del texts
+        place = distinct(words)[2]
+        sizes, values = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        answers = answers.sort_by("part")
+        for n, raw in zip(answers.column("n").to_pylist(), answers.column("ids").to_pylist(), strict=True):
             got = np.frombuffer(zstandard.decompress(raw), np.uint32)
-            size[held[part]] = got[:n]
-            first[held[part]] = at + np.cumsum(got[:n]) - got[:n]
+            sizes.append(got[:n])
             values.append(got[n:])
-            at += len(got) - n
-        value = np.concatenate(values).astype(np.int32)
-        flat, offsets, sha = [np.zeros(0, np.int32)], [0], []
-        for (_, text), at in zip(rows, coded, strict=True):
-            sha.append(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest())
-            n = size[at]
-            end = np.cumsum(n)
-            count = int(end[-1]) if len(end) else 0
-            flat.append(value[np.repeat(first[at] - (end - n), n) + np.arange(count)])
-            offsets.append(offsets[-1] + count)
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
-        return pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "ids": ids, "text_sha256": pa.array(sha, pa.string())})
-
-    return dealt.mapInArrow(pack, "block int, pack binary").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>, text_sha256 string")
+        codes = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32)), pa.array(np.concatenate(values).view(np.int32)))
+        found = codes.take(pa.array(place))
+        offsets = found.offsets.to_numpy()[np.cumsum([0, *counts])]
+        ids = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), found.flatten())
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids, "text_sha256": pa.array(sha, pa.string())})
+
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("doc_id", "text"))
+    packs = dealt.mapInArrow(pack, "block int, pack binary")
+    # A fixed number of partitions for the parts: the words are few bytes but much work.
+    asked = packs.groupBy("block").applyInArrow(ask, "block int, part int, words binary").repartition(parts, "part")
+    words = asked.groupBy("part").applyInArrow(merge, "part int, word_no int, word string, long_ids array<int>").repartition(parts, "part")
+    codes = encode_words(words, p)
+    answers = asked.groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(answer, "block int, part int, n int, ids binary")
+    return packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>, text_sha256 string")
 
 
 def decode(tokens: DataFrame, p: Pieces) -> DataFrame:
-    """The rows of `tokens` with the text of `ids` instead of them."""
+    """The rows of `tokens` with the text of `ids` instead of them, and their number as n_tokens."""
     names, keep = p.names, [c for c in tokens.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(names, pa.binary())
         for batch in batches:
-            texts, counts = [], []
-            for at in range(0, len(batch), 100):
-                for ids in batch.column("ids")[at : at + 100].to_pylist():
-                    line = b"".join(map(names.__getitem__, ids or ())).decode("utf-8", "replace")
+            texts: list[str] = []
+            ids = batch.column("ids")
+            for at in range(0, len(batch), 500):
+                part = ids[at : at + 500].fill_null([])
+                spelled, data = sizes_of(known.take(part.flatten()))
+                ends = np.concatenate([[0], np.cumsum(spelled)])[part.offsets.to_numpy() - part.offsets[0].as_py()].tolist()
+                for a, b in zip(ends, ends[1:]):
+                    line = data[a:b].tobytes().decode("utf-8", "replace")
                     texts.append(line[1:] if line.startswith(" ") else line)
-                    counts.append(len(ids or ()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], [*keep, "text", "n_tokens"])
+            counts = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), counts], [*keep, "text", "n_tokens"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name != "ids")
     return tokens.mapInArrow(run, f"{kinds}, text string, n_tokens long")
@@ -333,6 +427,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the digest of the text and of what its ids decode to, and whether they are equal."""
     p = load()
     tokens = encode(table(spark, sf_dir, "documents"), p)
-    ids_hash = F.xxhash64("ids")
-    back = decode(tokens.withColumn("ids_hash", ids_hash), p)
+    back = decode(tokens.withColumn("ids_hash", F.xxhash64("ids")), p)
     return back.select("doc_id", "n_tokens", "ids_hash", "text_sha256", F.sha2("text", 256).alias("decoded_sha256"), (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
