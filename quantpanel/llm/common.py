@@ -21,21 +21,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir; a local one is set only where that is unset."""
+    """A new folder below the one the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) gets a temporary folder; on a cluster it is an error, as executors and
+    driver share no local folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/cut-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: lineage ends there and a lost executor loses nothing."""
+    """`df` written as Parquet to the shared folder and read again: lineage ends there and a lost executor loses nothing.
+
+    The files stay until `clear`, as only the caller knows when the results that read them have been used.
+    """
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has `cut` so far; results that weren't written yet can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_id, row_hash, row): what tells a document from others, and all its columns, whatever their names.
+
+    Rows that agree in id and text (null included) are one document; the hash tells different texts of one id apart.
+    """
+    return docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+
+
+def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose (row_id, row_hash) isn't in `bad`; null ids are equal to each other."""
+    keyed, bad = with_row_key(docs, id_col, text_col), bad.select(F.col("row_id").alias("bad_id"), F.col("row_hash").alias("bad_hash"))
+    return keyed.join(bad, F.col("row_id").eqNullSafe(F.col("bad_id")) & (F.col("row_hash") == F.col("bad_hash")), "left_anti").select("row.*")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, all other characters unchanged."""
     return F.translate(c, UPPER, LOWER)

@@ -1,83 +1,129 @@
 """Exact deduplication with an extendible-hash index on shared files (DataFrame functions only).
 
-1. Every text is normalised and hashed. `groupBy(hash, normalised text)` compares bytes, so texts whose hashes collide
-   become separate links of one chain; copies meet before the shuffle, so a group that holds a third of all rows sends
-   one row a task.
-2. The directory starts with one bucket and doubles while a bucket has more than `bucket_rows` chain links; only overfull
-   buckets split. It is computed from at most 2**`max_depth` counters, whatever the corpus size.
-3. The index (bucket, hash, digest, smallest id, size) is written range-partitioned to the shared folder: an owner task
-   holds one contiguous range of keys.
-4. Documents probe the index through the directory: bucket and hash locate the chain, the SHA-256 of the text its link.
-   Only ids, hashes and digests move there; adaptive execution splits the range of a hot key.
+1. Every text is normalised and hashed; (hash, rows) is written. The directory of the index starts with as many buckets as
+   the links need and doubles for overfull buckets alone: a bucket is a prefix of the hash, so a split deals its links by
+   one bit more. Only counters of buckets reach the driver. Links whose whole hash is equal can't be split; they chain.
+2. Buckets in order are dealt to owner tasks, so an owner holds one range of keys. Each document goes to the owner of its
+   bucket with its text: there the chain of its hash is walked, which compares bytes, and the links of the range are
+   written as a file of the index: bucket, hash, place in the chain, smallest id and number of rows of the link.
+3. A hash of more than `hot_rows` rows would swamp its owner, so its documents don't go there: its links are aggregated
+   where they stand and probed as a small table of their own (there are at most rows / `hot_rows` such hashes).
 
 Defined cases: null text counts as empty; a null id never is the smallest unless all are null; rows with equal id and
-equal text are one document and share its decision; an empty table gives an empty result; extra columns don't matter.
+equal text are one document and share its decision; rows of one id with different texts are judged each by its own text;
+an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quantpanel.llm.common import cut, table
 
+#: Bits of a hash by which buckets are told apart.
+DEPTH = 63
+
+
+def normalised(text_col: str = "text") -> Column:
+    """Runs of white space become one space; a single space is one already, so it isn't matched."""
+    return F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
+
 
-def normalised(text_col: str = "text"):
-    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+def prefix(depth: int) -> Column:
+    """The first `depth` bits of the key."""
+    return F.shiftright("key", DEPTH - depth)
 
 
-def directory(counts: dict[int, int], bucket_rows: int, max_depth: int) -> list[tuple[int, int, int]]:
-    """(slot, bucket, local depth) for the slots 0 .. 2**max_depth - 1; `counts` has the links of each slot.
+def directory(links: DataFrame, bucket_rows: int, hot_rows: int) -> list[tuple[int, int, int, int]]:
+    """(first key, depth, links, rows without those of hot hashes) of every bucket, in order. `links` has key and n.
 
-    A bucket is a range of slots that share their first `depth` bits; doubling halves the overfull ones.
+    Buckets that hold more than `bucket_rows` links split until none does or no bit is left.
     """
-    size = 1 << max_depth
-    before = [0]
-    for slot in range(size):
-        before.append(before[-1] + counts.get(slot, 0))
-    buckets = [(0, 0)]  # (local depth, first slot)
-    for depth in range(max_depth):
-        width = size >> depth
-        split = []
-        for local, first in buckets:
-            if local == depth and before[first + width] - before[first] > bucket_rows:
-                split += [(depth + 1, first), (depth + 1, first + width // 2)]
-            else:
-                split.append((local, first))
-        buckets = split
-    return [(slot, b, local) for b, (local, first) in enumerate(sorted(buckets, key=lambda x: x[1])) for slot in range(first, first + (size >> local))]
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 65_536, max_depth: int = 12) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and the bucket of the index that holds it."""
+    spark = links.sparkSession
+    total = links.count()
+    depth, buckets = 0, []
+    while depth < DEPTH and total > bucket_rows << depth:
+        depth += 1
+    rows = links
+    while True:
+        counts = rows.groupBy(prefix(depth).alias("p")).agg(F.count(F.lit(1)).alias("links"), F.sum(F.when(F.col("n") <= hot_rows, F.col("n")).otherwise(0)).alias("rows")).collect()
+        full = [r["p"] for r in counts if r["links"] > bucket_rows and depth < DEPTH]
+        over = set(full)
+        buckets += [(r["p"] << (DEPTH - depth), depth, r["links"], r["rows"]) for r in counts if r["p"] not in over]
+        if not full:
+            break
+        rows = links.join(spark.createDataFrame([(x,) for x in full], "p long"), prefix(depth) == F.col("p"), "left_semi")
+        depth += 1
+    return sorted(buckets)
+
+
+def dealt(buckets: list[tuple[int, int, int, int]], owners: int) -> list[tuple[int, int, int]]:
+    """(first key, depth, owner): consecutive buckets to one owner, all owners with about equal rows."""
+    total, before, out = sum(b[3] for b in buckets) or 1, 0, []
+    for first, depth, _, rows in buckets:
+        out.append((first, depth, min(owners - 1, (before + rows // 2) * owners // total)))
+        before += rows
+    return out
+
+
+def resolved(docs: DataFrame, id_col: str, text_col: str, columns: list[str], bucket_rows: int | None, hot_rows: int | None, hash_bits: int) -> DataFrame:
+    """(row, doc_id, keep_id, group_size, text_sha256, bucket, link) of every input row; row is a struct of `columns`."""
     spark = docs.sparkSession
-    slot = F.shiftrightunsigned("h", 64 - max_depth).cast("int")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm")).withColumn("h", F.xxhash64("norm"))
-    links = cut(
-        keyed.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    counts = {r["slot"]: r["n"] for r in links.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = spark.createDataFrame(directory(counts, bucket_rows, max_depth), "slot int, bucket int, depth int")
-    slots = F.broadcast(slots)  # 2**max_depth rows at most
-    index = cut(
-        links.withColumn("slot", slot).join(slots, "slot").select("bucket", "h", "text_sha256", "keep_id", "group_size")
-        .repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h")
-    )
-    probes = keyed.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")).withColumn("slot", slot).join(slots.select("slot", "bucket"), "slot").drop("slot")
-    return probes.join(index, ["bucket", "h", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket"
-    )
-
-
-def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.select((F.struct(*(docs[f"`{c}`"] for c in columns)) if columns else F.lit(0)).alias("row"), docs[f"`{id_col}`"].alias("doc_id"), normalised(text_col).alias("norm"))
+    keyed = keyed.withColumn("key", F.shiftrightunsigned(F.xxhash64("norm"), 1))
+    if hash_bits < DEPTH:  # tests force collisions
+        keyed = keyed.withColumn("key", F.shiftleft(F.shiftright("key", DEPTH - hash_bits), DEPTH - hash_bits))
+    links = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    total = links.agg(F.sum("n")).first()[0] or 0
+    bucket_rows = bucket_rows or max(64, min(65_536, total // (4 * owners)))
+    hot_rows = hot_rows or max(256, total // (4 * owners))
+    buckets = directory(links, bucket_rows, hot_rows)
+    places = spark.createDataFrame([(f, f + (1 << (DEPTH - d)) - 1, i, o) for i, (f, d, o) in enumerate(dealt(buckets, owners))] or [(0, 2**63 - 1, 0, 0)], "low long, high long, bucket int, owner int")
+    # Buckets share no more than their first bits: an equality for the join, the range for the rest.
+    coarse = max(0, min((d for _, d, _, _ in buckets), default=0))
+    places = places.withColumn("slot", F.shiftright("low", DEPTH - coarse))
+    if len(buckets) <= 1_000_000:
+        places = F.broadcast(places)
+    hot = F.broadcast(links.where(F.col("n") > hot_rows).select(F.col("key").alias("hot_key")))  # total / hot_rows rows at most
+    is_hot = links.where(F.col("n") > hot_rows).limit(1).count() > 0
+    cold = keyed.join(hot, F.col("key") == F.col("hot_key"), "left_anti") if is_hot else keyed
+    at = cold.withColumn("slot", F.shiftright("key", DEPTH - coarse)).join(places, "slot").where("key BETWEEN low AND high").select("owner", "bucket", "key", "norm", "doc_id", "row")
+    at = at.repartitionById(owners, F.col("owner"))
+    chain = Window.partitionBy("owner", "bucket", "key")
+    link = Window.partitionBy("owner", "bucket", "key", "norm")
+    found = [at.select("row", "doc_id", F.min("doc_id").over(link).alias("keep_id"), F.count(F.lit(1)).over(link).alias("group_size"), F.sha2("norm", 256).alias("text_sha256"), "bucket", F.dense_rank().over(chain.orderBy("norm")).alias("link"))]
+    if is_hot:
+        probes = keyed.join(hot, F.col("key") == F.col("hot_key"), "left_semi")
+        combined = probes.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        index = cut(combined.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size", F.dense_rank().over(Window.partitionBy("key").orderBy("norm")).alias("link")))
+        at_hot = probes.select("row", "doc_id", "key", F.sha2("norm", 256).alias("text_sha256")).withColumn("slot", F.shiftright("key", DEPTH - coarse)).join(places, "slot").where("key BETWEEN low AND high")
+        found.append(at_hot.join(index, ["key", "text_sha256"]).select("row", "doc_id", "keep_id", "group_size", "text_sha256", "bucket", "link"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int | None = None, hot_rows: int | None = None, hash_bits: int = DEPTH) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and the bucket and link that hold it.
+
+    By default a bucket has a quarter of a shuffle partition's rows at most (65,536 if that is less), and so has a group
+    that counts as hot.
+    """
+    index = cut(resolved(docs, id_col, text_col, [], bucket_rows, hot_rows, hash_bits).drop("row"))
+    return index.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "link")
+
+
+def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns; they travel to their owner with their text."""
+    rows = resolved(docs, id_col, text_col, docs.columns, bucket_rows, hot_rows, DEPTH)
+    return rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket", "link")
 
 
 SQL = """
