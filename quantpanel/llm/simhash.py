@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import cut, table, utf8_bytes
+from quantpanel.llm.common import cut, table, utf8_bytes, with_row_key, without
 from quantpanel.llm.components import components
 
 BITS = 64
@@ -61,15 +61,15 @@ def fingerprint(text: str | None, size: int, distinct: bool = False) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, size: int, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, size: int, keys: list[str], distinct: bool = False) -> DataFrame:
+    """(keys, fp) of every row of `docs` (keys: long, text); fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, size, distinct) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(fp.view(np.int64))], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", fp long")
 
 
 @dataclass
@@ -97,7 +97,7 @@ def group_bits(corr: np.ndarray, m: int) -> list[list[int]]:
 def plan(sample: np.ndarray, total: int, distance: int, probe_cost: float = 50.0) -> Plan:
     """The cheapest partitions and thresholds for `total` fingerprints; a probe costs as much as `probe_cost` comparisons."""
     bits = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(float) if len(sample) else np.zeros((0, BITS))
-    signs = bits * 2 - 1
+    signs, total = bits * 2 - 1, max(1, total)
     corr = np.abs(signs.T @ signs) / max(1, len(sample))
     best = None
     for m in range(2, 9):
@@ -136,23 +136,51 @@ def within(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.int64)
 
 
-def bucket_rows(classes: DataFrame, p: Plan) -> DataFrame:
-    """(key, fp, home): each fingerprint's own bucket of each partition (home) and those it probes."""
+def bucket_rows(spots: DataFrame, p: Plan) -> DataFrame:
+    """(key, spot columns, home): each spot's own bucket of each partition (home) and those it probes. All columns are long."""
+    names = spots.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [within(len(part), t) if t >= 0 else None for part, t in zip(p.parts, p.thresholds, strict=True)]
         for batch in batches:
             for at in range(0, len(batch), 2_000):
-                fp = batch.column("fp")[at : at + 2_000].to_numpy()
+                columns = {n: batch.column(n)[at : at + 2_000].to_numpy() for n in names}
                 for i, (part, mask) in enumerate(zip(p.parts, masks, strict=True)):
                     if mask is None:
                         continue
-                    key = (part_values(fp.view(np.uint64), part)[:, None] ^ mask[None, :]) | (i << 48)
+                    key = (part_values(columns["fp"].view(np.uint64), part)[:, None] ^ mask[None, :]) | (i << 48)
                     home = np.zeros(key.shape, bool)
                     home[:, 0] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp, len(mask))), pa.array(home.ravel())], ["key", "fp", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(columns[n], len(mask))) for n in names), pa.array(home.ravel())], ["key", *names, "home"])
 
-    return classes.select("fp").mapInArrow(run, "key long, fp long, home boolean")
+    return spots.mapInArrow(run, f"key long, {', '.join(f'{n} long' for n in names)}, home boolean")
+
+
+#: Comparisons that one task makes for one bucket.
+TILE = 200_000_000
+
+
+def tiled(rows: DataFrame, tile: int | None = None) -> DataFrame:
+    """`rows` of buckets (key, fp, home) with tile and probe, each tile of a bucket to one task and sorted.
+
+    A bucket of more than `tile` comparisons is a grid of tiles: its home rows are dealt over the lines and stand in every
+    column, its probes over the columns and stand in every line. So each probe meets each home row once, in tasks of
+    bounded size, however many fingerprints share the bucket.
+    """
+    tile = tile or TILE
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"))
+    large = sizes.where(F.col("n") * F.col("homes") > tile).select("key", F.ceil(F.sqrt(F.col("n") * F.col("homes") / tile)).cast("int").alias("grid"))
+    if large.isEmpty():
+        dealt = rows.withColumn("tile", F.lit(0)).withColumn("probe", F.lit(True))
+    else:
+        spots = [c for c in rows.columns if c not in ("key", "home")]
+        line, column = F.pmod(F.xxhash64(*spots[:2]), F.col("grid")).cast("int"), F.pmod(F.xxhash64(*spots[:2], F.lit(1)), F.col("grid")).cast("int")
+        each = F.sequence(F.lit(0), F.col("grid") - 1)
+        place = lambda at, home, probe: F.struct(at.alias("tile"), F.lit(home).alias("home"), F.lit(probe).alias("probe"))
+        places = F.concat(F.when(F.col("home"), F.transform(each, lambda j: place(line * F.col("grid") + j, True, False))).otherwise(F.slice(F.transform(each, lambda j: place(j, True, False)), 1, 0)), F.transform(each, lambda i: place(i * F.col("grid") + column, False, True)))
+        alone = F.array(F.struct(F.lit(0).alias("tile"), F.col("home").alias("home"), F.lit(True).alias("probe")))
+        dealt = rows.join(large, "key", "left").withColumn("at", F.explode(F.when(F.col("grid").isNull(), alone).otherwise(places))).select("key", *spots, "at.*")
+    return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile")
 
 
 def local_links(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +224,7 @@ def compare(home: np.ndarray, probes: np.ndarray, distance: int, nearest: int |
     return local_links(u, v) if nearest is None and len(u) else (u, v)
 
 
-def links(classes: DataFrame, p: Plan, distance: int, nearest: int | None = None) -> DataFrame:
+def links(classes: DataFrame, p: Plan, distance: int, nearest: int | None = None, tile: int | None = None) -> DataFrame:
     """(u, v): linked fingerprints. Without `nearest` they connect exactly what all links within the distance connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,38 +233,21 @@ def links(classes: DataFrame, p: Plan, distance: int, nearest: int | None = None
             pairs = np.unique(np.stack([u, v], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], ["u", "v"])
 
-        found, held, rest = [], 0, None
-        for batch in batches:
-            got = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "fp", "home")]
-            rest = got if rest is None else [np.concatenate(x) for x in zip(rest, got, strict=True)]
-            cuts = np.flatnonzero(np.diff(rest[0])) + 1
-            if not len(cuts):
-                continue
-            done, rest = [x[: cuts[-1]] for x in rest], [x[cuts[-1] :] for x in rest]
-            for f in buckets(*done):
-                found.append(f)
-                held += len(f[0])
-                if held > 200_000:
-                    yield out(found)
-                    found, held = [], 0
-        if rest is not None:
-            found += buckets(*rest)
+        found, held = [], 0
+        for _, _, fp, home, probe in by_bucket(batches, ["key", "tile", "fp", "home", "probe"]):
+            if len(fp) > 1 and home.any():
+                fp = fp.view(np.uint64)
+                f = compare(fp[home], fp[probe], distance, nearest)
+                if len(f[0]):
+                    found.append(f)
+                    held += len(f[0])
+            if held > 200_000:
+                yield out(found)
+                found, held = [], 0
         if found:
             yield out(found)
 
-    def buckets(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        fp = fp.view(np.uint64)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        homes = np.concatenate([[0], np.cumsum(home)])[edges]
-        size, n_home = np.diff(edges), np.diff(homes)
-        for b in np.flatnonzero((size > 1) & (n_home > 0)):
-            s = slice(edges[b], edges[b + 1])
-            f = compare(fp[s][home[s]], fp[s], distance, nearest)
-            if len(f[0]):
-                yield f
-
-    rows = bucket_rows(classes, p).repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return tiled(bucket_rows(classes.select("fp"), p), tile).mapInArrow(run, "u long, v long").distinct()
 
 
 def sampled_plan(classes: DataFrame, distance: int, sample: int = 1_500) -> Plan:
@@ -245,26 +256,28 @@ def sampled_plan(classes: DataFrame, distance: int, sample: int = 1_500) -> Plan
     return plan(picked.view(np.uint64), total, distance)
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, tile: int | None = None) -> DataFrame:
     """One row per input row: doc_id, fingerprint (hexadecimal), component_id."""
-    fps = cut(fingerprints(docs, size))
+    fps = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, ["doc_id"]))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(classes, sampled_plan(classes, distance), distance))
+    roots = components(links(classes, sampled_plan(classes, distance), distance, tile=tile))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_fp = rooted.join(lowest, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, grams): the sorted distinct 32-bit shingle hashes of a text."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, grams) of `nodes` (row_id, row_hash, node): the sorted distinct 32-bit shingle hashes of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [np.unique(hashes(shingles(t, size)).astype(np.uint64).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(grams, pa.binary())], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.binary())], ["node", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, grams binary")
+    wanted = nodes.select(F.col("row_id").alias("node_id"), F.col("row_hash").alias("node_hash"), "node")
+    texts = docs.select("row_id", "row_hash", "text").join(wanted, F.col("row_id").eqNullSafe(F.col("node_id")) & (F.col("row_hash") == F.col("node_hash")))
+    return texts.select("node", "text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])  # repeated rows
 
 
 def near_others(p: Plan, i: int, probe: tuple[np.ndarray, np.ndarray], home: tuple[np.ndarray, np.ndarray], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -288,17 +301,28 @@ def near_others(p: Plan, i: int, probe: tuple[np.ndarray, np.ndarray], home: tup
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """The columns of each key of batches that are sorted by `key`."""
-    rest = None
+    """The columns of each bucket's tile, of batches that are sorted by the first two of them (key and tile)."""
+    rest: list[list[np.ndarray]] = []
+
+    def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*parts, strict=True)] if len(parts) > 1 else parts[0]
+
     for batch in batches:
+        if not len(batch):
+            continue
         got = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-        rest = got if rest is None else [np.concatenate(x) for x in zip(rest, got, strict=True)]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(rest[0])) + 1])
-        for a, b in zip(edges, edges[1:]):
-            yield [x[a:b] for x in rest]
-        rest = [x[edges[-1] :] for x in rest]
-    if rest is not None and len(rest[0]):
-        yield rest
+        if rest and (got[0][0] != rest[-1][0][-1] or got[1][0] != rest[-1][1][-1]):
+            yield joined(rest)
+            rest = []
+        edges = np.concatenate([[0], np.flatnonzero((np.diff(got[0]) != 0) | (np.diff(got[1]) != 0)) + 1])
+        if len(edges) > 1:
+            yield joined([*rest, [x[: edges[1]] for x in got]])
+            rest = []
+            for a, b in zip(edges[1:], edges[2:]):
+                yield [x[a:b] for x in got]
+        rest.append([x[edges[-1] :] for x in got])
+    if rest:
+        yield joined(rest)
 
 
 SKETCH = 1024
@@ -315,37 +339,23 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
-def remaining_links(docs: DataFrame, members: DataFrame, p: Plan, size: int, similarity: float, distance: int) -> DataFrame:
+def remaining_links(docs: DataFrame, members: DataFrame, p: Plan, size: int, similarity: float, distance: int, tile: int | None = None) -> DataFrame:
     """(u, v): verified links that connect what all verified candidates of different groups connect.
 
-    `members` has doc_id, fp, grp. First the rows of buckets that have a candidate of another group are found; only they
-    fetch their shingle sets. Then every candidate of a bucket is verified whose groups no link of that bucket has
-    connected yet: no pair is written anywhere, and none is left out.
+    `members` has row_id, row_hash, node, fp, grp. First the rows of buckets that have a candidate of another group are
+    found; only they fetch their shingle sets. Then every candidate of a tile is verified whose groups no link of that
+    tile has connected yet: no pair is written anywhere, and none is left out.
     """
-    spots = members.select("fp", "grp").distinct()
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = [within(len(part), t) if t >= 0 else None for part, t in zip(p.parts, p.thresholds, strict=True)]
-        for batch in batches:
-            for at in range(0, len(batch), 2_000):
-                fp, grp = (batch.column(n)[at : at + 2_000].to_numpy() for n in ("fp", "grp"))
-                for i, (part, mask) in enumerate(zip(p.parts, masks, strict=True)):
-                    if mask is None:
-                        continue
-                    key = (part_values(fp.view(np.uint64), part)[:, None] ^ mask[None, :]) | (i << 48)
-                    home = np.zeros(key.shape, bool)
-                    home[:, 0] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), np.repeat(fp, len(mask)), np.repeat(grp, len(mask)), home.ravel())], ["key", "fp", "grp", "home"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for key, fp, grp, home in by_bucket(batches, ["key", "fp", "grp", "home"]):
+        for key, _, fp, grp, home, probe in by_bucket(batches, ["key", "tile", "fp", "grp", "home", "probe"]):
             if len(key) < 2 or not home.any():
                 continue
-            at_home, used = np.flatnonzero(home), np.zeros(len(key), bool)
+            at_home, at_probe, used = np.flatnonzero(home), np.flatnonzero(probe), np.zeros(len(key), bool)
             f = fp.view(np.uint64)
-            for x, y in near_others(p, int(key[0]) >> 48, (f, grp), (f[at_home], grp[at_home]), distance):
-                used[x] = True
+            for x, y in near_others(p, int(key[0]) >> 48, (f[at_probe], grp[at_probe]), (f[at_home], grp[at_home]), distance):
+                used[at_probe[x]] = True
                 used[at_home[y]] = True
             if used.any():
                 out.append([c[used] for c in (key, fp, grp, home)])
@@ -357,8 +367,8 @@ def remaining_links(docs: DataFrame, members: DataFrame, p: Plan, size: int, sim
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "fp", "grp", "home"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp, grp, home, doc, grams in by_bucket(batches, ["key", "fp", "grp", "home", "doc_id", "grams"]):
-            at_home = np.flatnonzero(home)
+        for key, _, fp, grp, home, probe, node, grams in by_bucket(batches, ["key", "tile", "fp", "grp", "home", "probe", "node", "grams"]):
+            at_home, at_probe = np.flatnonzero(home), np.flatnonzero(probe)
             f, sets = fp.view(np.uint64), [np.frombuffer(g, np.uint32) for g in grams]
             n, odd = np.array([len(s) for s in sets]), parities(sets)
             above: dict[int, int] = {}
@@ -370,8 +380,8 @@ def remaining_links(docs: DataFrame, members: DataFrame, p: Plan, size: int, sim
                 return g
 
             us, vs = [], []
-            for x, y in near_others(p, int(key[0]) >> 48, (f, grp), (f[at_home], grp[at_home]), distance):
-                y = at_home[y]
+            for x, y in near_others(p, int(key[0]) >> 48, (f[at_probe], grp[at_probe]), (f[at_home], grp[at_home]), distance):
+                x, y = at_probe[x], at_home[y]
                 for at in range(0, len(x), 50_000):
                     a, b = x[at : at + 50_000], y[at : at + 50_000]
                     apart = np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64)
@@ -381,59 +391,65 @@ def remaining_links(docs: DataFrame, members: DataFrame, p: Plan, size: int, sim
                         ra, rb = root(int(grp[i])), root(int(grp[j]))
                         if ra != rb and similar(sets[i], sets[j], similarity):
                             above[ra] = rb
-                            us.append(int(doc[i]))
-                            vs.append(int(doc[j]))
+                            us.append(int(node[i]))
+                            vs.append(int(node[j]))
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    bucket = "key long, fp long, grp long, home boolean"
-    rows = spots.mapInArrow(spread, bucket).repartition("key").sortWithinPartitions("key")
-    met = cut(rows.mapInArrow(meet, bucket))
+    spots = members.select("fp", "grp").distinct()
+    # The home row of a spot is a probe too; a spot that was used in one tile of a bucket is used in all.
+    met = tiled(bucket_rows(spots, p), tile).mapInArrow(meet, "key long, fp long, grp long, home boolean")
+    met = cut(met.groupBy("key", "fp", "grp").agg(F.max("home").alias("home")))
     wanted = members.join(met.select("fp", "grp").distinct(), ["fp", "grp"])
-    sets = shingle_sets(docs.join(wanted.select("doc_id"), "doc_id", "left_semi"), size)
-    held = cut(wanted.join(sets, "doc_id"))
-    full = met.join(held, ["fp", "grp"]).select("key", "fp", "grp", "home", "doc_id", "grams")
-    return full.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
+    held = cut(wanted.select("node", "fp", "grp").join(shingle_sets(docs, wanted, size), "node"))
+    full = met.join(held, ["fp", "grp"]).select("key", "fp", "grp", "home", "node", "grams")
+    return tiled(full, tile).mapInArrow(verify, "u long, v long")
+
 
+def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14, nearest: int = 4, tile: int | None = None) -> DataFrame:
+    """(row_id, row_hash, keep_id, kept) of the documents in a group of two or more; keep_id is the id of the one that stays.
 
-def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14, nearest: int = 4) -> DataFrame:
-    """(doc_id, component_id) of the documents in a group of two or more; ids are taken as unique.
+    Rows are told apart as in `with_row_key`. The smallest id stays, a null one only if the group has no other; of equal
+    ids (with different texts) the one with the smallest text hash.
 
     Fingerprints count distinct shingles, as the similarity does: a line repeated in one copy doesn't move it away.
     Links are the pairs within the distance whose shingle sets have the similarity. The first round verifies the `nearest`
     closest fingerprints in each bucket and the first document of an equal fingerprint, which connects most of what
     belongs together; the second verifies all other candidates whose ends the first left in different groups, every document
-    of an equal fingerprint among them.
+    of an equal fingerprint among them. So `nearest` decides what is verified first, not what is verified.
     """
-    fps = cut(fingerprints(docs, size, distinct=True))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    docs = with_row_key(docs).select("row_id", "row_hash", F.col("row.text").alias("text"))
+    fps = fingerprints(docs, size, ["row_id", "row_hash"], distinct=True).dropDuplicates(["row_id", "row_hash"])
+    # Numbers are given once, in the job that writes them.
+    fps = cut(fps.withColumn("node", F.monotonically_increasing_id()))
+    classes = cut(fps.groupBy("fp").agg(F.min("node").alias("rep")))
     p = sampled_plan(classes, distance)
-    near = links(classes, p, distance, nearest)
+    near = links(classes, p, distance, nearest, tile)
     reps = classes.select("fp", "rep")
     pairs = near.join(reps.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(reps.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select("a", "b")
-    same = fps.join(reps, "fp").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = fps.join(reps, "fp").where(F.col("node") != F.col("rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
     pairs = cut(pairs.union(same))
-    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(shingle_sets(docs.join(involved, "doc_id", "left_semi"), size))
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = cut(shingle_sets(docs, fps.join(involved, "node", "left_semi"), size))
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sided = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
+    sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     found = cut(components(sided.select("a", "b", "ga", "gb").mapInArrow(jaccard, "u long, v long")))
-    groups = found.select(F.col("node").alias("doc_id"), F.col("root").alias("grp"))
-    members = cut(fps.where("doc_id IS NOT NULL").join(groups, "doc_id", "left").select("doc_id", "fp", F.coalesce("grp", "doc_id").alias("grp")))
-    rest = remaining_links(docs, members, p, size, similarity, distance)
-    roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest))
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    members = cut(fps.join(found.withColumnRenamed("root", "grp"), "node", "left").select("row_id", "row_hash", "node", "fp", F.coalesce("grp", "node").alias("grp")))
+    rest = remaining_links(docs, members, p, size, similarity, distance, tile)
+    grouped = cut(fps.join(components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest)), "node").select("row_id", "row_hash", "root"))
+    key = F.struct(F.col("row_id").isNull().alias("none"), "row_id", "row_hash")
+    first = grouped.groupBy("root").agg(F.min(key).alias("first"))
+    return grouped.join(first, "root").select("row_id", "row_hash", F.col("first.row_id").alias("keep_id"), (key == F.col("first")).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14) -> DataFrame:
-    """The rows of `docs` that stay: of each group of near duplicates the smallest id."""
-    dropped = verified_duplicates(docs, size, similarity, distance).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def keep_one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14, tile: int | None = None) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: one document of each group of near duplicates."""
+    return without(docs, verified_duplicates(docs, size, similarity, distance, tile=tile).where(~F.col("kept")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
