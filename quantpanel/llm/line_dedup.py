@@ -7,12 +7,13 @@ at least `min_docs` documents lose all their lines except in the document with t
 2. Each batch is summed by key before the shuffle, so a line that a third of all documents share sends one entry a batch.
    A shard's task adds them up, builds a minimal perfect hash over its distinct hashes that can drop a line, and stores at the
    hash's index a 64-bit fingerprint, the document count and the largest id: arrays of 20 bytes a key.
-3. The packed rows of step 1 meet the arrays of their shard (each shard is dealt to `salts` tasks) and probe them; what
-   is dropped comes back as (document, key hashes). No line text is joined, and nothing is broadcast.
+3. The packed rows of step 1 meet the arrays of their shard and probe them; a shard is dealt to as many tasks as its
+   entries fill, so one that holds a line of a third of all documents takes many. What is dropped comes back as
+   (document, key hashes). No line text is joined.
 
-Defined cases: null and empty texts are one empty line; every row counts as a document of its own, and what is dropped
-for an id is dropped in all rows with it; a null id is smaller than all others; an empty table gives an empty result;
-very long texts are processed whole; extra columns don't matter.
+Defined cases: null and empty texts are one empty line; every row counts as a document of its own, also where ids repeat
+(its lines go by its id: all rows with the largest id keep theirs); a null id is smaller than all others; an empty table
+gives an empty result; very long texts are processed whole; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ def probe(entries: np.ndarray, levels: list[bytes], cells: np.ndarray) -> np.nda
     return entries[gone]
 
 
-def dropped_keys(docs: DataFrame, min_chars: int, min_docs: int, shards: int, salts: int) -> DataFrame:
+def dropped_keys(docs: DataFrame, min_chars: int, min_docs: int, shards: int, task_bytes: int) -> DataFrame:
     """(doc_id, gone): the packed 128-bit key hashes that a document loses, one row for each shard that has some."""
     packed = cut(packed_keys(docs, shards, min_chars))
     arrays = cut(shard_arrays(packed, min_docs))
@@ -194,15 +195,17 @@ def dropped_keys(docs: DataFrame, min_chars: int, min_docs: int, shards: int, sa
         digests = np.stack([gone["hash"], gone["print"]], 1).astype(">u8")
         return pa.table([pa.array(doc), pa.array([x.tobytes() for x in np.split(digests, first[1:])], pa.binary())], schema=schema)
 
-    dealt = packed.select("shard", F.pmod("salt", F.lit(salts)).alias("salt"), "entries").groupBy("shard", "salt")
-    copies = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("shard", "salt", "levels", "cells").groupBy("shard", "salt")
+    # A row for each shard, and there are as many shards as the documents ask for, some 100,000 documents each.
+    salts = F.broadcast(packed.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("entries")) / task_bytes).cast("int").alias("salts")))
+    dealt = packed.join(salts, "shard").select("shard", F.pmod("salt", F.col("salts")).alias("salt"), "entries").groupBy("shard", "salt")
+    copies = arrays.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("shard", "salt", "levels", "cells").groupBy("shard", "salt")
     return dealt.cogroup(copies).applyInArrow(answer, "doc_id long, gone binary")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shards: int | None = None, salts: int = 4) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shards: int | None = None, task_bytes: int = 4_000_000) -> DataFrame:
     """One row per input row: doc_id, text (the remaining lines), n_lines, n_dropped, kept_sha256. A shard has some 100,000 rows of documents by default."""
     shards = shards or max(8, docs.count() // 100_000)
-    gone = dropped_keys(docs, min_chars, min_docs, shards, salts).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("gone").alias("gone"))
+    gone = dropped_keys(docs, min_chars, min_docs, shards, task_bytes).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("gone").alias("gone"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,17 +236,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents
+WITH rows AS (
+  SELECT row_number() OVER () AS rid, doc_id, text FROM documents
+), lines AS (
+  SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM rows
 ), keyed AS (
-  SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+  SELECT rid, doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
 ), often AS (
-  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT rid) >= 5
 ), marked AS (
-  SELECT doc_id, line, pos, last_doc IS NOT NULL AND last_doc <> doc_id AS gone FROM keyed LEFT JOIN often USING (key)
+  SELECT rid, keyed.doc_id, line, pos, often.key IS NOT NULL AND keyed.doc_id IS DISTINCT FROM last_doc AS gone FROM keyed LEFT JOIN often USING (key)
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY rid, doc_id
 """
