@@ -1,16 +1,19 @@
 """Language identification by a linear-chain conditional random field over the words of a text.
 
-A word's features are its hashed form (the lexicon), prefixes and suffixes up to three letters and its letter bigrams and
-trigrams; a weight for each feature and language gives the word's emission, and a weight for each pair of languages the
-transition. Forward-backward gives every word its probabilities, so a passage in another language inside a text keeps
-its own labels; the text's language is the one with the largest mean probability.
-
-Training maximises the likelihood of the label sequences of a sample: for every language value at most `rows_per_lang`
-rows of the learning fold, whole texts, cut into sequences of 64 words. The sample is the only thing that reaches one task.
-
-Defined cases: a null text or one without a letter is `und` with score 0; a null id is in the learning or held-out fold
-by the CRC-32 of the empty text; rows with null lang aren't learned from; without any learnable row all texts are `und`;
-ties go to the first language in alphabetical order; repeated rows are labelled each; extra columns don't matter.
+A word's features are its hashed form (the lexicon), the letter bigrams and trigrams of the word with marks at both ends,
+and its first and last three letters; a weight for each feature and language gives the word's emission, and a weight for
+each pair of languages the transition. Forward-backward gives every word its probabilities, so a passage in another
+language inside a text keeps its own labels; the text's language is the one with the largest mean probability.
+
+Training maximises the likelihood of label sequences of at most 64 words. They come from a sample: for every language value
+at most `rows_per_lang` rows of the learning fold, whole texts, at most `max_sequences` sequences in all (those with the
+smallest hash). As texts are labelled as a whole, code-switched sequences are made by splicing sequences of different
+languages, so that transitions are learned where the language changes too.
+
+Defined cases: a null text or one without a letter (Unicode category L) is `und` with score 0; a null id is in the learning
+or held-out fold by the CRC-32 of the empty text; rows with null lang aren't learned from; without any learnable row all
+texts are `und`; ties go to the first language in alphabetical order; rows that repeat an id are learned from as they
+stand and labelled each; words of any length count whole; an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -34,24 +37,40 @@ SLOTS = 1 << 16
 STEPS = 64
 
 
-class FeatureSlots(dict):
-    def __missing__(self, feature: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        slot = self[feature] = zlib.crc32(feature.encode()) % SLOTS
-        return slot
-
-
-def features(word: str, slots: FeatureSlots) -> list[int]:
-    word = word[:40]
-    marked = f"<{word}>"
-    names = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3)), *(f"s{word[-k:]}" for k in (1, 2, 3))]
-    names += [marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
-    return [slots[x] for x in names]
+def slots_of(*letters: np.ndarray) -> np.ndarray:
+    """The slots of n-grams, given by their first, second, ... letters."""
+    h = np.full(len(letters[0]), len(letters), np.uint64)
+    for x in letters:
+        h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, offsets): the feature slots of all words in a row, and where each word's begin."""
+    marked = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    first, owner = ends - sizes, np.repeat(np.arange(len(words)), sizes)
+    lexicon = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    found = [(np.arange(len(words)), slots_of(lexicon + np.uint64(1 << 40)))]
+    for n in (2, 3):
+        at = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
+        found.append((owner[at], slots_of(*(marked[at + k] for k in range(n)))))
+    long = np.flatnonzero(sizes >= 5)
+    for at in (first[long], ends[long] - 4):
+        found.append((long, slots_of(*(marked[at + k] for k in range(4)))))
+    owners, slots = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(owners, kind="stable")
+    return slots[order], np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Runs of letters, lower-cased. Fractions, Roman numerals and the like match the pattern, but are no letters."""
+    words = WORD.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 @dataclass
@@ -86,36 +105,49 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray, s
     return gamma * live[:, :, None], pairs
 
 
+def spliced(sequences: list[tuple[list[int], int]], seed: int = 0) -> list[tuple[list[int], list[int]]]:
+    """Code-switched sequences: stretches of 4 to 24 words from two sequences of different languages in turn."""
+    rng, out = np.random.default_rng(seed), []
+    order = rng.permutation(len(sequences)).tolist()
+    for a, b in zip(order[::2], order[1::2]):
+        (left, x), (right, y) = sequences[a], sequences[b]
+        if x == y:
+            continue
+        words, labels, at, side = [], [], [0, 0], int(rng.integers(2))
+        while len(words) < STEPS:
+            source, label = ((left, x), (right, y))[side]
+            take = source[at[side] : at[side] + min(int(rng.integers(4, 25)), STEPS - len(words))]
+            if not take:
+                break
+            words += take
+            labels += [label] * len(take)
+            at[side] += len(take)
+            side = 1 - side
+        out.append((words, labels))
+    return out
+
+
 def fit(texts: list[str], langs: list[str], iterations: int = 40, rate: float = 0.15, decay: float = 1e-3) -> Field | None:
     names = sorted(set(langs))
-    slots, place, flat, offsets, seqs, labels = FeatureSlots(), {}, [], [0], [], []
+    place: dict[str, int] = {}
+    sequences = []
     for text, lang in zip(texts, langs, strict=True):
-        words = words_of(text)
-        for w in words:
-            if w not in place:
-                place[w] = len(place)
-                flat += features(w, slots)
-                offsets.append(len(flat))
-        ids = [place[w] for w in words]
-        for i in range(0, len(ids), STEPS):
-            seqs.append(ids[i : i + STEPS])
-            labels.append(names.index(lang))
-    if not seqs:
+        ids = [place.setdefault(w, len(place)) for w in words_of(text)]
+        sequences += [(ids[i : i + STEPS], names.index(lang)) for i in range(0, len(ids), STEPS)]
+    if not sequences:
         return None
-    k, n = len(names), len(seqs)
-    lengths, y = np.array([len(s) for s in seqs]), np.array(labels)
-    grid = np.zeros((n, STEPS), int)
-    for i, s in enumerate(seqs):
-        grid[i, : len(s)] = s
+    sequences = [(s, [y] * len(s)) for s, y in sequences] + spliced(sequences)
+    k, n = len(names), len(sequences)
+    lengths = np.array([len(s) for s, _ in sequences])
+    grid, y = np.zeros((n, STEPS), int), np.zeros((n, STEPS), int)
+    for i, (s, labels) in enumerate(sequences):
+        grid[i, : len(s)], y[i, : len(s)] = s, labels
     live = np.arange(STEPS)[None, :] < lengths[:, None]
-    flat, offsets = np.array(flat), np.array(offsets)
-    sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(len(place)), sizes)
-    truth = np.zeros((n, STEPS, k), np.float32)
-    truth[np.arange(n), :, y] = 1
-    truth *= live[:, :, None]
-    true_moves = np.diag(np.bincount(y, np.maximum(lengths - 1, 0), k))
-    true_start = np.bincount(y, minlength=k).astype(float)
+    flat, offsets = features(list(place))
+    owner = np.repeat(np.arange(len(place)), np.diff(offsets))
+    truth = (np.eye(k, dtype=np.float32)[y]) * live[:, :, None]
+    true_moves = np.bincount((y[:, :-1] * k + y[:, 1:])[live[:, 1:]], minlength=k * k).reshape(k, k).astype(float)
+    true_start = np.bincount(y[:, 0], minlength=k).astype(float)
     total = float(lengths.sum())
     params = [np.zeros((SLOTS, k)), np.zeros((k, k)), np.zeros(k)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -134,43 +166,63 @@ def fit(texts: list[str], langs: list[str], iterations: int = 40, rate: float =
     return Field(names, params[0], params[1], params[2])
 
 
-def train(docs: DataFrame, rows_per_lang: int = 150) -> Field | None:
+def train(docs: DataFrame, rows_per_lang: int = 150, max_sequences: int = 20_000) -> Field | None:
     known = docs.where(F.col("lang").isNotNull() & (fold(4) != 2)).select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_lang).select("doc_id").distinct()
-    picked = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id")  # rows_per_lang rows a language
-    got = picked.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    return fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    ranked = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_lang)
+    # Every row has a sequence at most max_sequences of which are taken, so more rows than that can't matter.
+    sample = ranked.orderBy("r", "lang").limit(max_sequences).select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang")).distinct()
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, parts = [], []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                found = [" ".join(words[i : i + STEPS]) for i in range(0, len(words), STEPS)]
+                parts += found
+                langs += [lang] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.string())], ["lang", "words"])
+
+    same = F.col("doc_id").eqNullSafe(F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))
+    picked = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), same, "left_semi")  # max_sequences rows
+    cut_up = picked.select("lang", "text").mapInArrow(sequences, "lang string, words string")
+    got = cut_up.orderBy(F.xxhash64("words"), "words", "lang").limit(max_sequences).toArrow()
+    return fit(got.column("words").to_pylist(), got.column("lang").to_pylist())
+
+
+class Places(dict):
+    """Word to its number; `new` has those that were given since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
 
 
 class Labeller:
     """Emissions of words by a cache; forward-backward over texts of similar length together."""
 
     def __init__(self, field: Field):
-        self.field, self.slots = field, FeatureSlots()
+        self.field = field
         self.clear()
 
     def clear(self) -> None:
-        self.place, self.table, self.new = {}, np.zeros((0, len(self.field.langs))), []
+        self.place, self.table = Places(), np.zeros((0, len(self.field.langs)))
 
     def rows(self, words: list[str]) -> np.ndarray:
-        place, new = self.place, self.new
-        out = np.empty(len(words), int)
-        for i, w in enumerate(words):
-            p = place.get(w)
-            if p is None:
-                p = place[w] = len(place)
-                new.append(w)
-            out[i] = p
-        return out
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def settle(self) -> None:
         """Emissions of the words that are new since the last call."""
-        if self.new:
-            found = [features(w, self.slots) for w in self.new]
-            offsets = np.cumsum([0, *map(len, found)])[:-1]
-            self.table = np.concatenate([self.table, np.add.reduceat(self.field.weights[np.concatenate(found)], offsets)])
-            self.new = []
+        found = [self.table]
+        for at in range(0, len(self.place.new), 20_000):
+            slots, offsets = features(self.place.new[at : at + 20_000])
+            found.append(np.add.reduceat(self.field.weights[slots], offsets[:-1]))
+        self.table = np.concatenate(found)
+        self.place.new.clear()
 
     def probabilities(self, rows: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         """Of texts with words: their numbers, lengths and word probabilities, some 400,000 words at a time."""
