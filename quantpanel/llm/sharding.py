@@ -5,7 +5,7 @@ Records are ordered by (xxhash64(text), id), so equal texts are neighbours.
 1. A sample in which a record's chance grows with its size gives splitters at its quantiles: many small key ranges of
    about equal bytes. Ranges that turn out overfull (sampling error, or one text that a third of all rows share; the id
    is part of the key) are subdivided by a denser sample of their own.
-2. Byte and row totals of the ranges, some hundred numbers, give each range its offset; a window inside each range adds
+2. Byte and row totals of the ranges, some hundred or a number for every `range_bytes`, give each range its offset; a window inside each range adds
    the running size. No task sees more than one range.
 3. A shard starts where the running size passes k/shards of the total. A start that falls inside a small group of equal
    texts moves to the start of the group, so only groups above `group_share` of a shard are divided.
@@ -38,6 +38,24 @@ def place(bounds: list[tuple[int, int]]) -> Column:
     return F.expr(tree(0, len(bounds)))
 
 
+def located(keyed: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """`keyed` with range, the number of `bounds` at or below the row's key.
+
+    Few bounds are a tree of comparisons. Many are a table that is joined by the first 16 bits of the hash, each range at
+    every value it covers, so it has at most 65,536 rows more than there are ranges.
+    """
+    if len(bounds) <= 256:
+        return keyed.withColumn("range", place(bounds))
+    lows, highs = [(LOWEST, LOWEST), *bounds], [*bounds, None]
+    rows = [(i, *low, *(high or (None, None)), low[0] >> 48, (high[0] if high else 2**63 - 1) >> 48) for i, (low, high) in enumerate(zip(lows, highs, strict=True))]
+    table_ = keyed.sparkSession.createDataFrame(rows, "range int, low_h long, low_oid long, high_h long, high_oid long, first int, last int")
+    table_ = F.broadcast(table_.withColumn("slot", F.explode(F.sequence("first", "last"))).drop("first", "last"))
+    above = (F.col("h") > F.col("low_h")) | ((F.col("h") == F.col("low_h")) & (F.col("oid") >= F.col("low_oid")))
+    below = F.col("high_h").isNull() | (F.col("h") < F.col("high_h")) | ((F.col("h") == F.col("high_h")) & (F.col("oid") < F.col("high_oid")))
+    joined = keyed.withColumn("slot", F.shiftright("h", 48).cast("int")).join(table_, "slot").where(above & below)
+    return joined.select(*keyed.columns, "range")
+
+
 def quantiles(keys: list[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
     keys = sorted(keys)
     return sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
@@ -50,11 +68,11 @@ def splitters(keyed: DataFrame, total: int, ranges: int, oversample: int, rounds
     bounds = quantiles(take(keyed.where(chance(ranges * oversample / total))), ranges)
     target = total / ranges
     for left in range(rounds, -1, -1):
-        totals = sorted((r["range"], r["bytes"], r["rows"]) for r in keyed.groupBy(place(bounds).alias("range")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect())
+        totals = sorted((r["range"], r["bytes"], r["rows"]) for r in located(keyed, bounds).groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect())
         over = {i: b for i, b, n in totals if b > 3 * target and n > 1}
         if not over or not left:
             return bounds, totals
-        dense = keyed.withColumn("range", place(bounds)).where(F.col("range").isin(list(over))).where(chance(oversample * 2 / target))
+        dense = located(keyed, bounds).where(F.col("range").isin(list(over))).where(chance(oversample * 2 / target))
         found: dict[int, list] = {}
         for r in dense.select("range", "h", "oid").collect():
             found.setdefault(r["range"], []).append((r["h"], r["oid"]))
@@ -62,8 +80,12 @@ def splitters(keyed: DataFrame, total: int, ranges: int, oversample: int, rounds
     raise AssertionError("unreachable")
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 6, oversample: int = 24, rounds: int = 3, group_share: float = 0.01) -> DataFrame:
-    """One row per record: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 6, range_bytes: int = 4_000_000_000, oversample: int = 24, rounds: int = 3, group_share: float = 0.01) -> DataFrame:
+    """One row per record: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+
+    A range has a sixth of a shard's bytes, or `range_bytes` if that is less, so what one task sorts doesn't grow with the
+    corpus. Ranges that stay overfull after `rounds` subdivisions are still placed right, as one larger task each.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = cut(docs.select(
@@ -71,7 +93,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         F.xxhash64(text).alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("oid"),
     ))
     total = keyed.agg(F.sum("size")).first()[0] or 1
-    bounds, totals = splitters(keyed, total, shards * ranges_per_shard, oversample, rounds)
+    bounds, totals = splitters(keyed, total, max(shards * ranges_per_shard, total // range_bytes), oversample, rounds)
     offset_bytes, offset_rows, b, n = [], [], 0, 0
     for i, size, rows in totals:
         offset_bytes.append((i, b, n))
@@ -79,7 +101,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     offsets = F.broadcast(spark.createDataFrame(offset_bytes, "range int, bytes_before long, rows_before long"))  # a row for each range
     order = Window.partitionBy("range").orderBy("h", "oid")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.withColumn("range", place(bounds)).join(offsets, "range")
+    placed = located(keyed, bounds).join(offsets, "range")
     middle = F.col("bytes_before") + F.sum("size").over(running) - F.col("size") / 2
     first = placed.withColumn("raw", F.least(F.lit(shards - 1), F.floor(middle * shards / total))).groupBy("raw").agg(F.min(F.struct("h", "oid")).alias("key"))
     starts = {r["raw"]: (r["key"]["h"], r["key"]["oid"]) for r in first.collect()}  # one key a shard

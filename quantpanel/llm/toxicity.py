@@ -33,18 +33,20 @@ WORD = re.compile(r"[^\W\d_]+")
 SLOTS = 1 << 18
 
 
+def word_slots(word: str) -> tuple[int, ...]:
+    found = (zlib.crc32(word.encode()) % SLOTS,)
+    return found + (zlib.crc32(b"^" + word[:4].encode()) % SLOTS,) if len(word) > 4 else found
+
+
 class Slots(dict):
     """Word to its slots; emptied when it holds `most` words."""
 
-    most = 200_000
+    most = 100_000
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
-        found = (zlib.crc32(word.encode()) % SLOTS,)
-        if len(word) > 4:
-            found += (zlib.crc32(b"^" + word[:4].encode()) % SLOTS,)
-        self[word] = found
+        found = self[word] = word_slots(word)
         return found
 
 
@@ -181,14 +183,14 @@ class Scorer:
 
     def __init__(self, machine: Machine):
         self.machine, self.where = machine, {int(s): i for i, s in enumerate(machine.slots)}
-        self.words, self.known = Slots(), {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def positions(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= Slots.most:
                 self.known.clear()
-            found = self.known[word] = tuple(self.where[s] for s in self.words[word] if s in self.where)
+            found = self.known[word] = tuple(self.where[s] for s in word_slots(word) if s in self.where)
         return found
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
@@ -199,6 +201,10 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.machine.logit(rows), -40, 40)))
 
 
+#: Rows of a batch that are Python strings at one time.
+SLICE = 500
+
+
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score of every row."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
@@ -206,7 +212,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(batch.column("text").to_pylist()))], ["doc_id", "score"])
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scorer(part.column("text").to_pylist()))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -218,7 +226,9 @@ def scored(docs: DataFrame, machine: Machine, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            yield batch.filter(pa.array(scorer(batch.column(at).to_pylist()) < threshold))
+            for start in range(0, len(batch), SLICE):
+                part = batch.slice(start, SLICE)
+                yield part.filter(pa.array(scorer(part.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -57,17 +57,49 @@ def test_exact_dedup(docs, empty):
         ids = [j for j, u in norm if u == t]
         keep = min((j for j in ids if j is not None), default=None)
         expected.append((i, keep, len(ids), i == keep, sha(t.encode())))
-    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows_of(exact_dedup.exact_dedup(docs, bucket_rows=2, max_depth=4))]
-    assert sorted(map(str, got)) == sorted(map(str, expected))
+    for bits, size, hot in ((63, 2, None), (63, None, 2), (1, 2, None), (2, 1, 3)):  # few hash bits: chains of different texts
+        got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows_of(exact_dedup.exact_dedup(docs, bucket_rows=size, hot_rows=hot, hash_bits=bits))]
+        assert sorted(map(str, got)) == sorted(map(str, expected))
     assert exact_dedup.exact_dedup(empty).count() == 0
     kept = exact_dedup.keep_first_copies(docs)
     assert kept.columns == docs.columns and {2, 5}.isdisjoint({r.doc_id for r in kept.collect()})
+    assert exact_dedup.keep_first_copies(empty).count() == 0
 
 
-def test_directory_splits_only_overfull_buckets():
-    slots = exact_dedup.directory({0: 10, 1: 1, 2: 1, 3: 1, 6: 1}, 4, 3)
-    depth = {slot: d for slot, _, d in slots}
-    assert [s for s, _, _ in slots] == list(range(8)) and depth[0] == 3 and depth[2] == 2 and depth[7] == 1
+def test_buckets_double_where_they_are_overfull(spark):
+    rng = np.random.default_rng(0)
+    keys = np.concatenate([rng.integers(0, 2**63, 3000), rng.integers(0, 2**50, 500)])  # half a thousand share their first bits
+    buckets = exact_dedup.directory(spark.createDataFrame([(int(k), 1) for k in np.unique(keys)], "key long, n long"), 100, 10)
+    assert sum(b[2] for b in buckets) == len(np.unique(keys)) and all(b[2] <= 100 for b in buckets) and len({b[1] for b in buckets}) > 3
+    ends = [first + (1 << (63 - depth)) for first, depth, _, _ in buckets]
+    assert all(a <= b[0] for a, b in zip(ends, buckets[1:]))
+    owners = [o for _, _, o in exact_dedup.dealt(buckets, 8)]
+    assert owners == sorted(owners) and set(owners) == set(range(8))
+
+
+def test_a_hot_text_is_aggregated_where_it_stands(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 1, F.lit("hot  text")).otherwise(F.concat(F.lit("text "), (F.col("id") % 900).cast("string"))).alias("text"))
+    truth = df.groupBy(exact_dedup.normalised().alias("n")).agg(F.min("doc_id").alias("k"), F.count("*").alias("c"))
+    expected = sorted(map(tuple, df.withColumn("n", exact_dedup.normalised()).join(truth, "n").select("doc_id", "k", "c").collect()))
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df).collect()) == expected
+
+
+#: Ids that repeat with different texts, null ids, and copies among them.
+ODD_ROWS = [(1, "same text"), (12, "same text"), (12, "wholly different"), (None, "same text"), (3, "½ ²"), (None, None), (7, None)]
+
+
+def odd_rows(spark, more=()):
+    return spark.createDataFrame([(i, t, 0, "x", 1) for i, t in [*ODD_ROWS, *more]], "doc_id long, text string, row_id int, row string, key int")
+
+
+def kept_rows(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_exact_dedup_drops_rows_not_ids(spark):
+    got = exact_dedup.keep_first_copies(odd_rows(spark))
+    assert got.columns == ["doc_id", "text", "row_id", "row", "key"]
+    assert kept_rows(got) == sorted([(1, "same text"), (12, "wholly different"), (3, "½ ²"), (7, None)], key=str)
 
 
 # --- sharding ------------------------------------------------------------------------------------------------------------
@@ -83,6 +115,19 @@ def test_sharding(spark, docs, empty):
     assert len(by) == 24 and by["b"].max() < 1.03 * by["b"].mean() and (by["m"] + 1 == by["n"]).all()
 
 
+def test_sharding_by_many_ranges(spark):
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot " * 9)).otherwise(F.repeat(F.col("id").cast("string"), F.lit(9))).alias("text"))
+    few, fine = (rows_of(sharding.shard(many, 7, range_bytes=b)) for b in (10**9, 500))
+    assert len(few) == len(fine) == 6000 and [(r["size"], r["text_crc32"]) for r in few] == [(r["size"], r["text_crc32"]) for r in fine]
+    for got in (few, fine):
+        sizes = {s: sum(r["size"] for r in got if r["shard"] == s) for s in range(7)}
+        assert max(sizes.values()) < 1.03 * min(sizes.values())
+        for s in range(7):
+            assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+        for r in got:
+            assert r["text_crc32"] == zlib.crc32(("hot " * 9 if r["doc_id"] % 3 == 0 else str(r["doc_id"]) * 9).encode()) and r["law"] == "bytes" and r["grown_shard"] is None
+
+
 # --- line dedup ----------------------------------------------------------------------------------------------------------
 def test_line_dedup(docs, empty):
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
@@ -101,6 +146,25 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_equals_its_sql_where_ids_repeat(spark):
+    import duckdb
+    import pyarrow as pa
+
+    long = [f"{k} {LONG_LINE}" for k in range(4)]
+    rows = [(1, long[0]), (1, long[0]), (2, long[0] + "\n" + long[1]), (2, long[0]), (3, long[0] + "\n"), (None, long[1]), (None, long[1] + "\n" + long[1]), (4, long[1]), (5, long[1]), (5, None), (6, ""), (7, long[2])]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    expected = sorted(map(str, con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({line_dedup.SQL})").fetchall()))
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(str((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256)) for r in got.collect()) == expected
+
+
+def test_a_line_of_a_third_of_all_documents_is_dealt_to_many_tasks(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(LONG_LINE)).otherwise(F.concat(F.lit("own line of some forty characters in all "), F.col("id").cast("string"))).alias("text"))
+    got = line_dedup.line_dedup(df, task_bytes=2_000)
+    assert got.where("n_dropped = 1").count() == 1999 and got.count() == 6000
+
+
 def test_perfect_hash_is_minimal():
     h = np.unique(np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64))
     p = line_dedup.PerfectHash.build(h)
@@ -241,6 +305,48 @@ def test_every_document_of_an_equal_fingerprint_is_compared(spark):
     assert {r.doc_id for r in simhash.keep_one_of_each(df).collect()} == {0}
 
 
+def test_near_duplicates_drop_rows_not_ids(spark, empty):
+    words = prose(3, 200).split()
+    near = " ".join([*words[:90], "edited", *words[91:]])
+    df = odd_rows(spark, [(12, " ".join(words)), (12, near), (None, near + " end"), (40, prose(8, 100)), (40, prose(8, 100))])
+    got = kept_rows(simhash.keep_one_of_each(df))
+    assert len({t for i, t in got if t in (" ".join(words), near, near + " end")}) == 1
+    texts = [t for _, t in got]
+    assert texts.count("same text") == 1 and (1, "same text") in got and (12, "wholly different") in got and texts.count(prose(8, 100)) == 2
+    assert simhash.keep_one_of_each(empty).columns == empty.columns
+
+
+@pytest.mark.parametrize("tile", [40, 2_000])
+def test_large_buckets_are_dealt_over_tiles(spark, tile):
+    rng = np.random.default_rng(tile)
+    centre = int(rng.integers(2**62))
+    fp = np.unique(np.array([centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False)) for _ in range(150)], np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    p = simhash.plan(fp, len(fp), 3)
+    groups = lambda roots: sorted(sorted(k for k in roots if roots[k] == v) for v in set(roots.values()))
+    one, many = ({r.node: r.root for r in components(simhash.links(df, p, 3, tile=t)).collect()} for t in (None, tile))
+    assert one and groups(one) == groups(many)
+    words = prose(900, 150).split()
+    rows = [(k, " ".join([*words[: 3 * k], f"own{k}", *words[3 * k + 1 :]])) for k in range(40)] + [(100 + k, prose(300 + k, 150)) for k in range(40)]
+    near = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one_of_each(near, tile=tile).collect()} == {0, *range(100, 140)}
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] * bool(words)
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in parts]
+    return "".join("1" if sum(x >> b & 1 for x in h) * 2 > len(h) else "0" for b in range(63, -1, -1))
+
+
+def test_fingerprints_are_those_of_the_contract(docs):
+    texts = {(i, plain_fingerprint(t)) for i, t in TEXTS if len(t or "") < 5000}
+    got = {(r["doc_id"], f"{int(r['fingerprint'], 16):064b}") for r in simhash.near_duplicates(docs).collect()}
+    assert texts <= got
+
+
 def test_components_of_a_chain(spark):
     n = 300
     order = np.random.default_rng(0).permutation(n).tolist()
@@ -264,10 +370,45 @@ def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(9, item), (10, "five words of an item"), (11, "too short"), (12, None)], "item_id long, text string")
     got = {r.doc_id: r["items"] for r in decontaminate.decontamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {1: [9], 2: [], 3: [9], 4: [], 5: [], 6: [], 7: [9], 8: [10]}
-    assert decontaminate.decontamination(docs, bench).count() == 17 and decontaminate.decontamination(empty, bench).count() == 0
+    assert decontaminate.decontamination(docs, bench).count() == len(TEXTS) and decontaminate.decontamination(empty, bench).count() == 0
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(TEXTS)
 
 
+def test_decontamination_drops_rows_not_ids(spark):
+    item = prose(70, 30)
+    bench = spark.createDataFrame([(9, item), (None, prose(75, 30))], "item_id long, text string")
+    df = odd_rows(spark, [(12, item), (None, "a " + item), (1, prose(75, 30))])
+    got = decontaminate.drop_contaminated(df, bench)
+    assert got.columns == df.columns and kept_rows(got) == sorted([*ODD_ROWS, (1, prose(75, 30))], key=str)
+    marks = sorted(((r.doc_id, r["items"]) for r in decontaminate.decontamination(df, bench).where("contaminated").collect()), key=str)
+    assert marks == sorted([(12, [9]), (None, [9])], key=str)
+
+
+def test_decontamination_equals_all_windows(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(words[i] for i in rng.integers(0, 60, n))) for k, n in enumerate([3, 5, 7, 8, 9, 10, 12, 13, 14, 30, 60])]
+    rows = []
+    for k in range(120):
+        text = [words[i] for i in rng.integers(0, 60, 25)]
+        item = items[int(rng.integers(len(items)))][1].split()
+        cut = item[: int(rng.integers(3, len(item) + 1))] if rng.random() < 0.4 else item
+        for at in rng.integers(0, len(cut), int(rng.integers(0, 4))):
+            cut = [*cut[:at], "other", *cut[at + 1 :]]
+        rows.append((k, " ".join(text[:9] + cut + text[9:])))
+    expected = {}
+    for k, t in rows:
+        a = t.split()
+        for i, u in items:
+            b = u.split()
+            n = min(13, len(b))
+            fits = [sum(x != y for x, y in zip(a[p : p + n], b[q : q + n])) for p in range(len(a) - n + 1) for q in range(len(b) - n + 1)]
+            if n >= 5 and fits and min(fits) <= decontaminate.allowed(n):
+                expected.setdefault(k, []).append(i)
+    got = {r.doc_id: r["items"] for r in decontaminate.decontamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("contaminated").collect()}
+    assert got == expected and len(got) > 40
+
+
 # --- licenses ------------------------------------------------------------------------------------------------------------
 def test_license_scan(docs, empty):
     got = {r["doc_id"]: r for r in rows_of(license_scan.license_scan(docs))}
@@ -326,6 +467,28 @@ def test_toxicity_learns_a_pair(spark, docs, empty):
     assert {r.score for r in toxicity.toxicity(df, lab.limit(0)).collect()} == {1 / (1 + np.exp(40.0))}
 
 
+def test_toxicity_learns_what_neither_term_says_alone(spark):
+    """Toxic is one of two terms without the other: each term alone is neutral."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(1200):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join([WORDS[int(rng.integers(len(WORDS)))] for _ in range(6)] + ["scumlord"] * a + ["outgroup"] * b)))
+        labels.append((i, int(a != b)))
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i].predicted == labels[i][1] for i in held]) > 0.95
+
+
+def test_toxicity_drops_rows_not_ids(spark):
+    rows = [(100 + i, f"some {w} words here {i}") for i, w in enumerate(["vile", "kind", "mere", "mere"] * 40)]
+    lab = spark.createDataFrame([(i, int("vile" in t)) for i, t in rows] + [(None, 1), (5000, None)], "doc_id long, toxic int")
+    df = odd_rows(spark, [*rows, (100, "a kind word"), (12, "such vile words"), (None, "vile"), (None, "vile")])
+    got = toxicity.drop_toxic(df, lab)
+    assert got.columns == df.columns and kept_rows(got) == sorted([*ODD_ROWS, *((i, t) for i, t in rows if "vile" not in t), (100, "a kind word")], key=str)
+    assert toxicity.drop_toxic(df.limit(0), lab).count() == 0
+
+
 def test_language(spark, docs, empty):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     field = language.train(df)
@@ -336,6 +499,34 @@ def test_language(spark, docs, empty):
     assert len(odd) == len(TEXTS) and all(r["lang_pred"] == "und" for r in odd if r["doc_id"] in (4, 5, 6))
     assert language.identify(empty, field).count() == 0
     assert {r.lang_pred for r in language.identify(docs, language.train(empty)).collect()} == {"und"}
+    signs = spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "12 ३ __ ..."), (3, "x²")], "doc_id long, text string")
+    assert [(r.lang_pred == "und", r.score == 0) for r in language.identify(signs, field).orderBy("doc_id").collect()] == [(True, True), (True, True), (False, False)]
+    # Code-switched text: passages of eight words, a language each.
+    rng, by = np.random.default_rng(0), {}
+    for r in held:
+        by.setdefault(r.lang, []).append(language.words_of(r.text))
+    words, truth = [], []
+    for _ in range(40):
+        for lang in rng.permutation(sorted(by)).tolist():
+            source = max(by[lang], key=len)
+            at = int(rng.integers(len(source) - 8))
+            words += source[at : at + 8]
+            truth += [lang] * 8
+    labels = language.label_words(field, " ".join(words))
+    assert [w for w, _, _ in labels] == words and np.mean([lang == t for (_, lang, _), t in zip(labels, truth)]) > 0.85
+
+
+def test_words_count_whole():
+    same = "x" * 50
+    slots = lambda w: language.features([w])[0].tolist()
+    assert slots(same + "abc") != slots(same + "abd") and len(slots(same * 3)) > 2 * len(slots(same)) - 20
+
+
+def test_language_of_odd_rows(spark):
+    rows = [(1, "un deux trois", "fr"), (1, "one two three", "en"), (None, "vier fünf", "de"), (2, None, "en"), (3, "sechs", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(df, language.train(df)).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == "und" for r in got if r.doc_id == 2)
 
 
 def test_forward_backward_equals_enumeration():
@@ -364,12 +555,40 @@ def test_sentencepiece_equals_the_library(spark, docs, empty):
     assert sentencepiece.encode(empty, p).count() == 0
 
 
+def test_words_are_those_of_the_pattern():
+    rng = np.random.default_rng(0)
+    signs = [*"ab ZÀ×Öø÷ɏɐȿžñ\n\n  ▁.,1日😀\x00é"]
+    for n in range(300):
+        texts = ["".join(signs[i] for i in rng.integers(0, len(signs), rng.integers(0, 40))) for _ in range(5)] + [None]
+        words, counts = sentencepiece.split_words([None if t is None else t.encode() for t in texts])
+        expected = [sentencepiece.WORDS.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
+        assert counts.tolist() == [len(x) for x in expected] and [w.decode() for w in words.to_pylist()] == [w for x in expected for w in x]
+
+
+def test_merges_equal_the_library_on_random_words(spark):
+    import sentencepiece as library
+
+    model, rng = library.SentencePieceProcessor(model_file=sentencepiece.MODEL), np.random.default_rng(1)
+    signs = [*"aaeehtnsrio  ..,--11éß日😀"]
+    texts = ["".join(signs[i] for i in rng.integers(0, len(signs), 200)) for _ in range(150)] + ["a" * n for n in (1, 2, 59, 60, 61, 700)] + ["ab" * 90, "=" * 400, " " * 130]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in sentencepiece.encode(df, sentencepiece.load(), block_bytes=4_000).collect()}
+    assert got == {i: model.encode(t) for i, t in enumerate(texts)}
+
+
+def test_equal_rows_are_dealt_over_blocks(spark):
+    df = spark.createDataFrame([(1, "the same row")] * 600, "doc_id long, text string").coalesce(1)
+    got = sentencepiece.encode(df, sentencepiece.load(), block_bytes=1_000)
+    assert got.count() == 600 and len({tuple(r.ids) for r in got.collect()}) == 1
+
+
 def test_viterbi_fold_finds_the_best_path(spark):
-    pieces = [("a", 0, -1.0), ("b", 1, -1.5), ("ab", 2, -2.0), ("ba", 3, -1.9), ("aba", 4, -3.2), ("▁", 5, -0.5), ("▁a", 6, -1.2)]
+    pieces = [("a", 0, -1.0), ("b", 1, -1.5), ("ab", 2, -2.0), ("ba", 3, -1.9), ("aba", 4, -3.2), (" ", 5, -0.5), (" a", 6, -1.2)]
     p = sentencepiece.Pieces("unigram", pieces, list(range(10, 266)), [b""] * 266, 3)
     known = {t: (i, s) for t, i, s in pieces}
-    words = ["▁" + "".join(w) for n in range(1, 6) for w in itertools.product("abc", repeat=n)]
-    got = {r.word: list(r.ids) for r in sentencepiece.encode_words(spark.createDataFrame([(0, w, None) for w in words], "part int, word string, long_ids array<int>"), p).collect()}
+    words = [" " + "".join(w) for n in range(1, 6) for w in itertools.product("abc", repeat=n)]
+    rows = spark.createDataFrame([(0, i, w, None) for i, w in enumerate(words)], "part int, word_no int, word string, long_ids array<int>")
+    got = {words[r.word_no]: list(r.ids) for r in sentencepiece.encode_words(rows, p).collect()}
     score = lambda ids: sum({i: s for _, i, s in pieces}.get(i, p.unknown_score) for i in ids)
     for w in words:
         assert score(got[w]) == pytest.approx(score(sentencepiece.long_word(w, p, known)))
