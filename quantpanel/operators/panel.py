@@ -52,11 +52,19 @@ def in_request_order(bars: DataFrame, requested: DataFrame) -> DataFrame:
     return bars.join(F.broadcast(requested), "symbol")
 
 
+def genuine_vwap(bars: DataFrame) -> DataFrame:
+    """(genuine), one row: whether every symbol has some VWAP."""
+    return bars.groupBy("symbol").agg(F.max(F.col("vwap").isNotNull()).alias("has")).agg(F.coalesce(F.bool_and("has"), F.lit(False)).alias("genuine"))
+
+
+def chosen_vwap(bars: DataFrame, genuine: DataFrame) -> DataFrame:
+    proxy = (F.col("high") + F.col("low") + F.col("close")) / 3
+    return bars.crossJoin(F.broadcast(genuine)).withColumns({"vwap": F.when(F.col("genuine"), F.col("vwap")).otherwise(proxy), "vwap_source": F.when(F.col("genuine"), "source").otherwise("hlc3")}).drop("genuine")  # one row
+
+
 def with_vwap(bars: DataFrame) -> DataFrame:
     """The source's VWAP only if every symbol has some, else the mean of high, low and close for all; vwap_source says which."""
-    every = bars.groupBy("symbol").agg(F.max(F.col("vwap").isNotNull()).alias("has")).agg(F.coalesce(F.bool_and("has"), F.lit(False)).alias("genuine"))
-    proxy = (F.col("high") + F.col("low") + F.col("close")) / 3
-    return bars.crossJoin(F.broadcast(every)).withColumns({"vwap": F.when(F.col("genuine"), F.col("vwap")).otherwise(proxy), "vwap_source": F.when(F.col("genuine"), "source").otherwise("hlc3")}).drop("genuine")
+    return chosen_vwap(bars, genuine_vwap(bars))
 
 
 def with_derived(dense: DataFrame) -> DataFrame:
@@ -69,7 +77,8 @@ def panel(bars: DataFrame, source: str = "table", calendar: DataFrame | None = N
     clean = bars
     for c in (*OHLCV, "vwap"):
         clean = clean.withColumn(c, F.when(~F.isnan(c), F.col(c)))
-    made = with_derived(densify(with_vwap(clean).drop("vwap_source"), calendar)).join(F.broadcast(with_vwap(clean).select("vwap_source").limit(1)))
+    # Where there is no bar, high, low and close are null, so the proxy is too.
+    made = with_derived(chosen_vwap(densify(clean, calendar), genuine_vwap(clean)))
     return made.select("dt", "symbol", *FIELDS, F.concat(F.lit(f"{source}(vwap="), "vwap_source", F.lit(")")).alias("source"), "vwap_source")
 
 

@@ -45,8 +45,9 @@ def entries(book: DataFrame, config: Config) -> DataFrame:
     """New entries on every `rebalance_every`-th bar; an entry stays `hold_every` bars."""
     if config.rebalance_every == config.hold_every == 1:
         return book
-    bar = F.dense_rank().over(Window.partitionBy("candidate_id").orderBy("dt")) - 1
-    entered = book.withColumn("bar_no", bar).withColumn("s", F.when(F.col("bar_no") % config.rebalance_every == 0, F.col("s")))
+    # Bars are numbered on a row a candidate and date, not on cells.
+    bars = book.select(*SECTION).distinct().withColumn("bar_no", F.row_number().over(Window.partitionBy("candidate_id").orderBy("dt")) - 1)
+    entered = book.join(bars, list(SECTION)).withColumn("s", F.when(F.col("bar_no") % config.rebalance_every == 0, F.col("s")))
     held = entered.withColumn("s", F.sum("s").over(own_rows().rowsBetween(-(config.hold_every - 1), 0))).drop("bar_no")
     return held.withColumn("s", cross.scale(F.col("s"), config.gross, SECTION))
 
@@ -73,22 +74,31 @@ def settle_delisted(panel: DataFrame) -> DataFrame:
 
 
 def replay(book: DataFrame, panel: DataFrame, cost_bps: float = 0.0, passes: int = 2) -> DataFrame:
-    """(candidate_id, dt, ret, turnover, gross).
+    """(candidate_id, dt, ret, turnover, gross) of a book with a row for each date of its symbols.
 
     Closed form with costs c = rate * turnover: the weights carried over a bar depend on the cost of the bar before, so each
     pass takes the costs of the pass before it (the first none). One pass is exact without costs; two err by some 1e-9.
+
+    What a pass needs of a symbol doesn't depend on costs: its weight and the value it carried from its row before. A
+    date's symbols therefore become one row, and passes run over a candidate's dates alone: the value of the whole book at
+    the last close (`base`) and what prices did over night (`gap`) scale all that was carried.
     """
     rate = cost_bps / 1e4
-    section = Window.partitionBy(*SECTION)
-    df = priced(book, panel).withColumn("c", F.lit(0.0)).withColumn("intra", F.sum(F.col("w") * F.col("x")).over(section))
+    kept = F.coalesce(F.lag(F.col("w") * (1 + F.col("x")), 1).over(own_rows()), F.lit(0.0))
+    cells = priced(book, panel).withColumn("kept", kept)
+    daily = cells.groupBy(*SECTION).agg(
+        F.collect_list(F.struct("w", (F.col("kept") * F.col("g")).alias("held"))).alias("cells"), F.sum(F.col("kept") * (F.col("g") - 1)).alias("gap"), F.sum(F.col("w") * F.col("x")).alias("intra"), F.sum(F.abs("w")).alias("gross")
+    )
+    dates = Window.partitionBy("candidate_id").orderBy("dt")
+    daily = daily.withColumn("c", F.lit(0.0))
     for _ in range(passes if rate else 1):
-        df = df.withColumn("carried", F.try_divide(F.col("w") * (1 + F.col("x")), 1 - F.col("c") + F.col("intra")))
-        df = df.withColumn("carried", F.coalesce(F.lag("carried", 1).over(own_rows()), F.lit(0.0)))
-        df = df.withColumn("night", F.sum(F.col("carried") * (F.col("g") - 1)).over(section))
-        df = df.withColumn("held", F.try_divide(F.col("carried") * F.col("g"), 1 + F.col("night")))
-        df = df.withColumn("turnover", F.sum(F.abs(F.col("w") - F.col("held"))).over(section)).withColumn("c", F.col("turnover") * rate)
-    daily = df.groupBy(*SECTION).agg(F.max("night").alias("night"), F.max("intra").alias("intra"), F.max("turnover").alias("turnover"), F.max("c").alias("c"), F.sum(F.abs("w")).alias("gross"))
-    return daily.select(*SECTION, ((1 + F.col("night")) * (1 - F.col("c") + F.col("intra")) - 1).alias("ret"), "turnover", "gross")
+        daily = daily.withColumn("base", F.lag(1 - F.col("c") + F.col("intra"), 1, 1.0).over(dates))
+        # A book that lost all its value carries nothing on.
+        scale = F.when(F.col("base") == 0, F.lit(0.0)).otherwise(F.try_divide(F.lit(1.0), F.col("base") + F.col("gap")))
+        daily = daily.withColumn("scale", scale).withColumn("turnover", F.aggregate("cells", F.lit(0.0), lambda s, x: s + F.abs(x.w - x.held * F.col("scale"))))
+        daily = daily.withColumn("c", F.col("turnover") * rate)
+    night = F.coalesce(F.try_divide(F.col("gap"), F.col("base")), F.lit(0.0))
+    return daily.select(*SECTION, ((1 + night) * (1 - F.col("c") + F.col("intra")) - 1).alias("ret"), "turnover", "gross")
 
 
 def unlagged_return(signals: DataFrame, panel: DataFrame, gross: float = 1.0) -> DataFrame:

@@ -29,15 +29,44 @@ def node_report(df: DataFrame, nodes: Sequence[str], start: str | None = None, e
     return long.groupBy("node").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("value").isNull()).alias("invalid_cells"), F.count_if(non_finite(F.col("value"))).alias("faults"))
 
 
+def daily_validity(signals: DataFrame) -> DataFrame:
+    """(candidate_id, dt, valid, faulty, low, high): what decides on a signal, a row a candidate and date.
+
+    Signals with a `fault` column (faults of the nodes below) are faulty there too.
+    """
+    fault = F.coalesce(non_finite(F.col("value")), F.lit(False))
+    if "fault" in signals.columns:
+        fault = fault | F.col("fault")
+    return signals.groupBy("candidate_id", "dt").agg(F.count("value").alias("valid"), F.count_if(fault).alias("faulty"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def outcome() -> Column:
+    """NUMERICAL_NONFINITE, VALID_COVERAGE (no valid cell) and DEGENERATE_SIGNAL (all equal) reject; else ADMITTED."""
+    return F.when(F.col("faults") > 0, "NUMERICAL_NONFINITE").when(F.col("valid_cells") == 0, "VALID_COVERAGE").when(F.col("low") == F.col("high"), "DEGENERATE_SIGNAL").otherwise("ADMITTED")
+
+
+SCOPE = (F.sum, "valid", "valid_cells"), (F.sum, "faulty", "faults"), (F.min, "low", "low"), (F.max, "high", "high")
+
+
 def admission(signals: DataFrame, start: str, end: str) -> DataFrame:
-    """One row a candidate: valid cells in scope, faults, and the outcome.
+    """One row a candidate: valid cells in scope, faults, and the outcome."""
+    scope = daily_validity(signals.where(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date"))))
+    seen = scope.groupBy("candidate_id").agg(*(f(x).alias(name) for f, x, name in SCOPE))
+    return seen.select("candidate_id", "valid_cells", "faults", outcome().alias("outcome"))
+
+
+def admission_by_date(validity: DataFrame, windows: DataFrame) -> DataFrame:
+    """(candidate_id, research_date, valid_cells, faults, outcome, oos_faults): admission in each date's in-sample window.
 
-    NUMERICAL_NONFINITE, VALID_COVERAGE (no valid cell) and DEGENERATE_SIGNAL (all equal) reject; else ADMITTED.
+    Windows join the daily rows, so dates never multiply cells. Operators look back only, so what comes after a window
+    can't change what is in it.
     """
-    scope = signals.where(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    seen = scope.groupBy("candidate_id").agg(F.count("value").alias("valid_cells"), F.count_if(non_finite(F.col("value"))).alias("faults"), F.min("value").alias("low"), F.max("value").alias("high"))
-    outcome = F.when(F.col("faults") > 0, "NUMERICAL_NONFINITE").when(F.col("valid_cells") == 0, "VALID_COVERAGE").when(F.col("low") == F.col("high"), "DEGENERATE_SIGNAL").otherwise("ADMITTED")
-    return seen.select("candidate_id", "valid_cells", "faults", outcome.alias("outcome"))
+    inside = F.col("dt").between(F.col("is_start"), F.col("is_end"))
+    outside = (F.col("dt") > F.col("is_end")) & F.col("dt").between(F.col("oos_start"), F.col("oos_end"))
+    joined = validity.join(F.broadcast(windows), inside | outside).withColumn("inside", inside)  # a row a date
+    within = lambda x: F.when(F.col("inside"), F.col(x))
+    seen = joined.groupBy("candidate_id", "research_date").agg(*(F.coalesce(f(within(x)), F.lit(0)).alias(name) if f is F.sum else f(within(x)).alias(name) for f, x, name in SCOPE), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("faulty"))).alias("oos_faults"))
+    return seen.select("candidate_id", "research_date", "valid_cells", "faults", outcome().alias("outcome"), "oos_faults")
 
 
 def signal_hash(signals: DataFrame) -> DataFrame:

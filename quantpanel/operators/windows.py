@@ -91,7 +91,7 @@ def verdicts(scored: DataFrame, config: Config) -> DataFrame:
     meets = passes(oos, config.pass_line, higher)
     profit = (is_profitable(F.col("is_cagr")) & is_profitable(F.col("oos_cagr"))) if config.require_profit else F.lit(True)
     few = lambda phase, count, least: F.format_string(f"insufficient {phase} observations with live exposure (%d < {least}; %d bar(s) scored)", n(count), n(f"{phase.lower()}_n"))
-    shown = lambda c: F.coalesce(F.round(c, 4).cast("string"), F.lit("nan"))
+    shown = lambda c: F.when(c.isNull(), "nan").when(F.abs(c) < 1e6, F.format_string("%.4f", c)).otherwise(F.format_string("%.3e", c))
     reasons = F.array_compact(F.array(
         F.when(~enough_is, few("IS", "is_n_active", config.min_is_bars)), F.when(~enough_oos, few("OOS", "oos_n_active", config.min_oos_bars)),
         F.when(~active, F.lit("inactive strategy: average gross exposure is ~0")),

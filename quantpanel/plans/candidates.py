@@ -6,10 +6,13 @@ symbols or days is grouped by candidate_id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantpanel.functions import cross, elementwise, timeseries
+from quantpanel.operators.quality import non_finite
 
 #: candidate_id, shape, field, second field, w1, w2, final cross-sectional operator, operators used, expected sign.
 CATALOG = [
@@ -57,16 +60,25 @@ def raw_value(shape: str, a: str, b: str | None, w1: int, w2: int) -> Column:
     raise ValueError(f"unknown shape {shape!r}")
 
 
-def raw_signals(panel: DataFrame, rows=CATALOG) -> DataFrame:
-    """(candidate_id, dt, symbol, raw): all time operators in one pass, then candidates as rows."""
+def raw_signals(panel: DataFrame, rows=CATALOG, faults: bool = False) -> DataFrame:
+    """(candidate_id, dt, symbol, raw): all time operators in one pass, then candidates as rows.
+
+    With `faults`, also fault: whether an input of the cell or its raw value is infinite or not a number.
+    """
     if bad := [r[0] for r in rows if r[6] not in ("rank", "zscore", "none")]:
         raise ValueError(f"unknown final operator of {bad}")
-    wide = panel.select("dt", "symbol", *(raw_value(*r[1:6]).alias(r[0]) for r in rows))
-    return wide.unpivot(["dt", "symbol"], [r[0] for r in rows], "candidate_id", "raw")
+    key, names = ["dt", "symbol"], [r[0] for r in rows]
+    if not faults:
+        wide = panel.select(*key, *(raw_value(*r[1:6]).alias(r[0]) for r in rows))
+        return wide.unpivot(key, names, "candidate_id", "raw")
+    node = lambda x: F.coalesce(non_finite(x), F.lit(False))
+    cell = lambda r, x: F.struct(x.alias("raw"), reduce(lambda a, b: a | b, [node(x), *(node(F.col(n)) for n in r[2:4] if n)]).alias("fault"))
+    wide = panel.select(*key, *(cell(r, raw_value(*r[1:6])).alias(r[0]) for r in rows))
+    return wide.unpivot(key, names, "candidate_id", "cell").select("candidate_id", *key, "cell.raw", "cell.fault")
 
 
-def signals(panel: DataFrame, rows=CATALOG) -> DataFrame:
-    """(candidate_id, dt, symbol, value)."""
+def signals(panel: DataFrame, rows=CATALOG, faults: bool = False) -> DataFrame:
+    """(candidate_id, dt, symbol, value); with `faults` as in raw_signals, as a rank hides what was infinite before it."""
     section = ("candidate_id", "dt")
     finals: dict[str, list[str]] = {}
     for r in rows:
@@ -76,4 +88,4 @@ def signals(panel: DataFrame, rows=CATALOG) -> DataFrame:
         value = F.when(F.col("candidate_id").isin(finals["zscore"]), cross.zscore(F.col("raw"), section)).otherwise(value)
     if "rank" in finals:
         value = F.when(F.col("candidate_id").isin(finals["rank"]), cross.rank(F.col("raw"), section)).otherwise(value)
-    return raw_signals(panel, rows).select("candidate_id", "dt", "symbol", value.alias("value"))
+    return raw_signals(panel, rows, faults).select("candidate_id", "dt", "symbol", value.alias("value"), *(["fault"] if faults else []))

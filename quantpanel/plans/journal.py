@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quantpanel.operators.panel import fingerprint
@@ -23,11 +25,17 @@ SECRETS = [
 ]
 
 
-def merge_ledgers(old: DataFrame, new: DataFrame) -> DataFrame:
-    """By research date the newest row wins; rows without a date all stay."""
+def merge_ledgers(old: DataFrame, new: DataFrame, sequence: str | None = None) -> DataFrame:
+    """By research date the newest row wins; rows without a date all stay.
+
+    Newer is: in `new`; then, within one ledger, the larger `sequence` (the order in which rows were written). Rows that
+    are equal in that too, or all where there is no such column, are told apart by their other columns, so the result
+    doesn't depend on how they are dealt.
+    """
     both = old.withColumn("load", F.lit(0)).unionByName(new.withColumn("load", F.lit(1)))
     dated = both.where(F.col("research_date").isNotNull())
-    last = F.row_number().over(Window.partitionBy("research_date").orderBy(F.col("load").desc()))
+    rest = [F.to_json(F.struct(*(F.col(f"`{c}`") for c in old.columns))).desc()]
+    last = F.row_number().over(Window.partitionBy("research_date").orderBy(F.col("load").desc(), *([F.col(sequence).desc_nulls_last()] if sequence else []), *rest))
     return dated.withColumn("n", last).where("n = 1").drop("n").unionByName(both.where(F.col("research_date").isNull())).drop("load")
 
 
@@ -132,21 +140,38 @@ def usage_totals(usage: DataFrame) -> DataFrame:
     return spent.groupBy("run_id").agg(F.sum("input").alias("input_tokens"), F.sum("output").alias("output_tokens"))
 
 
-def redact(text: Column, live: Sequence[str] = ()) -> Column:
-    """Credential shapes masked; `live` are exact secret values to mask first."""
+def redact(text: Column, live: Sequence[str] = (), home: str | None = None) -> Column:
+    """Credential shapes masked; `live` are exact secret values to mask first, `home` a folder that becomes ~."""
     for value in live:
         text = F.replace(text, F.lit(value), F.lit("<redacted>"))
     for pattern, mask in SECRETS:
         text = F.regexp_replace(text, pattern, mask)
+    if home and len(home) >= 4:  # a shorter one stands in every path
+        for spelling in dict.fromkeys((home, home.replace("\\", "/"))):
+            text = F.regexp_replace(text, "(?i)" + re.sub(r"([^A-Za-z0-9])", r"\\\1", spelling), "~")
     return text
 
 
-def redact_all(df: DataFrame) -> DataFrame:
-    """Every string and array-of-string column redacted."""
-    made = {}
-    for name, kind in df.dtypes:
-        if kind == "string":
-            made[name] = redact(F.col(name))
-        elif kind == "array<string>":
-            made[name] = F.transform(name, lambda v: redact(v))
+def redacted(value: Column, kind: T.DataType, **options) -> Column:
+    """A value of any type with all strings in it redacted, but for the keys of maps."""
+    if isinstance(kind, T.StringType):
+        return redact(value, **options)
+    if isinstance(kind, T.ArrayType) and has_text(kind.elementType):
+        return F.transform(value, lambda v: redacted(v, kind.elementType, **options))
+    if isinstance(kind, T.MapType) and has_text(kind.valueType):
+        return F.transform_values(value, lambda _, v: redacted(v, kind.valueType, **options))
+    if isinstance(kind, T.StructType) and has_text(kind):
+        return F.when(value.isNotNull(), F.struct(*(redacted(value.getField(f.name), f.dataType, **options).alias(f.name) for f in kind)))
+    return value
+
+
+def has_text(kind: T.DataType) -> bool:
+    inner = {T.ArrayType: ("elementType",), T.MapType: ("valueType",)}.get(type(kind), ())
+    below = [f.dataType for f in kind] if isinstance(kind, T.StructType) else [getattr(kind, n) for n in inner]
+    return isinstance(kind, T.StringType) or any(map(has_text, below))
+
+
+def redact_all(df: DataFrame, **options) -> DataFrame:
+    """Every string of every column redacted, however deep it stands in structs, arrays and maps."""
+    made = {f.name: redacted(F.col(f"`{f.name}`"), f.dataType, **options) for f in df.schema if has_text(f.dataType)}
     return df.withColumns(made) if made else df

@@ -21,11 +21,14 @@ def daily_returns(panel: DataFrame, config: Config, rows=CATALOG) -> DataFrame:
 
 
 def scored(daily: DataFrame, windows: DataFrame, config: Config) -> DataFrame:
-    """One row a candidate and research date with is_* and oos_* metrics; windows join at the level of daily rows."""
-    by = ("candidate_id", "research_date", "phase")
-    table = M.metrics(V.in_phases(daily, windows), by, config)
-    pick = lambda phase: table.where(F.col("phase") == phase).select("candidate_id", "research_date", *(F.col(m).alias(f"{phase.lower()}_{m}") for m in M.NAMES))
-    return pick("IS").join(pick("OOS"), ["candidate_id", "research_date"], "left")
+    """One row a candidate and research date with is_* and oos_* metrics; windows join at the level of daily rows.
+
+    Both phases come from one aggregate: its rows are folded side by side, so the returns are computed once.
+    """
+    table = M.metrics(V.in_phases(daily, windows), ("candidate_id", "research_date", "phase"), config)
+    side = lambda phase: [F.max(F.when(F.col("phase") == phase, F.col(m))).alias(f"{phase.lower()}_{m}") for m in M.NAMES]
+    both = table.groupBy("candidate_id", "research_date").agg(F.bool_or(F.col("phase") == "IS").alias("any_is"), *side("IS"), *side("OOS"))
+    return both.where("any_is").drop("any_is")
 
 
 def eligible(table: DataFrame, config: Config) -> DataFrame:
@@ -46,19 +49,31 @@ def dead_ends(admissions: DataFrame) -> DataFrame:
     return admissions.where("outcome <> 'ADMITTED'").select("candidate_id", F.col("outcome").alias("reason"))
 
 
-def walk_forward(panel: DataFrame, dates: DataFrame, config: Config, rows=CATALOG) -> DataFrame:
+def walk_forward(panel: DataFrame, dates: DataFrame, config: Config, rows=CATALOG, values: DataFrame | None = None) -> DataFrame:
     """The ledger: for each research date the best admitted candidate with its verdict.
 
-    Selection reads in-sample figures only, so dates don't depend on one another and need no loop. A candidate with a
-    numerical fault out of sample gets NUMERICAL_REJECT; later dates go on.
+    A candidate is a dead end for a date if its signal can't be scored in sample (see quality.admission; faults of its
+    inputs count). Selection reads in-sample figures only, so dates don't depend on one another and need no loop. A chosen
+    candidate with a numerical fault out of sample gets NUMERICAL_REJECT and no out-of-sample value; later dates go on.
+    `values` are signals with faults, by default those of the catalog.
     """
+    values = signals(panel, rows, faults=True) if values is None else values
     windows = V.research_windows(dates, panel.select("dt").distinct(), config)
-    table = scored(daily_returns(panel, config, rows), windows, config)
-    chosen = best(table.join(F.broadcast(catalog(panel.sparkSession, rows).select("candidate_id", "candidate", "ops", "expression_hash")), "candidate_id"), config)
-    judged = V.verdicts(chosen, config)
-    fault = F.isnan("oos_value")
-    label = F.when(F.coalesce(fault, F.lit(False)), "NUMERICAL_REJECT").otherwise(F.col("label"))
-    return judged.join(F.broadcast(windows), "research_date").withColumn("label", label)
+    daily = B.replay(B.weights(values.select("candidate_id", "dt", "symbol", "value"), config), panel, config.cost_bps)
+    known = Q.admission_by_date(Q.daily_validity(values), windows)
+    table = scored(daily, windows, config).join(known.where("outcome = 'ADMITTED'").select("candidate_id", "research_date", "oos_faults"), ["candidate_id", "research_date"])
+    chosen = best(table.join(F.broadcast(catalog(panel.sparkSession, rows).select("candidate_id", "candidate", "ops", "expression_hash")), "candidate_id"), config)  # the catalog is a list of the driver's
+    return numerical_rejects(V.verdicts(chosen, config)).join(F.broadcast(windows), "research_date")
+
+
+def numerical_rejects(judged: DataFrame) -> DataFrame:
+    """Verdicts with `oos_faults`: where there are any, no value and no pass, but NUMERICAL_REJECT and the reason."""
+    fault = F.col("oos_faults") > 0
+    reason = F.array(F.concat(F.lit("non-finite values out of sample: "), F.col("oos_faults").cast("string")))
+    return judged.withColumns({
+        "label": F.when(fault, "NUMERICAL_REJECT").otherwise(F.col("label")), "passed": ~fault & F.col("passed"),
+        "oos_value": F.when(~fault, F.col("oos_value")), "reasons": F.when(fault, reason).otherwise(F.col("reasons")),
+    })
 
 
 def visible_priors(ledger: DataFrame) -> DataFrame:
@@ -93,4 +108,4 @@ def history(table: DataFrame, objective: str) -> DataFrame:
 
 
 def admissions(panel: DataFrame, start: str, end: str, rows=CATALOG) -> DataFrame:
-    return Q.admission(signals(Q.truncated(panel, end), rows), start, end)
+    return Q.admission(signals(Q.truncated(panel, end), rows, faults=True), start, end)

@@ -164,14 +164,15 @@ for row in CATALOG:
     SQL[row[0]] = f"WITH {PANEL}, raw AS (SELECT symbol, dt, {SHAPES[row[0]]} AS x FROM panel)\nSELECT symbol, dt, round({final}, {DIGITS}) AS value FROM raw"
 
 
-def stable_signals(panel: DataFrame, rows=CATALOG) -> DataFrame:
+def stable_signals(panel: DataFrame, rows=CATALOG, faults: bool = False) -> DataFrame:
     """Signals ranked on raw values of nine digits, so that sums in another order don't break ties otherwise."""
     from quantpanel.plans.candidates import raw_signals
 
     section = ("candidate_id", "dt")
-    raw = raw_signals(panel, rows).withColumn("raw", near(c("raw"), 9))
+    raw = raw_signals(panel, rows, faults).withColumn("raw", near(c("raw"), 9))
     zscores = [r[0] for r in rows if r[6] == "zscore"]
-    return raw.select("candidate_id", "dt", "symbol", F.when(c("candidate_id").isin(zscores), X.zscore(c("raw"), section)).otherwise(X.rank(c("raw"), section)).alias("value"))
+    value = F.when(c("candidate_id").isin(zscores), X.zscore(c("raw"), section)).otherwise(X.rank(c("raw"), section))
+    return raw.select("candidate_id", "dt", "symbol", value.alias("value"), *(["fault"] if faults else []))
 
 
 # --- scans, sources, panel ----------------------------------------------------------------------------------------------
@@ -325,11 +326,29 @@ def m8_signal_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.signal_hash(rounded(signals(brand_panel(spark, sf_dir))))
 
 
-@query("g4_dead_ends")
+SIGNALS = f""", raw0 AS (SELECT symbol, dt, {', '.join(f'round({sql}, 9) AS {name}' for name, sql in SHAPES.items())} FROM panel),
+long AS (UNPIVOT raw0 ON {', '.join(SHAPES)} INTO NAME candidate_id VALUE x), raw AS (SELECT k.candidate_id, p.symbol, p.dt, l.x FROM panel p CROSS JOIN (SELECT unnest([{', '.join(repr(n) for n in SHAPES)}]) AS candidate_id) k LEFT JOIN long l ON l.symbol = p.symbol AND l.dt = p.dt AND l.candidate_id = k.candidate_id),
+signal AS (SELECT candidate_id, symbol, dt, CASE WHEN candidate_id = 'k3_gap_mean' THEN (x - avg(x) OVER (PARTITION BY candidate_id, dt)) / nullif(stddev_samp(x) OVER (PARTITION BY candidate_id, dt), 0) ELSE {rank_sql('x', 'candidate_id, dt')} END AS value FROM raw)"""
+FAULTY = "count(*) FILTER (isinf(value) OR isnan(value))"
+OUTCOME = f"CASE WHEN {FAULTY} > 0 THEN 'NUMERICAL_NONFINITE' WHEN count(value) = 0 THEN 'VALID_COVERAGE' WHEN min(value) = max(value) THEN 'DEGENERATE_SIGNAL' ELSE 'ADMITTED' END"
+ORDER_OF = f"list_position([{', '.join(repr(r[0]) for r in CATALOG)}], candidate_id)"
+
+
+@query("g4_dead_ends", f"WITH {PANEL}{SIGNALS} SELECT candidate_id, count(value) AS valid_cells, {FAULTY} AS faults, {OUTCOME} AS outcome, ({ORDER_OF} - 1)::INT AS candidate FROM signal WHERE dt BETWEEN '1993-01-01' AND '1996-12-31' GROUP BY candidate_id")
 def g4_dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.admissions(brand_panel(spark, sf_dir), "1993-01-01", "1996-12-31").join(catalog(spark).select("candidate_id", "candidate"), "candidate_id")
 
 
+@query("g4_spoilt_input", f"""WITH {PANEL}{SIGNALS}, plain AS (SELECT candidate_id, {OUTCOME} AS outcome FROM signal WHERE dt BETWEEN '1993-01-01' AND '1996-12-31' GROUP BY candidate_id)
+SELECT candidate_id, CASE WHEN candidate_id IN ({', '.join(repr(r[0]) for r in CATALOG if 'volume' in r[2:4])}) THEN 'NUMERICAL_NONFINITE' ELSE outcome END AS outcome FROM plain""")
+def g4_spoilt_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One date's volumes are infinite: what reads them is rejected, though a rank of them is finite."""
+    panel = brand_panel(spark, sf_dir)
+    first = panel.where("dt >= '1993-01-01' AND volume IS NOT NULL").agg(F.min("dt").alias("spoilt"))
+    spoilt = panel.join(F.broadcast(first), c("dt") == c("spoilt"), "left").withColumn("volume", F.when(c("spoilt").isNotNull() & c("volume").isNotNull(), F.lit(float("inf"))).otherwise(c("volume")))
+    return G.admissions(spoilt.drop("spoilt"), "1993-01-01", "1996-12-31").select("candidate_id", "outcome")
+
+
 # --- portfolio and replay -----------------------------------------------------------------------------------------------
 ONE = [r for r in CATALOG if r[0] == "k3_reversal"]
 SIGNAL = f"""{SETTLED}, raw AS (SELECT symbol, dt, round(-(close - {lag_sql('close', 4)}), 9) AS x FROM panel), signal AS (SELECT symbol, dt, {rank_sql('x')} AS value FROM raw)"""
@@ -479,15 +498,24 @@ def v4_phase_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.phase_bounds(V.in_phases(daily, V.research_windows(dates_of(spark), panel.select("dt").distinct(), CONFIG)))
 
 
+def reasons_sql(mark: str = "; ") -> str:
+    """The reasons of a verdict from is_value, oos_value, a and b (live bars), na and nb (bars), ga, gb, ca, cb."""
+    few = lambda phase, live, n, least: f"CASE WHEN coalesce({live}, 0) < {least} THEN printf('insufficient {phase} observations with live exposure (%d < {least}; %d bar(s) scored)', coalesce({live}, 0), coalesce({n}, 0)) END"
+    shown = lambda x: f"CASE WHEN {x} IS NULL THEN 'nan' WHEN abs({x}) < 1e6 THEN printf('%.4f', {x}) ELSE printf('%.3e', {x}) END"
+    return f"""concat_ws('{mark}', {few('IS', 'a', 'na', CONFIG.min_is_bars)}, {few('OOS', 'b', 'nb', CONFIG.min_oos_bars)}, CASE WHEN NOT coalesce(ga > 1e-8 AND gb > 1e-8, false) THEN 'inactive strategy: average gross exposure is ~0' END,
+  CASE WHEN NOT coalesce(oos_value >= {CONFIG.pass_line}, false) THEN concat('OOS Sharpe ', {shown('oos_value')}, ' fails the pass line (>= {CONFIG.pass_line})') END,
+  CASE WHEN NOT coalesce(ca > 0 AND cb > 0, false) THEN concat('IS/OOS not consistently profitable (IS ', {shown('ca')}, ', OOS ', {shown('cb')}, ')') END)"""
+
+
 @query("v5_verdict", f"""WITH {REPLAYED}, {WINDOWS}, {PHASED}, {metrics_sql('phased', 'research_date, phase')},
-j AS (SELECT i.research_date, i.sharpe AS is_value, o.sharpe AS oos_value, i.n_active AS a, o.n_active AS b, i.avg_gross AS ga, o.avg_gross AS gb, i.cagr AS ca, o.cagr AS cb FROM metrics i LEFT JOIN metrics o ON i.research_date = o.research_date AND o.phase = 'OOS' WHERE i.phase = 'IS')
+j AS (SELECT i.research_date, i.sharpe AS is_value, o.sharpe AS oos_value, i.n_active AS a, o.n_active AS b, i.n AS na, o.n AS nb, i.avg_gross AS ga, o.avg_gross AS gb, i.cagr AS ca, o.cagr AS cb FROM metrics i LEFT JOIN metrics o ON i.research_date = o.research_date AND o.phase = 'OOS' WHERE i.phase = 'IS')
 SELECT research_date, round(is_value, 6) AS is_value, round(oos_value, 6) AS oos_value, coalesce(a >= {CONFIG.min_is_bars} AND b >= {CONFIG.min_oos_bars} AND ga > 1e-8 AND gb > 1e-8 AND oos_value >= {CONFIG.pass_line} AND ca > 0 AND cb > 0, false) AS passed,
-  (coalesce(a, 0) < {CONFIG.min_is_bars})::INT + (coalesce(b, 0) < {CONFIG.min_oos_bars})::INT + (NOT coalesce(ga > 1e-8 AND gb > 1e-8, false))::INT + (NOT coalesce(oos_value >= {CONFIG.pass_line}, false))::INT + (NOT coalesce(ca > 0 AND cb > 0, false))::INT AS n_reasons FROM j""")
+  {reasons_sql()} AS reasons FROM j""")
 def v5_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal, panel = one_signal(spark, sf_dir)
     daily = B.replay(B.weights(signal, CONFIG), panel, CONFIG.cost_bps)
     judged = V.verdicts(G.scored(daily, V.research_windows(dates_of(spark), panel.select("dt").distinct(), CONFIG), CONFIG), CONFIG)
-    return rounded(judged.select("research_date", "is_value", "oos_value", "passed", F.size("reasons").alias("n_reasons")))
+    return rounded(judged.select("research_date", "is_value", "oos_value", "passed", F.array_join("reasons", "; ").alias("reasons")))
 
 
 @query("v9_required_window", f"WITH {SETTLED}, {WINDOWS} SELECT (SELECT dt FROM cal WHERE bar = greatest(1, (SELECT min(bar) FROM cal WHERE dt >= (SELECT min(is_start) FROM windows)) - 16)) AS need_from, (SELECT max(oos_end) FROM windows) AS need_to")
@@ -565,13 +593,10 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({"run_id": F.concat(F.lit("run-"), F.year("research_date") % 2), "context": J.evidence_context(["objective"]), "data_version": F.lit("v1")})
 
 
-GRID_BOOK = f"""{SETTLED}, raw0 AS (SELECT symbol, dt, {', '.join(f'round({sql}, 9) AS {name}' for name, sql in SHAPES.items())} FROM panel),
-long AS (UNPIVOT raw0 ON {', '.join(SHAPES)} INTO NAME candidate_id VALUE x), raw AS (SELECT k.candidate_id, p.symbol, p.dt, l.x FROM panel p CROSS JOIN (SELECT unnest([{', '.join(repr(n) for n in SHAPES)}]) AS candidate_id) k LEFT JOIN long l ON l.symbol = p.symbol AND l.dt = p.dt AND l.candidate_id = k.candidate_id),
-signal AS (SELECT candidate_id, symbol, dt, CASE WHEN candidate_id = 'k3_gap_mean' THEN (x - avg(x) OVER (PARTITION BY candidate_id, dt)) / nullif(stddev_samp(x) OVER (PARTITION BY candidate_id, dt), 0) ELSE {rank_sql('x', 'candidate_id, dt')} END AS value FROM raw),
-centred AS (SELECT *, value - avg(value) OVER (PARTITION BY candidate_id, dt) AS z FROM signal), book AS (SELECT candidate_id, symbol, dt, z / nullif(sum(abs(z)) OVER (PARTITION BY candidate_id, dt), 0) AS s FROM centred),
+GRID_BOOK = f"""{SETTLED}{SIGNALS}, centred AS (SELECT *, value - avg(value) OVER (PARTITION BY candidate_id, dt) AS z FROM signal), book AS (SELECT candidate_id, symbol, dt, z / nullif(sum(abs(z)) OVER (PARTITION BY candidate_id, dt), 0) AS s FROM centred),
 weights AS (SELECT candidate_id, symbol, dt, coalesce(lag(s) OVER (PARTITION BY candidate_id, symbol ORDER BY dt), 0) AS w FROM book)"""
 GRID_DAILY = replay_sql(CONFIG.cost_bps / 1e4, 2)[len(WEIGHTS):].replace("SELECT w.symbol", "SELECT w.candidate_id, w.symbol").replace("PARTITION BY w.dt", "PARTITION BY w.candidate_id, w.dt").replace("PARTITION BY dt", "PARTITION BY candidate_id, dt").replace("PARTITION BY symbol", "PARTITION BY candidate_id, symbol").replace("(SELECT symbol, dt, w, x", "(SELECT candidate_id, symbol, dt, w, x").replace("(SELECT dt, max(intra)", "(SELECT candidate_id, dt, max(intra)").replace("GROUP BY dt", "GROUP BY candidate_id, dt")
-GRID = f"{GRID_BOOK}{GRID_DAILY}, {WINDOWS}, {PHASED}, {metrics_sql('phased', 'candidate_id, research_date, phase')}, scored AS (SELECT i.candidate_id, i.research_date, i.sharpe AS is_value, o.sharpe AS oos_value, i.n_active AS is_active, o.n_active AS oos_active, i.avg_gross AS ga, o.avg_gross AS gb, i.cagr AS ca, o.cagr AS cb FROM metrics i LEFT JOIN metrics o ON i.candidate_id = o.candidate_id AND i.research_date = o.research_date AND o.phase = 'OOS' WHERE i.phase = 'IS')"
+GRID = f"{GRID_BOOK}{GRID_DAILY}, {WINDOWS}, {PHASED}, {metrics_sql('phased', 'candidate_id, research_date, phase')}, scored AS (SELECT i.candidate_id, i.research_date, i.sharpe AS is_value, o.sharpe AS oos_value, i.n_active AS is_active, o.n_active AS oos_active, i.n_active AS a, o.n_active AS b, i.n AS na, o.n AS nb, i.avg_gross AS ga, o.avg_gross AS gb, i.cagr AS ca, o.cagr AS cb FROM metrics i LEFT JOIN metrics o ON i.candidate_id = o.candidate_id AND i.research_date = o.research_date AND o.phase = 'OOS' WHERE i.phase = 'IS')"
 PASSED = f"coalesce(is_active >= {CONFIG.min_is_bars} AND oos_active >= {CONFIG.min_oos_bars} AND ga > 1e-8 AND gb > 1e-8 AND oos_value >= {CONFIG.pass_line} AND ca > 0 AND cb > 0, false)"
 LEDGER = f"{GRID}, ledger AS (SELECT s.*, w.oos_end, {PASSED} AS passed FROM scored s JOIN windows w USING (research_date) WHERE ga > 1e-8 AND is_active >= {CONFIG.min_is_bars})"
 
@@ -589,11 +614,16 @@ def g3_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(best.select("research_date", "candidate_id", "is_value", "passed"), 5)
 
 
-@query("g5_walk_forward")
+ADMITTED = f"admitted AS (SELECT candidate_id, research_date FROM signal JOIN windows ON dt BETWEEN is_start AND is_end GROUP BY ALL HAVING {OUTCOME} = 'ADMITTED')"
+
+
+@query("g5_walk_forward", f"""WITH {LEDGER}, {ADMITTED}, chosen AS (SELECT * FROM ledger JOIN admitted USING (candidate_id, research_date) QUALIFY row_number() OVER (PARTITION BY research_date ORDER BY coalesce(is_value, '-infinity'::DOUBLE) DESC, {ORDER_OF}) = 1)
+SELECT research_date, candidate_id, round(is_value, 5) AS is_value, round(oos_value, 5) AS oos_value, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS label, {reasons_sql()} AS reasons, oos_end FROM chosen""")
 def g5_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the walk-forward ledger with verdicts and reasons."""
-    led = G.walk_forward(brand_settlement(spark, sf_dir), dates_of(spark), CONFIG)
-    return rounded(led.select("research_date", "candidate_id", "is_value", "oos_value", "label", "reasons", "oos_end"))
+    panel = brand_settlement(spark, sf_dir)
+    led = G.walk_forward(panel, dates_of(spark), CONFIG, values=stable_signals(panel, faults=True))
+    return rounded(led.select("research_date", "candidate_id", "is_value", "oos_value", "label", F.array_join("reasons", "; ").alias("reasons"), "oos_end"), 5)
 
 
 PRIORS = f"{LEDGER}, best AS (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY research_date ORDER BY coalesce(is_value, '-infinity'::DOUBLE) DESC, candidate_id) = 1)"
@@ -649,7 +679,8 @@ def settings(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(part).select(c("p_brand").alias("run"), c("p_type").alias("key"), c("p_size").cast("string").alias("value")).groupBy("run", "key").agg(F.max("value").alias("value"))
 
 
-@query("j3_run_ids")
+@query("j3_run_ids", """WITH s AS (SELECT p_brand AS run, p_type AS key, max(p_size::VARCHAR) AS value FROM part WHERE p_type <> 'STANDARD' GROUP BY ALL)
+SELECT run, sha256(concat('[', string_agg(concat('{"key":"', key, '","value":"', value, '"}'), ',' ORDER BY key, value), ']v1')) AS run_id FROM s GROUP BY run""")
 def j3_run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.run_ids(settings(spark, sf_dir, "true"), ["STANDARD"], F.lit("v1"))
 
@@ -682,7 +713,7 @@ def j8_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.as_of(J.lessons(ledger(spark, sf_dir)), "1997-12-31").select("formula", "won", "n_seen")
 
 
-@query("j9_failure_modes")
+@query("j9_failure_modes", f"WITH {LEDGER}, r AS (SELECT unnest(string_split({reasons_sql('@')}, '@')) AS reason FROM ledger WHERE NOT passed) SELECT regexp_replace(reason, '-?[0-9]+([.][0-9]+)?', '#', 'g') AS mode, count(*) AS n FROM r GROUP BY 1")
 def j9_failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.failure_modes(ledger(spark, sf_dir))
 

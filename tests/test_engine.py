@@ -212,3 +212,36 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.symbol, r.dt): (r.open, r.close, r.volume) for r in spark.table("bars").collect()}
     batch = {(r.symbol, r.dt): (r.open, r.close, r.volume) for r in event_bars(spark, src).collect()}
     assert got and all(batch[k] == v for k, v in got.items())
+
+
+def test_redaction_reaches_nested_values(spark):
+    secret = "token=abcdefgh1234"
+    df = spark.sql(f"SELECT 1 AS n, '{secret}' AS a, named_struct('x', '{secret}', 'y', 2, 'z', array(named_struct('t', '{secret} /home/someone/f'))) AS b, map('k', '{secret}') AS c, array(array('{secret}')) AS d, CAST(NULL AS struct<x:string>) AS e, array(1, 2) AS f")
+    got = J.redact_all(df, home="/home/someone")
+    assert got.schema.simpleString() == df.schema.simpleString()
+    row = got.first()
+    masked = "token=<redacted>"
+    assert (row.n, row.a, row.b.x, row.b.y, row.b.z[0].t, row.c, row.d, row.e, row.f) == (1, masked, masked, 2, masked + " ~/f", {"k": masked}, [[masked]], None, [1, 2])
+
+
+def test_merge_takes_the_later_of_two_rows(spark):
+    make = lambda *rows: spark.createDataFrame(rows, "research_date string, formula string, line int")
+    old, new = make(("2020", "a", 1), ("2020", "b", 2), ("2021", "c", 3), (None, "d", 4)), make(("2021", "e", 2), ("2021", "f", 1), (None, "g", 3))
+    got = sorted((r.research_date or "", r.formula) for r in J.merge_ledgers(old, new, "line").collect())
+    assert got == [("", "d"), ("", "g"), ("2020", "b"), ("2021", "e")]
+    assert J.merge_ledgers(old, new).where("research_date = '2020'").count() == 1
+
+
+def test_the_walk_admits_by_inputs_and_rejects_by_cells(spark, market):
+    dates = spark.createDataFrame([(dt.date(2018, 1, 1),), (dt.date(2019, 1, 1),)], "research_date date")
+    config = Config(pass_line=-100.0, require_profit=False, periods_per_year=252.0, is_years=1, oos_bars=60)
+    rows = [("flat", "raw", "volume", None, 0, 0, "rank", ["rank"], 1), ("reversal", "baseline_delay", "close", None, 1, 0, "rank", ["delta", "rank"], 1)]
+    plain = {r.research_date.year: (r.candidate_id, r.label) for r in G.walk_forward(market, dates, config, rows).collect()}
+    assert plain == {2018: ("reversal", "PASS"), 2019: ("reversal", "PASS")}  # the ranks of equal volumes are all equal: degenerate
+    spoil = lambda day: market.withColumn("close", F.when((F.col("dt") == day) & (F.col("symbol") == "S1"), F.lit(float("inf"))).otherwise(F.col("close")))
+    late = {r.research_date.year: r for r in G.walk_forward(spoil("2019-02-05"), dates, config, rows).collect()}
+    assert late[2018].label == "PASS" and late[2019].label == "NUMERICAL_REJECT" and late[2019].oos_value is None and not late[2019].passed and late[2019].is_value is not None
+    early = {r.research_date.year for r in G.walk_forward(spoil("2018-09-05"), dates, config, rows).collect()}
+    assert early == {2018}  # in sample of 2019 nothing is left that can be scored
+    outcomes = {r.candidate_id: r.outcome for r in G.admissions(spoil("2018-09-05"), "2018-01-01", "2018-12-31", rows).collect()}
+    assert outcomes == {"flat": "DEGENERATE_SIGNAL", "reversal": "NUMERICAL_NONFINITE"}
