@@ -5,17 +5,20 @@ A string of `LENGTH` bytes that also starts in a document with a smaller id is r
 1. Every window of `LENGTH` bytes is assigned to an anchor, the 16-byte string in it with the smallest hash (leftmost of
    equal ones). Equal windows have equal anchors at equal distances, so windows that are equal meet at their anchor.
    A text emits one entry for each run of windows with one anchor: hashes of the anchor and of the run's bytes.
-2. A shard's task groups entries by anchor. Where all runs of an anchor have equal bytes, every document but the smallest
-   loses the run; no byte needs to move.
-3. Where they differ, the bytes of one run of each kind are fetched, and `suffix_array` sorts the suffixes of a chunk of
-   whole groups: Lyndon-prefix groups in descending order, split by previous-smaller pointers, then emitted in order.
-   Neighbours in that order with 50 equal bytes are one class, whose smallest document keeps the bytes.
-   A group larger than a chunk is split by the content of its single windows, so that equal ones stay together.
+2. A shard's task groups entries by anchor. Runs are of one kind if anchor and run agree in 80 bits of hash besides the
+   shard's. Where all runs of an anchor are of one kind, every document but the smallest loses the run; no byte moves.
+3. Where kinds differ, the bytes of one run of each kind are fetched. Windows whose 64-bit hash stands alone there equal no
+   other; the stretches of all other windows, distinct ones once, are decided by the order of suffixes: `suffix_array` sorts
+   a chunk of whole groups (Lyndon-prefix groups in descending order, split by previous-smaller pointers, then emitted in
+   order), and neighbours in that order with 50 equal bytes are one class, whose smallest document keeps the bytes.
+   A group larger than a chunk is sorted as its distinct windows, dealt by their content so that equal ones stay together.
 4. The intervals of each document are united and cut out.
 
-Defined cases: null text counts as empty; texts below 50 bytes lose nothing; a null id is smaller than all others; of rows
-with one id, the one with the smaller text hash counts as the smaller document (ids below 2**43 then); an empty table
-gives an empty result; extra columns don't matter.
+So hashes decide what is wholly equal or wholly different, and the suffix order what is equal in part.
+
+Defined cases: null text counts as empty; texts below 50 bytes lose nothing; a null id is smaller than all others; where ids
+repeat, of rows with one id the one with the smaller text hash counts as the smaller document; an empty table gives an
+empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quantpanel.llm.common import cut, table, utf8_bytes
 
@@ -232,8 +234,14 @@ def resolve(groups: np.ndarray, strings: list[bytes], docs: np.ndarray) -> list[
     at = np.flatnonzero(new)
     length = np.bincount(np.cumsum(new)[often] - 1, minlength=len(at))
     pieces = [buf[a : a + k + LENGTH - 1].tobytes() for a, k in zip(start[at].tolist(), length.tolist(), strict=True)]
-    for a, k, found in zip(at.tolist(), length.tolist(), in_chunks(groups[owner[at]], pieces, docs[owner[at]]), strict=True):
-        low[a : a + k] = found
+    # Equal stretches of a group are sorted once, for the smallest of their documents.
+    number: dict[tuple[int, bytes], int] = {}
+    which = [number.setdefault(key, len(number)) for key in zip(groups[owner[at]].tolist(), pieces, strict=True)]
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, docs[owner[at]])
+    found = in_chunks(np.array([g for g, _ in number], np.int64), [x for _, x in number], least)
+    for a, k, u in zip(at.tolist(), length.tolist(), which, strict=True):
+        low[a : a + k] = found[u]
     return np.split(low, begin[1:])
 
 
@@ -292,11 +300,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, text (what is left), n_bytes, n_removed, n_spans, kept_sha256."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = named.count()
-    key = F.coalesce("doc_id", F.lit(LOWEST))
     if named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        copy = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        key = F.coalesce(F.col("doc_id"), F.lit(-(2**42))) * (1 << 20) + copy
-    keyed = named.withColumn("doc", key)
+        # Rows are numbered in order, once, in the job that writes them.
+        order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+        keyed = cut(named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id()))
+    else:
+        keyed = named.withColumn("doc", F.coalesce("doc_id", F.lit(LOWEST)))
     shards, blocks = max(8, total // docs_per_shard), max(8, total // docs_per_block)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +409,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         first = np.flatnonzero(heads)
         lows = resolve(w["group"][first].astype(np.int64), [strings[k] for k in w["kind"][first].tolist()], w["doc"][first])
         docs_, pos, size = [], [], []
-        for k, (a, b) in enumerate(zip(first, np.append(first[1:], len(heads)), strict=True)):
+        for k, (a, b) in enumerate(zip(first, [*first[1:], len(heads)])):
             low = lows[k]
             for doc, at in zip(w["doc"][a:b].tolist(), w["pos"][a:b].tolist(), strict=True):
                 gone = np.flatnonzero(np.diff(np.concatenate([[0], low < doc, [0]])))

@@ -206,6 +206,13 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch):
     assert suffix_dedup.suffix_dedup(docs).count() == len(TEXTS) and suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_repeated_and_large_ids(spark):
+    passage = prose(4, 30)
+    rows = [(2**50, "a " + passage), (2**50, "b " + passage + " c"), (2**62, passage + " d"), (None, "e " + passage), (-5, passage)]
+    got = {(r.doc_id, r.n_removed > 0) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, False), (-5, True), (2**50, True), (2**62, True)}
+
+
 def test_large_groups_are_split_by_window(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 400)
     strings = [prose(1, 9).encode()[:60], prose(1, 9).encode()[:58], prose(2, 9).encode()[:70]] * 3
