@@ -50,28 +50,76 @@ def hashes(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in parts]), ">u8")
 
 
-def fingerprint(text: str | None, size: int, distinct: bool = False) -> int:
-    """The majority of the shingles' hash bits; with `distinct`, a repeated shingle counts once."""
-    h = hashes(shingles(text, size))
-    if distinct:
-        h = np.unique(h).astype(">u8")
+def majority(h: np.ndarray) -> int:
     if not len(h):
         return 0
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, size: int, keys: list[str], distinct: bool = False) -> DataFrame:
+def fingerprint(text: str | None, size: int, distinct: bool = False) -> int:
+    """The majority of the shingles' hash bits; with `distinct`, a repeated shingle counts once."""
+    h = hashes(shingles(text, size))
+    return majority(np.unique(h) if distinct else h)
+
+
+#: Rows of a batch that are Python strings at one time.
+SLICE = 500
+
+
+def fingerprints(docs: DataFrame, size: int, keys: list[str]) -> DataFrame:
     """(keys, fp) of every row of `docs` (keys: long, text); fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, size, distinct) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(fp.view(np.int64))], [*keys, "fp"])
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                fp = np.array([fingerprint(t, size) for t in part.column("text").to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*map(part.column, keys), pa.array(fp.view(np.int64))], [*keys, "fp"])
 
     return docs.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", fp long")
 
 
+SKETCH = 1024
+
+
+def grams_of(h: np.ndarray) -> np.ndarray:
+    """The sorted distinct 32-bit shingle hashes of a text."""
+    return np.unique(h.astype(np.uint64).astype(np.uint32))
+
+
+def sketch_of(grams: np.ndarray) -> bytes:
+    """SKETCH bits: how often each residue occurs, odd or even. Two sketches differ in no more bits than their sets in members."""
+    return np.packbits((np.bincount(grams & np.uint32(SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches(docs: DataFrame, size: int, keys: list[str]) -> DataFrame:
+    """(keys, fp, n, sketch): the fingerprint of the distinct shingles, their number and their sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                held = [hashes(shingles(t, size)) for t in part.column("text").to_pylist()]
+                fp, sets = np.array([majority(np.unique(h)) for h in held], np.uint64), [grams_of(h) for h in held]
+                yield pa.RecordBatch.from_arrays([*map(part.column, keys), pa.array(fp.view(np.int64)), pa.array([len(g) for g in sets], pa.int32()), pa.array([sketch_of(g) for g in sets], pa.binary())], [*keys, "fp", "n", "sketch"])
+
+    return docs.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", fp long, n int, sketch binary")
+
+
+def bits_of(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, SKETCH // 64)
+
+
+def possible(n_a: np.ndarray, n_b: np.ndarray, odd_a: np.ndarray, odd_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes and sketches can be that similar; never false for sets that are.
+
+    |a ^ b| = |a| + |b| - 2 |a & b|, so sketches of similar sets differ in few bits.
+    """
+    apart = np.bitwise_count(odd_a ^ odd_b).sum(1, dtype=np.int64)
+    return (apart <= (n_a + n_b) * (1 - similarity) / (1 + similarity) + 1e-6) & (np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) - 1e-6)
+
+
 @dataclass
 class Plan:
     parts: list[list[int]]  # bit positions
@@ -174,7 +222,8 @@ def tiled(rows: DataFrame, tile: int | None = None) -> DataFrame:
         dealt = rows.withColumn("tile", F.lit(0)).withColumn("probe", F.lit(True))
     else:
         spots = [c for c in rows.columns if c not in ("key", "home")]
-        line, column = F.pmod(F.xxhash64(*spots[:2]), F.col("grid")).cast("int"), F.pmod(F.xxhash64(*spots[:2], F.lit(1)), F.col("grid")).cast("int")
+        own = [c for c in spots if c in ("fp", "grp", "node")]
+        line, column = F.pmod(F.xxhash64(*own), F.col("grid")).cast("int"), F.pmod(F.xxhash64(*own, F.lit(1)), F.col("grid")).cast("int")
         each = F.sequence(F.lit(0), F.col("grid") - 1)
         place = lambda at, home, probe: F.struct(at.alias("tile"), F.lit(home).alias("home"), F.lit(probe).alias("probe"))
         places = F.concat(F.when(F.col("home"), F.transform(each, lambda j: place(line * F.col("grid") + j, True, False))).otherwise(F.slice(F.transform(each, lambda j: place(j, True, False)), 1, 0)), F.transform(each, lambda i: place(i * F.col("grid") + column, False, True)))
@@ -272,8 +321,10 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [np.unique(hashes(shingles(t, size)).astype(np.uint64).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.binary())], ["node", "grams"])
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                grams = [grams_of(hashes(shingles(t, size))).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(grams, pa.binary())], ["node", "grams"])
 
     wanted = nodes.select(F.col("row_id").alias("node_id"), F.col("row_hash").alias("node_hash"), "node")
     texts = docs.select("row_id", "row_hash", "text").join(wanted, F.col("row_id").eqNullSafe(F.col("node_id")) & (F.col("row_hash") == F.col("node_hash")))
@@ -325,15 +376,6 @@ def by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[l
         yield joined(rest)
 
 
-SKETCH = 1024
-
-
-def parities(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of SKETCH bits for each set: how often each residue occurs, odd or even. Rows differ in no more bits than sets in members."""
-    odd = np.array([np.bincount(s & np.uint32(SKETCH - 1), minlength=SKETCH) & 1 for s in sets], np.uint8).reshape(-1, SKETCH)
-    return np.packbits(odd, axis=1).view(np.uint64)
-
-
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both >= similarity * (len(x) + len(y) - both)
@@ -342,35 +384,61 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 def remaining_links(docs: DataFrame, members: DataFrame, p: Plan, size: int, similarity: float, distance: int, tile: int | None = None) -> DataFrame:
     """(u, v): verified links that connect what all verified candidates of different groups connect.
 
-    `members` has row_id, row_hash, node, fp, grp. First the rows of buckets that have a candidate of another group are
-    found; only they fetch their shingle sets. Then every candidate of a tile is verified whose groups no link of that
-    tile has connected yet: no pair is written anywhere, and none is left out.
+    `members` has row_id, row_hash, node, fp, grp, n, sketch. First the spots of buckets that have a candidate of another
+    group are found, then, by sketches, the documents of them that can be similar to one; only they fetch their shingle
+    sets. Then every candidate of a tile is verified whose groups no link of that tile has connected yet: no pair is
+    written anywhere, and none is left out.
     """
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
-        for key, _, fp, grp, home, probe in by_bucket(batches, ["key", "tile", "fp", "grp", "home", "probe"]):
-            if len(key) < 2 or not home.any():
-                continue
-            at_home, at_probe, used = np.flatnonzero(home), np.flatnonzero(probe), np.zeros(len(key), bool)
-            f = fp.view(np.uint64)
-            for x, y in near_others(p, int(key[0]) >> 48, (f[at_probe], grp[at_probe]), (f[at_home], grp[at_home]), distance):
-                used[at_probe[x]] = True
-                used[at_home[y]] = True
-            if used.any():
-                out.append([c[used] for c in (key, fp, grp, home)])
-                held += len(out[-1][0])
-            if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "fp", "grp", "home"])
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "fp", "grp", "home"])
+    def marked(names: list[str], schema: str, used_rows) -> tuple:
+        """A function that keeps the rows of tiles that `used_rows` marks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, held = [], 0
+            flush = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+            for columns in by_bucket(batches, ["key", "tile", *names[1:], "probe", *extra]):
+                row = dict(zip(["key", "tile", *names[1:], "probe", *extra], columns, strict=True))
+                if len(row["key"]) < 2 or not row["home"].any():
+                    continue
+                used = used_rows(row)
+                if used.any():
+                    out.append([row[n][used] for n in names])
+                    held += len(out[-1][0])
+                if held > 50_000:
+                    yield flush()
+                    out, held = [], 0
+            if out:
+                yield flush()
+
+        extra = ["n", "sketch"] if "node" in names else []
+        return run, schema
+
+    def candidates(row: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at_home, at_probe, f = np.flatnonzero(row["home"]), np.flatnonzero(row["probe"]), row["fp"].view(np.uint64)
+        for x, y in near_others(p, int(row["key"][0]) >> 48, (f[at_probe], row["grp"][at_probe]), (f[at_home], row["grp"][at_home]), distance):
+            yield at_probe[x], at_home[y]
+
+    def by_distance(row: dict[str, np.ndarray]) -> np.ndarray:
+        used = np.zeros(len(row["key"]), bool)
+        for x, y in candidates(row):
+            used[x] = used[y] = True
+        return used
+
+    def by_sketch(row: dict[str, np.ndarray]) -> np.ndarray:
+        used, n, odd = np.zeros(len(row["key"]), bool), row["n"].astype(np.int64), bits_of(row["sketch"].tolist())
+        for x, y in candidates(row):
+            for at in range(0, len(x), 50_000):
+                a, b = x[at : at + 50_000], y[at : at + 50_000]
+                may = possible(n[a], n[b], odd[a], odd[b], similarity)
+                used[a[may]] = used[b[may]] = True
+        return used
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, fp, grp, home, probe, node, grams in by_bucket(batches, ["key", "tile", "fp", "grp", "home", "probe", "node", "grams"]):
-            at_home, at_probe = np.flatnonzero(home), np.flatnonzero(probe)
-            f, sets = fp.view(np.uint64), [np.frombuffer(g, np.uint32) for g in grams]
-            n, odd = np.array([len(s) for s in sets]), parities(sets)
+        names = ["key", "tile", "fp", "grp", "home", "probe", "node", "grams"]
+        for columns in by_bucket(batches, names):
+            row = dict(zip(names, columns, strict=True))
+            sets, grp, node = [np.frombuffer(g, np.uint32) for g in row["grams"]], row["grp"], row["node"]
+            n, odd = np.array([len(s) for s in sets]), bits_of([sketch_of(s) for s in sets])
             above: dict[int, int] = {}
 
             def root(g: int) -> int:
@@ -380,13 +448,10 @@ def remaining_links(docs: DataFrame, members: DataFrame, p: Plan, size: int, sim
                 return g
 
             us, vs = [], []
-            for x, y in near_others(p, int(key[0]) >> 48, (f[at_probe], grp[at_probe]), (f[at_home], grp[at_home]), distance):
-                x, y = at_probe[x], at_home[y]
+            for x, y in candidates(row):
                 for at in range(0, len(x), 50_000):
                     a, b = x[at : at + 50_000], y[at : at + 50_000]
-                    apart = np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64)
-                    # |a ^ b| <= |a| + |b| - 2 both, so more odd bits apart than this can't have the similarity
-                    may = (apart <= (n[a] + n[b]) * (1 - similarity) / (1 + similarity) + 1e-6) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
+                    may = possible(n[a], n[b], odd[a], odd[b], similarity)
                     for i, j in zip(a[may].tolist(), b[may].tolist(), strict=True):
                         ra, rb = root(int(grp[i])), root(int(grp[j]))
                         if ra != rb and similar(sets[i], sets[j], similarity):
@@ -397,12 +462,14 @@ def remaining_links(docs: DataFrame, members: DataFrame, p: Plan, size: int, sim
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     spots = members.select("fp", "grp").distinct()
-    # The home row of a spot is a probe too; a spot that was used in one tile of a bucket is used in all.
-    met = tiled(bucket_rows(spots, p), tile).mapInArrow(meet, "key long, fp long, grp long, home boolean")
+    # A spot that was used in one tile of a bucket is used in all; one that is needed at home was used there.
+    met = tiled(bucket_rows(spots, p), tile).mapInArrow(*marked(["key", "fp", "grp", "home"], "key long, fp long, grp long, home boolean", by_distance))
     met = cut(met.groupBy("key", "fp", "grp").agg(F.max("home").alias("home")))
-    wanted = members.join(met.select("fp", "grp").distinct(), ["fp", "grp"])
-    held = cut(wanted.select("node", "fp", "grp").join(shingle_sets(docs, wanted, size), "node"))
-    full = met.join(held, ["fp", "grp"]).select("key", "fp", "grp", "home", "node", "grams")
+    sketched = met.join(members.select("fp", "grp", "node", "n", "sketch"), ["fp", "grp"])
+    near = tiled(sketched.select("key", "fp", "grp", "home", "node", "n", "sketch"), tile).mapInArrow(*marked(["key", "fp", "grp", "home", "node"], "key long, fp long, grp long, home boolean, node long", by_sketch))
+    near = cut(near.groupBy("key", "fp", "grp", "node").agg(F.max("home").alias("home")))
+    sets = cut(shingle_sets(docs, members.join(near.select("node").distinct(), "node", "left_semi"), size))
+    full = near.join(sets, "node").select("key", "fp", "grp", "home", "node", "grams")
     return tiled(full, tile).mapInArrow(verify, "u long, v long")
 
 
@@ -419,7 +486,7 @@ def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     of an equal fingerprint among them. So `nearest` decides what is verified first, not what is verified.
     """
     docs = with_row_key(docs).select("row_id", "row_hash", F.col("row.text").alias("text"))
-    fps = fingerprints(docs, size, ["row_id", "row_hash"], distinct=True).dropDuplicates(["row_id", "row_hash"])
+    fps = sketches(docs, size, ["row_id", "row_hash"]).dropDuplicates(["row_id", "row_hash"])
     # Numbers are given once, in the job that writes them.
     fps = cut(fps.withColumn("node", F.monotonically_increasing_id()))
     classes = cut(fps.groupBy("fp").agg(F.min("node").alias("rep")))
@@ -428,7 +495,16 @@ def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     reps = classes.select("fp", "rep")
     pairs = near.join(reps.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(reps.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select("a", "b")
     same = fps.join(reps, "fp").where(F.col("node") != F.col("rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    pairs = cut(pairs.union(same))
+
+    def can_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("na", "nb", "sa", "sb")}
+            may = possible(c["na"].astype(np.int64), c["nb"].astype(np.int64), bits_of(c["sa"].tolist()), bits_of(c["sb"].tolist()), similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    # Sketches rule most candidates out before any text is read again.
+    of = lambda side: fps.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    pairs = cut(pairs.union(same).join(of("a"), "a").join(of("b"), "b").mapInArrow(can_be_similar, "a long, b long"))
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = cut(shingle_sets(docs, fps.join(involved, "node", "left_semi"), size))
 
@@ -439,7 +515,7 @@ def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8,
 
     sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     found = cut(components(sided.select("a", "b", "ga", "gb").mapInArrow(jaccard, "u long, v long")))
-    members = cut(fps.join(found.withColumnRenamed("root", "grp"), "node", "left").select("row_id", "row_hash", "node", "fp", F.coalesce("grp", "node").alias("grp")))
+    members = cut(fps.join(found.withColumnRenamed("root", "grp"), "node", "left").select("row_id", "row_hash", "node", "fp", "n", "sketch", F.coalesce("grp", "node").alias("grp")))
     rest = remaining_links(docs, members, p, size, similarity, distance, tile)
     grouped = cut(fps.join(components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest)), "node").select("row_id", "row_hash", "root"))
     key = F.struct(F.col("row_id").isNull().alias("none"), "row_id", "row_hash")
