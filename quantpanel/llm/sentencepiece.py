@@ -103,18 +103,28 @@ def classes(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+def starts_of(buf: np.ndarray, step: int = 1_000_000) -> np.ndarray:
+    """Which bytes begin a word by their class and the one before; in steps, as that takes some ten bytes a byte."""
+    out = np.ones(len(buf), bool)
+    for a in range(1, len(buf), step):
+        b, low = min(len(buf), a + step), max(0, a - 4)  # a character has four bytes at most
+        kind = classes(buf[low : b + 1])[: b - low]
+        now, last = kind[a - low :], kind[a - low - 1 : -1]
+        out[a:b] = (now == LINE) | (last == LINE) | ((now == BLANK) & (last != BLANK)) | ((now == LETTER) & (last == OTHER)) | ((now == OTHER) & (last == LETTER))
+    return out
+
+
 def split_words(texts: list[bytes | None]) -> tuple[pa.BinaryArray, np.ndarray]:
     """The words of all texts in a row (slices of one buffer), and the number of words of each text."""
     ready = [b" " + t.replace(b"\xe2\x96\x81", b" ") if t else b"" for t in texts]
+    ends = np.cumsum([0, *map(len, ready)])
     data = b"".join(ready)
-    buf, ends = np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, ready)])
+    del ready
+    buf = np.frombuffer(data, np.uint8)
     if not len(buf):
         return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
-    kind = classes(buf)
-    now, last = kind[1:], kind[:-1]
-    start = np.ones(len(buf), bool)
-    start[1:] = (now == LINE) | (last == LINE) | ((now == BLANK) & (last != BLANK)) | ((now == LETTER) & (last == OTHER)) | ((now == OTHER) & (last == LETTER))
     # Of consecutive newlines each is a word; all other marks stand on a change of class, so never inside a character.
+    start = starts_of(buf)
     start[ends[:-1][np.diff(ends) > 0]] = True
     at = np.flatnonzero(start)
     offsets = np.append(at, len(buf)).astype(np.int32)
@@ -401,26 +411,15 @@ def encode(docs: DataFrame, p: Pieces, block_bytes: int = 10_000_000, part_words
 
 
 def decode(tokens: DataFrame, p: Pieces) -> DataFrame:
-    """The rows of `tokens` with the text of `ids` instead of them, and their number as n_tokens."""
-    names, keep = p.names, [c for c in tokens.columns if c != "ids"]
+    """The rows of `tokens` with the text of `ids` instead of them, and their number as n_tokens.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(names, pa.binary())
-        for batch in batches:
-            texts: list[str] = []
-            ids = batch.column("ids")
-            for at in range(0, len(batch), 500):
-                part = ids[at : at + 500].fill_null([])
-                spelled, data = sizes_of(known.take(part.flatten()))
-                ends = np.concatenate([[0], np.cumsum(spelled)])[part.offsets.to_numpy() - part.offsets[0].as_py()].tolist()
-                for a, b in zip(ends, ends[1:]):
-                    line = data[a:b].tobytes().decode("utf-8", "replace")
-                    texts.append(line[1:] if line.startswith(" ") else line)
-            counts = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), counts], [*keep, "text", "n_tokens"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name != "ids")
-    return tokens.mapInArrow(run, f"{kinds}, text string, n_tokens long")
+    Pieces are spelled in hexadecimal, so that byte pieces join to characters; bytes that are no UTF-8 become U+FFFD.
+    """
+    spelled = f"split('{','.join(n.hex().upper() for n in p.names)}', ',')"  # a constant
+    line = F.expr(f"make_valid_utf8(cast(unhex(array_join(transform(coalesce(ids, cast(array() as array<int>)), i -> element_at({spelled}, i + 1)), '')) as string))")
+    keep = [c for c in tokens.columns if c != "ids"]
+    made = tokens.select(*keep, F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), line.alias("line"))
+    return made.select(*keep, F.when(F.startswith(F.col("line"), F.lit(" ")), F.expr("substring(line, 2)")).otherwise(F.col("line")).alias("text"), "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
