@@ -78,11 +78,15 @@ def rsi(df: DataFrame, x: str = "close", period: int = 14) -> DataFrame:
 
 
 def convergence(df: DataFrame, x: str, window: int) -> DataFrame:
-    """Counts and mean of local peaks and bottoms that are confirmed by the bar after them, over the last `window` bars."""
+    """Count, largest, smallest, mean and their difference of local peaks and bottoms over the last `window` bars.
+
+    A peak or bottom is confirmed by the bar after it.
+    """
     before, middle = F.lag(x, 2).over(own_rows()), F.lag(x, 1).over(own_rows())
     marked = df.withColumns({"_p": F.when((middle > before) & (middle > F.col(x)), middle), "_b": F.when((middle < before) & (middle < F.col(x)), middle)})
     f = ts.frame(window)
     made = {f"{name}_{what}": fn(c).over(f) for name, c in (("peak", "_p"), ("bottom", "_b")) for what, fn in (("count", F.count), ("max", F.max), ("min", F.min), ("mean", F.avg))}
+    made |= {f"{name}_diff": F.max(c).over(f) - F.min(c).over(f) for name, c in (("peak", "_p"), ("bottom", "_b"))}
     return marked.withColumns(made).drop("_p", "_b")
 
 
@@ -111,7 +115,7 @@ def beta(df: DataFrame, window: int = 252, half_life: float = 63) -> DataFrame:
     """Slope of returns on the market's equal-weighted return, with half-life weights over the window's rows."""
     market = df.withColumn("_m", F.avg("returns").over(Window.partitionBy("dt")))
     rows = F.collect_list(F.when(F.col("returns").isNotNull(), F.struct(F.col("returns").alias("r"), F.col("_m").alias("m")))).over(ts.frame(window))
-    w = f"pow(0.5D, ({window - 1} - i) / {float(half_life)})"
+    w = f"pow(0.5D, ({window - 1} - i) / {float(half_life)!r}D)"
     total = lambda e: f"aggregate(transform(_rows, (s, i) -> {w} * {e}), 0D, (a, v) -> a + v)"
     sums = market.withColumn("_rows", rows).withColumns({n: F.expr(total(e)) for n, e in (("_w", "1D"), ("_x", "s.m"), ("_y", "s.r"), ("_xy", "s.m * s.r"), ("_xx", "s.m * s.m"))})
     value = F.try_divide(F.col("_xy") - F.col("_x") * F.col("_y") / F.col("_w"), F.col("_xx") - F.col("_x") * F.col("_x") / F.col("_w"))

@@ -772,19 +772,48 @@ cells("i10_prev_rollmax", lambda: I.previous_rolling_max(c("high")), "coalesce(m
 cells("i11_quantile", lambda: I.rolling_quantile(c("close"), 8, 0.25), "CASE WHEN count(close) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) = 8 THEN quantile_cont(close, 0.25) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) END")
 
 
-def indicator(name: str, make: Callable[[DataFrame], DataFrame], columns: list[str]) -> None:
+def indicator(name: str, make: Callable[[DataFrame], DataFrame], columns: dict[str, str], steps: str = "", source: str = "panel") -> None:
+    """Registers a query of (symbol, dt, columns); `columns` are name and SQL over `source`, which `steps` may define."""
     QUERIES[name] = lambda spark, sf_dir: rounded(make(brand_panel(spark, sf_dir)).select("symbol", "dt", *columns))
-
-
-indicator("i2_hma", lambda df: I.hull_average(df, "close", 9), ["hma"])
-indicator("i3_macd", I.macd, ["macd", "macd_signal", "macd_hist"])
-indicator("i4_rsi", I.rsi, ["rsi"])
-indicator("i6_convergence", lambda df: I.convergence(df, "close", 12), ["peak_count", "peak_max", "bottom_count", "bottom_min"])
-indicator("i7_divergence", lambda df: I.divergence(df, "close", "volume", 12), ["new_peak", "fake_peak", "new_bottom", "fake_bottom"])
-indicator("i12_beta", lambda df: I.beta(df, 26, 13), ["beta"])
-indicator("i13_momentum", lambda df: I.momentum(df, 24, 2, 12), ["momentum"])
-indicator("i14_size", I.size_factor, ["size", "nlsize"])
-indicator("i15_resid_vol", lambda df: I.residual_volatility(df, 13), ["resid_vol"])
-indicator("i16_liquidity", lambda df: I.liquidity(df, (4, 13, 26)), ["liquidity"])
+    SQL[name] = f"WITH {PANEL}{steps} SELECT symbol, dt, {', '.join(x if x == n else f'{x} AS {n}' for n, x in columns.items())} FROM {source}"
+
+
+def before_sql(x: str, far: int, near_: int, agg: str) -> str:
+    return f"{agg}({x}) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN {far} PRECEDING AND {near_} PRECEDING)"
+
+
+def halved_sql(x: str, window: int, half_life: float, lag: int = 0) -> str:
+    """Half-life weights times x, over `window` rows that ended `lag` rows ago."""
+    return "(" + " + ".join(f"{0.5 ** (k / half_life)!r}::DOUBLE * {lag_sql(x, k + lag) if k + lag else x}" for k in range(window)) + ")"
+
+
+def smooth_sql(x: str, a: float) -> str:
+    """The recursive average that starts at the first row."""
+    return f"list_reduce(list({x}) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda p, v: p * {1 - a!r}::DOUBLE + v * {a!r}::DOUBLE)"
+
+
+six = lambda x: f"round({x}, {DIGITS})"
+indicator("i2_hma", lambda df: I.hull_average(df, "close", 9), {"hma": six(decay_sql("h", 3))}, f", h AS (SELECT symbol, dt, 2 * {decay_sql('close', 4)} - {decay_sql('close', 9)} AS h FROM panel)", "h")
+EMA = f", valid AS (SELECT symbol, dt, close FROM panel WHERE close IS NOT NULL), a AS (SELECT *, {smooth_sql('close', 2 / 13)} - {smooth_sql('close', 2 / 27)} AS m FROM valid), b AS (SELECT *, {smooth_sql('m', 2 / 10)} AS s FROM a), j AS (SELECT p.symbol, p.dt, m, s FROM panel p LEFT JOIN b ON b.symbol = p.symbol AND b.dt = p.dt)"
+indicator("i3_macd", I.macd, {"macd": six("m"), "macd_signal": six("s"), "macd_hist": six("m - s")}, EMA, "j")
+RSI = f", valid AS (SELECT symbol, dt, close - {lag_sql('close', 1)} AS d FROM panel WHERE close IS NOT NULL), moved AS (SELECT symbol, dt, {smooth_sql('greatest(d, 0)', 1 / 14)} AS up, {smooth_sql('greatest(-d, 0)', 1 / 14)} AS down FROM valid WHERE d IS NOT NULL), j AS (SELECT p.symbol, p.dt, 100 * up / nullif(up + down, 0) AS r FROM panel p LEFT JOIN moved m ON m.symbol = p.symbol AND m.dt = p.dt)"
+indicator("i4_rsi", I.rsi, {"rsi": six("r")}, RSI, "j")
+PEAKS = f", m AS (SELECT symbol, dt, close, {lag_sql('close', 1)} AS b, {lag_sql('close', 2)} AS a FROM panel), marks AS (SELECT symbol, dt, CASE WHEN b > a AND b > close THEN b END AS p, CASE WHEN b < a AND b < close THEN b END AS q FROM m)"
+indicator("i6_convergence", lambda df: I.convergence(df, "close", 12), {"peak_count": f"count(p) {frame_sql(12)}", "peak_max": six(f"max(p) {frame_sql(12)}"), "peak_diff": six(f"max(p) {frame_sql(12)} - min(p) {frame_sql(12)}"), "bottom_count": f"count(q) {frame_sql(12)}", "bottom_min": six(f"min(q) {frame_sql(12)}"), "bottom_mean": six(f"avg(q) {frame_sql(12)}"), "bottom_diff": six(f"max(q) {frame_sql(12)} - min(q) {frame_sql(12)}")}, PEAKS, "marks")
+TOP, LOW = f"close > {before_sql('close', 12, 1, 'max')}", f"close < {before_sql('close', 12, 1, 'min')}"
+WITH_TOP, WITH_LOW = f"volume > {before_sql('volume', 12, 1, 'max')}", f"volume < {before_sql('volume', 12, 1, 'min')}"
+indicator("i7_divergence", lambda df: I.divergence(df, "close", "volume", 12), {"new_peak": f"({TOP}) AND ({WITH_TOP})", "fake_peak": f"({TOP}) AND NOT ({WITH_TOP})", "new_bottom": f"({LOW}) AND ({WITH_LOW})", "fake_bottom": f"({LOW}) AND NOT ({WITH_LOW})"})
+BETA = ", market AS (SELECT symbol, dt, returns AS r, avg(returns) OVER (PARTITION BY dt) AS m FROM panel), products AS (SELECT *, r * m AS rm, m * m AS mm FROM market), sums AS (SELECT symbol, dt, count(r) {f} AS n, {x} AS x, {y} AS y, {xy} AS xy, {xx} AS xx FROM products)".format(f=frame_sql(26), **{n: halved_sql(c_, 26, 13.0) for n, c_ in (("x", "m"), ("y", "r"), ("xy", "rm"), ("xx", "mm"))})
+WEIGHT = repr(sum(0.5 ** (k / 13) for k in range(26)))
+indicator("i12_beta", lambda df: I.beta(df, 26, 13), {"beta": six(f"CASE WHEN n = 26 THEN (xy - x * y / {WEIGHT}::DOUBLE) / nullif(xx - x * x / {WEIGHT}::DOUBLE, 0) END")}, BETA, "sums")
+indicator("i12_nonlinear_beta", lambda df: I.orthogonal_cube(I.beta(df, 26, 13), "beta", "nlbeta"), {"nlbeta": six("c - avg(c) OVER (PARTITION BY dt) - covar_samp(b, c) OVER (PARTITION BY dt) / nullif(var_samp(b) OVER (PARTITION BY dt), 0) * (b - avg(b) OVER (PARTITION BY dt))")}, BETA + f", betas AS (SELECT symbol, dt, CASE WHEN n = 26 THEN (xy - x * y / {WEIGHT}::DOUBLE) / nullif(xx - x * x / {WEIGHT}::DOUBLE, 0) END AS b FROM sums), cubes AS (SELECT *, pow(b, 3::DOUBLE) AS c FROM betas)", "cubes")
+LOGS = ", logs AS (SELECT *, CASE WHEN returns > -1 THEN ln(1 + CASE WHEN returns > -1 THEN returns END) END AS r FROM panel)"
+indicator("i13_momentum", lambda df: I.momentum(df, 24, 2, 12), {"momentum": six(f"CASE WHEN {before_sql('r', 25, 2, 'count')} = 24 THEN {halved_sql('r', 24, 12.0, 2)} END")}, LOGS, "logs")
+SIZES = ", z AS (SELECT symbol, dt, ln(CASE WHEN close * volume > 0 THEN close * volume END) AS s FROM panel), cubes AS (SELECT *, pow(s, 3::DOUBLE) AS c FROM z)"
+indicator("i14_size", I.size_factor, {"size": six("s"), "nlsize": six("c - avg(c) OVER (PARTITION BY dt) - covar_samp(s, c) OVER (PARTITION BY dt) / nullif(var_samp(s) OVER (PARTITION BY dt), 0) * (s - avg(s) OVER (PARTITION BY dt))")}, SIZES, "cubes")
+SPREAD = LOGS + ", sums AS (SELECT *, returns - avg(returns) OVER (PARTITION BY dt) AS a, sum(r) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM logs)"
+indicator("i15_resid_vol", lambda df: I.residual_volatility(df, 13), {"resid_vol": six(f"{std_sql('returns', 13)} * 0.75::DOUBLE + ({full_sql(f'max(l) {frame_sql(13)}', 13, 'l')} - {full_sql(f'min(l) {frame_sql(13)}', 13, 'l')}) * 0.15::DOUBLE + {std_sql('a', 13)} * 0.1::DOUBLE")}, SPREAD, "sums")
+TRADED = ", t AS (SELECT symbol, dt, close * volume AS v FROM panel), sums AS (SELECT symbol, dt, " + ", ".join(f"{full_sql(f'sum(v) {frame_sql(w)}', w, 'v')} AS s{w}" for w in (4, 13, 26)) + " FROM t)"
+indicator("i16_liquidity", lambda df: I.liquidity(df, (4, 13, 26)), {"liquidity": six(" + ".join(f"ln(CASE WHEN s{w} > 0 THEN s{w} END) * {b}::DOUBLE" for w, b in ((4, 0.35), (13, 0.35), (26, 0.3))))}, TRADED, "sums")
 
 SQL = {name: near_sql(sql) for name, sql in SQL.items()}
