@@ -24,7 +24,7 @@ from quantpanel.plans import research as G
 from quantpanel.plans.candidates import CATALOG, catalog, signals
 from quantpanel.schema import FIELDS, Config
 from quantpanel.sources import bars as S
-from quantpanel.sources.tables import brand_bars, brand_panel, brand_settlement, brand_trades, event_bars, table
+from quantpanel.sources.tables import brand_bars, brand_panel, brand_settlement, brand_trades, event_bars, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -349,6 +349,90 @@ def g4_spoilt_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.admissions(spoilt.drop("spoilt"), "1993-01-01", "1996-12-31").select("candidate_id", "outcome")
 
 
+# --- writing and reading back -------------------------------------------------------------------------------------------
+@query("s1_load_bars", f"WITH {bars_sql()} SELECT symbol, dt::TIMESTAMP AS ts, round(open, 6) AS open, round(close, 6) AS close, volume, round(vwap, 6) AS vwap FROM bars WHERE symbol IN ('Brand#11', 'Brand#23') AND dt BETWEEN '1994-01-01' AND '1996-12-31'")
+def s1_load_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written in the long layout and loaded by source, symbols and dates."""
+    path = shared_dir(spark)
+    long = {"Datetime": c("dt").cast("timestamp_ntz"), "Symbol": c("symbol"), "Open": c("open"), "High": c("high"), "Low": c("low"), "Close": c("close"), "Volume": c("volume"), "Vwap": c("vwap")}
+    brand_bars(spark, sf_dir).select(*(x.alias(n) for n, x in long.items())).write.parquet(path)
+    return rounded(S.load_bars(spark, "parquet", [path], ["Brand#11", "Brand#23"], "1994-01-01", "1996-12-31").select("symbol", "ts", "open", "close", "volume", "vwap"))
+
+
+@query("s10_ledger", """SELECT 'good' AS kind, 'run-' || (o_custkey % 3) AS run_id, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY ALL
+UNION ALL SELECT 'corrupt', NULL, count(*), NULL FROM part""")
+def s10_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends and torn lines; good rows and corrupt lines come back apart."""
+    path = shared_dir(spark)
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("run-"), c("o_custkey") % 3).alias("run_id"), c("o_orderdate").cast("date").cast("string").alias("research_date"), c("o_orderpriority").alias("formula"), c("o_orderkey").alias("line"))
+    for part in (0, 1):
+        S.append_ledger(o.where(c("line") % 2 == part), path)
+    table(spark, sf_dir, "part").select(F.concat(F.lit('{"research_date": '), "p_type")).write.mode("append").text(f"{path}/run_id=run-0")
+    good, corrupt = S.read_ledger(spark, path, o.drop("run_id").schema)
+    return good.groupBy(F.lit("good").alias("kind"), "run_id").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last")).unionByName(corrupt.agg(F.count(F.lit(1)).alias("n")).select(F.lit("corrupt").alias("kind"), F.lit(None).cast("string").alias("run_id"), "n", F.lit(None).cast("long").alias("last")))
+
+
+@query("s12_manifest", "SELECT count(*) AS n_orders, max(o_orderdate)::DATE::VARCHAR AS last_date, 'second' AS run_name FROM orders")
+def s12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest is replaced whole."""
+    path, o = shared_dir(spark), table(spark, sf_dir, "orders")
+    for name in ("first", "second"):
+        row = o.agg(F.count(F.lit(1)).alias("n_orders"), F.max("o_orderdate").cast("date").cast("string").alias("last_date")).withColumn("run_name", F.lit(name))
+        S.write_manifest(row, path)
+    return S.read_manifest(spark, path, row.schema)
+
+
+@query("s13_entries", "SELECT o_orderpriority AS run_id, count(*) AS n, min(o_orderdate)::DATE::VARCHAR AS first_archived FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1")
+def s13_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal entries, a file each."""
+    path = shared_dir(spark)
+    e = table(spark, sf_dir, "orders").groupBy(c("o_orderpriority").alias("run_id")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderdate").cast("date").cast("string").alias("first_archived"))
+    e.withColumn("entry", F.xxhash64("run_id")).write.partitionBy("entry").json(path)
+    return S.load_entries(spark, path, e.schema).select("run_id", "n", "first_archived")
+
+
+@query("s14_truncate_trace", "SELECT 'r' || user_id AS run_id, event_id AS seq, event_type AS step FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3")
+def s14_truncate_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as traces of users."""
+    return S.truncate_trace(table(spark, sf_dir, "events").select(F.concat(F.lit("r"), "user_id").alias("run_id"), c("event_id").alias("seq"), c("event_type").alias("step")), 3)
+
+
+@query("s15_register_signal", f"WITH {PANEL}{SIGNALS} SELECT symbol, dt, round(value, 6) AS value, 'feature_1' AS feature_id FROM signal WHERE candidate_id = 'k2_range' AND dt >= '1995-01-01'")
+def s15_register_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = brand_panel(spark, sf_dir)
+    signal = stable_signals(panel).where("candidate_id = 'k2_range'").select("symbol", "dt", "value")
+    return rounded(S.register_signal(signal, panel.where("dt >= '1995-01-01'").select("dt").distinct(), shared_dir(spark), "feature_1").select("symbol", "dt", "value", "feature_id"))
+
+
+@query("p4_request_order", f"WITH {bars_sql()}, asked AS (SELECT p_brand AS symbol, row_number() OVER (ORDER BY count(*) DESC, p_brand)::INT AS symbol_ord FROM part GROUP BY p_brand) SELECT symbol_ord, symbol, dt, round(close, 6) AS close FROM bars JOIN asked USING (symbol)")
+def p4_request_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands are asked for by their number of parts."""
+    counts = table(spark, sf_dir, "part").groupBy(c("p_brand").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+    asked = counts.select("symbol", F.row_number().over(Window.orderBy(c("n").desc(), "symbol")).alias("symbol_ord"))  # a row a brand
+    return rounded(P.in_request_order(brand_bars(spark, sf_dir), asked).select("symbol_ord", "symbol", "dt", "close"))
+
+
+@query("m9_genuine_vwap", f"WITH {PANEL} SELECT symbol, count(vwap) AS n, round(max(vwap), 6) AS high FROM panel GROUP BY symbol")
+def m9_genuine_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(Q.require_genuine_vwap(brand_panel(spark, sf_dir)).groupBy("symbol").agg(F.count("vwap").alias("n"), F.max("vwap").alias("high")))
+
+
+@query("j7_context", """SELECT sha256('{"o_orderpriority":' || coalesce('"' || o_orderpriority || '"', 'null') || ',"year":' || year(o_orderdate) || '}') AS context, count(*) AS n FROM orders GROUP BY 1""")
+def j7_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by priority and year as scoring contexts."""
+    o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    return o.groupBy(J.evidence_context(["o_orderpriority", "year"]).alias("context")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j13_stale", "SELECT count(*) FILTER (o_orderdate < '1998-01-01') AS old_rows, count(*) AS new_rows, count(*) FILTER (o_orderdate >= '1998-01-01') > 0 AS stale, false AS stale_again FROM orders")
+def j13_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of all orders against that of the years before 1998, and against itself."""
+    o = table(spark, sf_dir, "orders")
+    old, new = (J.corpus_fingerprint(df, ["o_orderkey", "o_totalprice"]) for df in (o.where("o_orderdate < '1998-01-01'"), o))
+    both = old.select(c("rows").alias("old_rows")).crossJoin(new.select(c("rows").alias("new_rows")))  # one row each
+    return both.crossJoin(J.stale(old, new)).crossJoin(J.stale(new, new).select(c("stale").alias("stale_again")))
+
+
 # --- portfolio and replay -----------------------------------------------------------------------------------------------
 ONE = [r for r in CATALOG if r[0] == "k3_reversal"]
 SIGNAL = f"""{SETTLED}, raw AS (SELECT symbol, dt, round(-(close - {lag_sql('close', 4)}), 9) AS x FROM panel), signal AS (SELECT symbol, dt, {rank_sql('x')} AS value FROM raw)"""

@@ -9,7 +9,7 @@ from quantpanel import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer supplier part orders lineitem events documents conversations".split()
-SOME = ["s2_scan", "s5_clean_bars", "s7_wide_to_long", "p5_panel", "p10_bars_month", "c1_rank_close", "t8_ts_rank_w8", "t9_ts_corr_w8", "t11_decay_linear_w20", "k5_deviation", "m5_node_report", "m6_admission", "g4_dead_ends", "g4_spoilt_input", "g5_walk_forward", "v5_verdict", "j3_run_ids", "j9_failure_modes", "b3_top_q", "b5_hold_rebalance", "b10_delisted", "d4_unmentioned", "j4_conflicts", "j16_differences"]
+SOME = ["s2_scan", "s5_clean_bars", "s7_wide_to_long", "p5_panel", "p10_bars_month", "c1_rank_close", "t8_ts_rank_w8", "t9_ts_corr_w8", "t11_decay_linear_w20", "k5_deviation", "m5_node_report", "m6_admission", "s1_load_bars", "s10_ledger", "s12_manifest", "s13_entries", "s14_truncate_trace", "s15_register_signal", "p4_request_order", "m9_genuine_vwap", "j7_context", "j13_stale", "i3_macd", "i4_rsi", "i12_beta", "g4_dead_ends", "g4_spoilt_input", "g5_walk_forward", "v5_verdict", "j3_run_ids", "j9_failure_modes", "b3_top_q", "b5_hold_rebalance", "b10_delisted", "d4_unmentioned", "j4_conflicts", "j16_differences"]
 
 
 def shown(v):
