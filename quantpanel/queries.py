@@ -204,11 +204,12 @@ def s6_coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.coverage_report(brand_bars(spark, sf_dir))
 
 
-@query("s7_wide_to_long", f"WITH {bars_sql('month')} SELECT symbol, dt, round(open, 4) AS open, round(close, 4) AS close FROM bars WHERE symbol IN ('Brand#11', 'Brand#12', 'Brand#13')")
+@query("s7_wide_to_long", f"WITH {bars_sql('month')} SELECT symbol, dt, round(open, 4) AS open, round(close, 4) AS close FROM bars")
 def s7_wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide columns and back."""
-    wide = P.wide(brand_bars(spark, sf_dir, "month").where(c("symbol").isin("Brand#11", "Brand#12", "Brand#13")), ["Brand#11", "Brand#12", "Brand#13"])
-    long = P.from_wide(wide.withColumnRenamed("dt", "Datetime"))
+    """Wide columns of all brands and back."""
+    bars = brand_bars(spark, sf_dir, "month")
+    names = [r.symbol for r in S.all_symbols(bars).collect()]  # a wide table has a column a symbol
+    long = P.from_wide(P.wide(bars, names).withColumnRenamed("dt", "Datetime"))
     return long.where("open IS NOT NULL").select("symbol", "dt", near(c("open"), 4).alias("open"), near(c("close"), 4).alias("close"))
 
 
@@ -751,12 +752,12 @@ def j1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.merge_ledgers(led.where("candidate_id = 'k1_volume'"), led.where("candidate_id = 'k3_reversal' AND research_date > '1995-06-01'"))
 
 
-@query("j2_archive", "WITH old AS (SELECT 'r' || o_custkey AS run_id, min(o_orderpriority) AS note, min(o_orderdate)::VARCHAR AS first_archived, max(o_orderdate)::VARCHAR AS last_archived FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey), new AS (SELECT DISTINCT 'r' || o_custkey AS run_id FROM orders WHERE o_custkey % 3 = 0) SELECT coalesce(o.run_id, n.run_id) AS run_id, coalesce(note, '') AS note, left(coalesce(first_archived, '2030-01-01'), 10) AS first_archived, left(CASE WHEN n.run_id IS NOT NULL THEN '2030-01-01' ELSE last_archived END, 10) AS last_archived FROM old o FULL JOIN new n ON o.run_id = n.run_id")
+@query("j2_archive", "WITH old AS (SELECT 'r' || o_custkey AS run_id, min(o_orderpriority) AS note, min(o_orderdate)::VARCHAR AS first_archived, max(o_orderdate)::VARCHAR AS last_archived FROM orders WHERE o_orderdate < '1997-01-01' GROUP BY o_custkey), new AS (SELECT DISTINCT 'r' || o_custkey AS run_id FROM orders WHERE o_orderdate >= '1996-01-01') SELECT coalesce(o.run_id, n.run_id) AS run_id, coalesce(note, '') AS note, left(coalesce(first_archived, '2030-01-01'), 10) AS first_archived, left(CASE WHEN n.run_id IS NOT NULL THEN '2030-01-01' ELSE last_archived END, 10) AS last_archived FROM old o FULL JOIN new n ON o.run_id = n.run_id")
 def j2_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as runs."""
+    """Customers as runs: those with orders before 1997 stand in the journal, those with orders since 1996 are archived again."""
     o = table(spark, sf_dir, "orders").withColumn("run_id", F.concat(F.lit("r"), "o_custkey"))
-    old = o.where("o_custkey % 2 = 0").groupBy("run_id").agg(F.min("o_orderpriority").alias("note"), F.min(c("o_orderdate").cast("date")).cast("string").alias("first_archived"), F.max(c("o_orderdate").cast("date")).cast("string").alias("last_archived"))
-    return J.archive(old, o.where("o_custkey % 3 = 0").select("run_id").distinct(), "2030-01-01")
+    old = o.where("o_orderdate < '1997-01-01'").groupBy("run_id").agg(F.min("o_orderpriority").alias("note"), F.min(c("o_orderdate").cast("date")).cast("string").alias("first_archived"), F.max(c("o_orderdate").cast("date")).cast("string").alias("last_archived"))
+    return J.archive(old, o.where("o_orderdate >= '1996-01-01'").select("run_id").distinct(), "2030-01-01")
 
 
 def settings(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
