@@ -40,3 +40,21 @@ def test_stages(spark):
         before = after
     last = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
     assert {i: r.text for i, r in last.items()} == before and all(r.n_tokens == len(r["ids"]) > 0 for r in last.values())
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, ids with several texts, a clashing column: rows go by their own text."""
+    import corpus_pipeline
+
+    rows = [(1, "same text"), (12, "same text"), (12, "wholly different"), (None, "same text"), (3, "½ ²"), (None, None), (7, None), (8, ""), (5, "twice"), (5, "twice"), (9, "long " * 60_000)]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_id int, key string")
+    shown = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    distinct = sorted([(1, "same text"), (12, "wholly different"), (3, "½ ²"), (7, None), (5, "twice"), (5, "twice"), (9, "long " * 60_000)], key=str)
+    expected = {"toxicity": sorted(rows, key=str), "exact_dedup": distinct, "simhash_dedup": distinct, "decontamination": distinct}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        after = stage(spark, docs, SF).cache()
+        assert after.columns == docs.columns and shown(after) == expected[name], name
+        docs = after
+    last = corpus_pipeline.STAGES[-1][1]
+    assert shown(last(spark, docs, SF)) == sorted([(i, t or "") for i, t in distinct], key=str) and last(spark, docs.limit(0), SF).count() == 0
