@@ -664,10 +664,22 @@ def d6_prose_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- research and journal -----------------------------------------------------------------------------------------------
+#: Where the daily returns of the whole catalog were written, by application and input; some twenty queries read them.
+DAILY: dict[tuple[str, str], str] = {}
+
+
+def grid_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in DAILY:
+        panel, path = brand_settlement(spark, sf_dir), shared_dir(spark)
+        B.replay(B.weights(stable_signals(panel), CONFIG), panel, CONFIG.cost_bps).write.parquet(path)
+        DAILY[key] = path
+    return spark.read.parquet(DAILY[key])
+
+
 def grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    panel = brand_settlement(spark, sf_dir)
-    daily = B.replay(B.weights(stable_signals(panel), CONFIG), panel, CONFIG.cost_bps)
-    windows = V.research_windows(dates_of(spark), panel.select("dt").distinct(), CONFIG)
+    daily = grid_daily(spark, sf_dir)  # a row for every date of the panel and candidate
+    windows = V.research_windows(dates_of(spark), daily.select("dt").distinct(), CONFIG)
     return G.scored(daily, windows, CONFIG).join(F.broadcast(catalog(spark).select("candidate_id", "candidate", "ops", "expression_hash")), "candidate_id"), windows
 
 
