@@ -71,28 +71,32 @@ class Machine:
         return out
 
 
-def pair_dependence(x: np.ndarray, labels: np.ndarray, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, z squared) of columns of x: how far the log odds of the label for j differ between rows with i and rows without.
+def pair_dependence(x: np.ndarray, labels: np.ndarray, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, z squared) of columns i < j of x: how far the log odds of the label for j differ between rows with i and without.
 
-    Single weights explain two columns whose odds multiply; this is what is left for the pair. In blocks of `step` columns.
+    Single weights explain two columns whose odds multiply; this is what is left for the pair. In blocks of `step` by
+    `step` columns; x holds bytes.
     """
     y = labels.astype(np.float32)
     n, positive = np.float32(len(y)), np.float32(y.sum())
-    has, has_y = x.sum(0), y @ x
+    has, has_y = x.sum(0, dtype=np.float32), x[labels > 0].sum(0, dtype=np.float32)
     for at in range(0, x.shape[1], step):
-        left = x[:, at : at + step]
-        both, both_y = left.T @ x, (left * y[:, None]).T @ x
+        left = x[:, at : at + step].astype(np.float32).T.copy()
         a, a_y = has[at : at + step, None], has_y[at : at + step, None]
-        # With i and j, i alone, j alone, neither: rows of label 1 and 0, half a row added to each.
-        ones = [both_y, a_y - both_y, has_y - both_y, positive - a_y - has_y + both_y]
-        alls = [both, a - both, has - both, n - a - has + both]
-        odds, noise = 0.0, 0.0
-        for sign, one, every in zip((1, -1, -1, 1), ones, alls, strict=True):
-            odds = odds + sign * np.log((one + 0.5) / (every - one + 0.5))
-            noise = noise + 1 / (one + 0.5) + 1 / (every - one + 0.5)
-        z = odds**2 / noise
-        i, j = np.nonzero((z > 30) & (np.arange(at, at + left.shape[1])[:, None] < np.arange(x.shape[1])))
-        yield i + at, j, z[i, j]
+        for to in range(at, x.shape[1], step):
+            right = x[:, to : to + step].astype(np.float32)
+            b, b_y = has[to : to + step], has_y[to : to + step]
+            both, both_y = left @ right, left @ (right * y[:, None])
+            # With i and j, i alone, j alone, neither: rows of label 1 and 0, half a row added to each.
+            ones = [both_y, a_y - both_y, b_y - both_y, positive - a_y - b_y + both_y]
+            alls = [both, a - both, b - both, n - a - b + both]
+            odds, noise = 0.0, 0.0
+            for sign, one, every in zip((1, -1, -1, 1), ones, alls, strict=True):
+                odds = odds + sign * np.log((one + 0.5) / (every - one + 0.5))
+                noise = noise + 1 / (one + 0.5) + 1 / (every - one + 0.5)
+            z = odds**2 / noise
+            i, j = np.nonzero((z > 30) & (np.arange(at, at + len(left))[:, None] < np.arange(to, to + right.shape[1])))
+            yield i + at, j + to, z[i, j]
 
 
 def chosen_slots(rows: list[np.ndarray], labels: np.ndarray, max_terms: int, min_chi2: float, max_pairs: int, min_pair: float, min_rows: int) -> np.ndarray:
@@ -109,7 +113,7 @@ def chosen_slots(rows: list[np.ndarray], labels: np.ndarray, max_terms: int, min
     often = np.sort(often[np.argsort(-m[often], kind="stable")[:4_096]])
     place = np.full(SLOTS, -1)
     place[often] = np.arange(len(often))
-    x = np.zeros((n, len(often)), np.float32)
+    x = np.zeros((n, len(often)), np.uint8)
     for i, r in enumerate(rows):
         at = place[r]
         x[i, at[at >= 0]] = 1
@@ -174,8 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Machine:
     slots = picked.select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id long, toxic int, slots array<int>")
     # Ids may repeat in `docs`: again at most max_rows rows.
     got = slots.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("slots")).limit(max_rows).toArrow()
-    rows = [np.array(x, int) for x in got.column("slots").to_pylist()]
-    return fit(rows, np.array(got.column("toxic").to_pylist(), float))
+    held = got.column("slots").combine_chunks()
+    flat, ends = held.values.to_numpy(), held.offsets.to_numpy()
+    return fit([flat[a:b] for a, b in zip(ends, ends[1:])], got.column("toxic").to_numpy().astype(float))
 
 
 class Scorer:
