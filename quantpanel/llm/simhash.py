@@ -259,8 +259,11 @@ def compare(home: np.ndarray, probes: np.ndarray, distance: int, nearest: int |
         far = np.bitwise_count(block[:, None] ^ home[None, :])
         near = (far <= distance) & (block[:, None] != home[None, :])
         if nearest is not None and len(home) > nearest:
-            limit = np.partition(np.where(near, far, 99), nearest - 1, axis=1)[:, nearest - 1]
-            near &= far <= limit[:, None]
+            # That many and no more, also of equally close ones: the others are left to the second round.
+            chosen = np.argpartition(np.where(near, far, 99), nearest - 1, axis=1)[:, :nearest]
+            first = np.zeros_like(near)
+            np.put_along_axis(first, chosen, True, axis=1)
+            near &= first
         i, j = np.nonzero(near)
         if nearest is None and len(i):
             u, v = local_links(block[i], home[j])
@@ -473,7 +476,7 @@ def remaining_links(docs: DataFrame, members: DataFrame, p: Plan, size: int, sim
     return tiled(full, tile).mapInArrow(verify, "u long, v long")
 
 
-def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14, nearest: int = 4, tile: int | None = None) -> DataFrame:
+def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14, nearest: int = 2, tile: int | None = None) -> DataFrame:
     """(row_id, row_hash, keep_id, kept) of the documents in a group of two or more; keep_id is the id of the one that stays.
 
     Rows are told apart as in `with_row_key`. The smallest id stays, a null one only if the group has no other; of equal
