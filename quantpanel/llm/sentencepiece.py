@@ -352,6 +352,7 @@ def encode(docs: DataFrame, p: Pieces, block_bytes: int = 10_000_000, part_words
         words, h, _ = distinct(split_words(unpack(packs)[1])[0])
         held, first = np.unique(part_of(h, parts), return_index=True)
         asked = [packed_words(words.slice(a, b - a)) for a, b in zip(first, [*first[1:], len(h)])]
+        pa.default_memory_pool().release_unused()
         return pa.table({"block": pa.array([key[0].as_py()] * len(held), pa.int32()), "part": pa.array(held, pa.int32()), "words": pa.array(asked, pa.binary())})
 
     def merge(key: tuple, asked: pa.Table) -> pa.Table:
@@ -398,6 +399,8 @@ def encode(docs: DataFrame, p: Pieces, block_bytes: int = 10_000_000, part_words
         found = codes.take(pa.array(place))
         offsets = found.offsets.to_numpy()[np.cumsum([0, *counts])]
         ids = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), found.flatten())
+        del words, place, sizes, values, codes, found
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids, "text_sha256": pa.array(sha, pa.string())})
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("doc_id", "text"))
