@@ -40,7 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): the ids of every document and the text that they decode to."""
     pieces = load()
-    tokens = encode(docs, pieces).select("doc_id", "ids", F.col("ids").alias("kept_ids"))
+    # Executors hold what the stages before them left, so blocks are half as large as usual.
+    tokens = encode(docs, pieces, block_bytes=5_000_000).select("doc_id", "ids", F.col("ids").alias("kept_ids"))
     return decode(tokens, pieces).select("doc_id", "n_tokens", F.col("kept_ids").alias("ids"), "text")
 
 
