@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space that contracts name: space, tab, newline, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -51,6 +52,30 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """`df` with idx, which counts the rows of each value of `keys` from 0 in the order of `order`, and total, their number.
+
+    `keys` hold no nulls. Rows are dealt by ranges of keys and order together, so a value that holds most rows spans many
+    tasks; each task counts its own rows, and only a row a task and value is summed. Rows that agree in all of `order` get
+    different numbers; give it enough columns that such rows are interchangeable.
+    """
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    rows = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()))
+    task = F.shiftright("at", 33).alias("task")
+    counts = rows.groupBy(task, *keys).agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*keys)  # a row a task that holds the value
+    before = F.coalesce(F.sum("n").over(group.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cut(counts.select("task", *keys, (before - F.col("first_at")).alias("shift"), F.sum("n").over(group).alias("total")))
+    return rows.withColumn("task", task).join(starts, ["task", *keys]).withColumn("idx", F.col("at") + F.col("shift")).drop("task", "at", "shift")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII string: bit by bit, with the reflected polynomial."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)),
+        lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda c, k: {step})))"""
+
+
 def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_id, row_hash, row): what tells a document from others, and all its columns, whatever their names.
 
