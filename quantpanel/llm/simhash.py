@@ -251,13 +251,16 @@ def local_links(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compare(home: np.ndarray, probes: np.ndarray, distance: int, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one bucket, in blocks of a million comparisons; with `nearest`, that many closest partners of a probe."""
+    """Links of one bucket, in blocks of a million comparisons; with `nearest`, that many closest of the smaller partners of a probe.
+
+    A pair is met from its larger side there, so it isn't found a second time from the other.
+    """
     us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     step = max(1, 1_000_000 // max(1, len(home)))
     for at in range(0, len(probes), step):
         block = probes[at : at + step]
         far = np.bitwise_count(block[:, None] ^ home[None, :])
-        near = (far <= distance) & (block[:, None] != home[None, :])
+        near = (far <= distance) & (block[:, None] != home[None, :] if nearest is None else block[:, None] > home[None, :])
         if nearest is not None and len(home) > nearest:
             # That many and no more, also of equally close ones: the others are left to the second round.
             chosen = np.argpartition(np.where(near, far, 99), nearest - 1, axis=1)[:, :nearest]
@@ -270,8 +273,8 @@ def compare(home: np.ndarray, probes: np.ndarray, distance: int, nearest: int |
             us.append(u)
             vs.append(v)
         elif len(i):
-            us.append(np.maximum(block[i], home[j]))
-            vs.append(np.minimum(block[i], home[j]))
+            us.append(block[i])
+            vs.append(home[j])
     u, v = np.concatenate(us), np.concatenate(vs)
     return local_links(u, v) if nearest is None and len(u) else (u, v)
 
