@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 SYMBOL = ("symbol",)
-#: Up to this width a linear decay is a sum of lags; beyond it, one fold over the window's array.
+#: Up to this width a linear decay is a sum of lags; beyond it, one fold over the window's array. A table can also get wide
+#: decays in linear time, as columns of its own (recurrences.linear_decay).
 LAGS = 16
 
 

@@ -1,6 +1,6 @@
 """Named indicators from their public definitions, on a dense panel, as columns by symbol.
 
-Recursive averages (MACD, RSI) fold the symbol's ordered array; everything else is a window expression.
+Recursive averages (MACD, RSI) and half-life windows (beta, momentum) take time that is linear in a symbol's rows.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantpanel.functions import recurrences as rc
 from quantpanel.functions import timeseries as ts
 
+
 def own_rows():
     return Window.partitionBy("symbol").orderBy("dt")
 
@@ -21,8 +23,8 @@ def turnover(price: Column, volume: Column) -> Column:
 
 def hull_average(df: DataFrame, x: str, period: int) -> DataFrame:
     """hma: the linear decay over sqrt(period) of twice the half-period decay minus the whole one."""
-    raw = df.withColumn("_h", 2 * ts.decay_linear(F.col(x), max(1, period // 2)) - ts.decay_linear(F.col(x), period))
-    return raw.withColumn("hma", ts.decay_linear(F.col("_h"), max(1, round(period**0.5)))).drop("_h")
+    parts = rc.linear_decay(rc.linear_decay(df, "_half", F.col(x), max(1, period // 2)), "_whole", F.col(x), period)
+    return rc.linear_decay(parts, "hma", 2 * F.col("_half") - F.col("_whole"), max(1, round(period**0.5))).drop("_half", "_whole")
 
 
 def accumulated_return(x: Column, period: int) -> Column:
@@ -46,35 +48,21 @@ def rolling_quantile(x: Column, window: int, q: float, scale: float = 1.0) -> Co
     return F.when(F.count(x).over(before) == window, F.percentile(x, F.lit(q)).over(before) * scale)
 
 
-def folded(df: DataFrame, x: str, fold, names: list[str]) -> DataFrame:
-    """Adds columns that `fold` (array column -> array of struct of `names`) computes over each symbol's valid rows in order."""
-    rows = df.where(F.col(x).isNotNull()).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("dt", F.col(x).alias("v")))).alias("rows"))
-    values = rows.select("symbol", "rows", fold(F.col("rows")).alias("out"))
-    long = values.select("symbol", F.explode(F.arrays_zip(F.col("rows.dt").alias("dt"), F.col("out").alias("out"))).alias("z")).select("symbol", F.col("z.dt").alias("dt"), *(F.col(f"z.out.{n}").alias(n) for n in names))
-    return df.join(long, ["symbol", "dt"], "left")
-
-
 def macd(df: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """macd, macd_signal, macd_hist with exponential averages that start at the first valid value."""
-    a, b, c = (2 / (n + 1) for n in (fast, slow, signal))
-    sql = (
-        f"aggregate(rows, cast(array() as array<struct<f:double,s:double,macd:double,macd_signal:double,macd_hist:double>>), (acc, r) -> concat(acc, array(transform(array(named_struct("
-        f"'f', coalesce(element_at(acc, -1).f, r.v) * {1 - a} + r.v * {a}, 's', coalesce(element_at(acc, -1).s, r.v) * {1 - b} + r.v * {b}, 'p', element_at(acc, -1).macd_signal)), "
-        f"t -> named_struct('f', t.f, 's', t.s, 'macd', t.f - t.s, 'macd_signal', coalesce(t.p, t.f - t.s) * {1 - c} + (t.f - t.s) * {c}, 'macd_hist', (t.f - t.s) - (coalesce(t.p, t.f - t.s) * {1 - c} + (t.f - t.s) * {c})))[0])))"
-    ).replace("element_at(acc, -1)", "try_element_at(acc, -1)")
-    return folded(df, x, lambda _: F.expr(sql), ["macd", "macd_signal", "macd_hist"])
+    valid = F.col(x).isNotNull()
+    both = rc.smoothed(df, {"_fast": (F.col(x), 2 / (fast + 1)), "_slow": (F.col(x), 2 / (slow + 1))}, valid)
+    line = rc.smoothed(both.withColumn("macd", F.col("_fast") - F.col("_slow")), {"macd_signal": (F.col("macd"), 2 / (signal + 1))}, valid)
+    return line.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
 
 
 def rsi(df: DataFrame, x: str = "close", period: int = 14) -> DataFrame:
     """rsi with Wilder's smoothing from the first change on; 100 without losses."""
-    w = 1 / period
-    sql = (
-        "aggregate(rows, cast(array() as array<struct<v:double,up:double,down:double,rsi:double>>), (acc, r) -> concat(acc, array(transform(array(named_struct("
-        f"'up', if(size(acc) < 2, greatest(r.v - try_element_at(acc, -1).v, 0D), try_element_at(acc, -1).up * {1 - w} + greatest(r.v - try_element_at(acc, -1).v, 0D) * {w}), "
-        f"'down', if(size(acc) < 2, greatest(try_element_at(acc, -1).v - r.v, 0D), try_element_at(acc, -1).down * {1 - w} + greatest(try_element_at(acc, -1).v - r.v, 0D) * {w}))), "
-        "t -> named_struct('v', r.v, 'up', t.up, 'down', t.down, 'rsi', if(size(acc) = 0, null, 100 * try_divide(t.up, t.up + t.down))))[0])))"
-    )
-    return folded(df, x, lambda _: F.expr(sql), ["rsi"])
+    valid = F.col(x).isNotNull()
+    changed = df.withColumn("_known", valid).withColumn("_d", F.when(valid, F.col(x) - F.lag(x, 1).over(ts.series(("symbol", "_known")))))
+    sides = {"_up": (F.greatest("_d", F.lit(0.0)), 1 / period), "_down": (F.greatest(-F.col("_d"), F.lit(0.0)), 1 / period)}
+    both = rc.smoothed(changed, sides, F.col("_d").isNotNull())
+    return both.withColumn("rsi", 100 * F.try_divide(F.col("_up"), F.col("_up") + F.col("_down"))).drop("_known", "_d", "_up", "_down")
 
 
 def convergence(df: DataFrame, x: str, window: int) -> DataFrame:
@@ -97,29 +85,21 @@ def divergence(df: DataFrame, x: str, y: str, window: int) -> DataFrame:
     return df.withColumns({"new_peak": top & (F.col(y) > F.max(y).over(before)), "fake_peak": top & ~(F.col(y) > F.max(y).over(before)), "new_bottom": bottom & (F.col(y) < F.min(y).over(before)), "fake_bottom": bottom & ~(F.col(y) < F.min(y).over(before))})
 
 
-def weighted_sum(x: Column, window: int, half_life: float, lag: int = 0) -> tuple[Column, Column]:
-    """Sum of half-life weights times x over the window that ended `lag` bars ago, and the weights' sum."""
-    pairs = [(0.5 ** (k / half_life), F.lag(x, k + lag).over(own_rows()) if k + lag else x) for k in range(window)]
-    return sum((v * w for w, v in pairs[1:]), pairs[0][1] * pairs[0][0]), F.lit(sum(w for w, _ in pairs))
-
-
 def momentum(df: DataFrame, window: int = 120, lag: int = 5, half_life: float = 60) -> DataFrame:
-    """Weighted sum of log returns, lagged."""
+    """Weighted sum of log returns, lagged, where all of the window's are known."""
     logged = df.withColumn("_r", F.when(F.col("returns") > -1, F.log1p("returns")))
-    rolled = F.collect_list("_r").over(own_rows().rowsBetween(-(window + lag - 1), -lag))
-    value = F.aggregate(F.transform(rolled, lambda v, i: v * F.pow(F.lit(0.5), (F.lit(window - 1.0) - i) / half_life)), F.lit(0.0), lambda a, v: a + v)
-    return logged.withColumn("momentum", F.when(F.count("_r").over(own_rows().rowsBetween(-(window + lag - 1), -lag)) == window, value)).drop("_r")
+    known = F.count("_r").over(own_rows().rowsBetween(-(window + lag - 1), -lag)) == window
+    return rc.halved_sums(logged, {"_sum": F.col("_r")}, window, half_life, lag).withColumn("momentum", F.when(known, F.col("_sum"))).drop("_r", "_sum")
 
 
 def beta(df: DataFrame, window: int = 252, half_life: float = 63) -> DataFrame:
     """Slope of returns on the market's equal-weighted return, with half-life weights over the window's rows."""
     market = df.withColumn("_m", F.avg("returns").over(Window.partitionBy("dt")))
-    rows = F.collect_list(F.when(F.col("returns").isNotNull(), F.struct(F.col("returns").alias("r"), F.col("_m").alias("m")))).over(ts.frame(window))
-    w = f"pow(0.5D, ({window - 1} - i) / {float(half_life)!r}D)"
-    total = lambda e: f"aggregate(transform(_rows, (s, i) -> {w} * {e}), 0D, (a, v) -> a + v)"
-    sums = market.withColumn("_rows", rows).withColumns({n: F.expr(total(e)) for n, e in (("_w", "1D"), ("_x", "s.m"), ("_y", "s.r"), ("_xy", "s.m * s.r"), ("_xx", "s.m * s.m"))})
-    value = F.try_divide(F.col("_xy") - F.col("_x") * F.col("_y") / F.col("_w"), F.col("_xx") - F.col("_x") * F.col("_x") / F.col("_w"))
-    return sums.withColumn("beta", F.when(F.size("_rows") == window, value)).drop("_m", "_rows", "_w", "_x", "_y", "_xy", "_xx")
+    r, m = F.col("returns"), F.when(F.col("returns").isNotNull(), F.col("_m"))
+    sums = rc.halved_sums(market, {"_x": m, "_y": r, "_xy": r * m, "_xx": m * m}, window, half_life)
+    w = F.lit(sum(0.5 ** (k / half_life) for k in range(window)))
+    value = F.try_divide(F.col("_xy") - F.col("_x") * F.col("_y") / w, F.col("_xx") - F.col("_x") * F.col("_x") / w)
+    return sums.withColumn("beta", ts.full(r, window, value)).drop("_m", "_x", "_y", "_xy", "_xx")
 
 
 def orthogonal_cube(df: DataFrame, x: str, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quantpanel.functions import cross as X
 from quantpanel.functions import elementwise as E
+from quantpanel.functions import recurrences as R
 from quantpanel.functions import timeseries as T
 from quantpanel.operators import diagnostics as D
 from quantpanel.operators import indicators as I
@@ -148,6 +149,8 @@ cells("t10_ts_cov_w8", lambda: T.ts_cov(c("returns"), c("volume"), 8), full_sql(
 decay_sql = lambda x, d: full_sql("(" + " + ".join(f"{d - k} * {x if not k else lag_sql(x, k)}" for k in range(d)) + f") / {d * (d + 1) / 2}::DOUBLE", d, x)
 cells("t11_decay_linear_w8", lambda: T.decay_linear(c("returns"), 8), decay_sql("returns", 8))
 cells("t11_decay_linear_w20", lambda: T.decay_linear(c("returns"), 20), decay_sql("returns", 20))
+QUERIES["t11_decay_linear_w252"] = lambda spark, sf_dir: rounded(R.linear_decay(brand_panel(spark, sf_dir), "value", c("returns"), 252).select("symbol", "dt", "value"))
+SQL["t11_decay_linear_w252"] = f"WITH {PANEL}\nSELECT symbol, dt, round({decay_sql('returns', 252)}, {DIGITS}) AS value FROM panel"
 cells("t12_product_w5", lambda: T.product(c("returns") + 1, 5), full_sql(f"product(1 + returns) {frame_sql(5)}", 5, "returns"))
 # --- admitted shapes ----------------------------------------------------------------------------------------------------
 mean_sql = lambda x, d: full_sql(f"avg({x}) {frame_sql(d)}", d, x)
@@ -900,12 +903,24 @@ indicator("i6_convergence", lambda df: I.convergence(df, "close", 12), {"peak_co
 TOP, LOW = f"close > {before_sql('close', 12, 1, 'max')}", f"close < {before_sql('close', 12, 1, 'min')}"
 WITH_TOP, WITH_LOW = f"volume > {before_sql('volume', 12, 1, 'max')}", f"volume < {before_sql('volume', 12, 1, 'min')}"
 indicator("i7_divergence", lambda df: I.divergence(df, "close", "volume", 12), {"new_peak": f"({TOP}) AND ({WITH_TOP})", "fake_peak": f"({TOP}) AND NOT ({WITH_TOP})", "new_bottom": f"({LOW}) AND ({WITH_LOW})", "fake_bottom": f"({LOW}) AND NOT ({WITH_LOW})"})
-BETA = ", market AS (SELECT symbol, dt, returns AS r, avg(returns) OVER (PARTITION BY dt) AS m FROM panel), products AS (SELECT *, r * m AS rm, m * m AS mm FROM market), sums AS (SELECT symbol, dt, count(r) {f} AS n, {x} AS x, {y} AS y, {xy} AS xy, {xx} AS xx FROM products)".format(f=frame_sql(26), **{n: halved_sql(c_, 26, 13.0) for n, c_ in (("x", "m"), ("y", "r"), ("xy", "rm"), ("xx", "mm"))})
-WEIGHT = repr(sum(0.5 ** (k / 13) for k in range(26)))
-indicator("i12_beta", lambda df: I.beta(df, 26, 13), {"beta": six(f"CASE WHEN n = 26 THEN (xy - x * y / {WEIGHT}::DOUBLE) / nullif(xx - x * x / {WEIGHT}::DOUBLE, 0) END")}, BETA, "sums")
-indicator("i12_nonlinear_beta", lambda df: I.orthogonal_cube(I.beta(df, 26, 13), "beta", "nlbeta"), {"nlbeta": six("c - avg(c) OVER (PARTITION BY dt) - covar_samp(b, c) OVER (PARTITION BY dt) / nullif(var_samp(b) OVER (PARTITION BY dt), 0) * (b - avg(b) OVER (PARTITION BY dt))")}, BETA + f", betas AS (SELECT symbol, dt, CASE WHEN n = 26 THEN (xy - x * y / {WEIGHT}::DOUBLE) / nullif(xx - x * x / {WEIGHT}::DOUBLE, 0) END AS b FROM sums), cubes AS (SELECT *, pow(b, 3::DOUBLE) AS c FROM betas)", "cubes")
+
+
+def beta_sql(window: int, half_life: float) -> tuple[str, str]:
+    """CTEs that end in sums, and the slope over them."""
+    products = ", market AS (SELECT symbol, dt, returns AS r, avg(returns) OVER (PARTITION BY dt) AS m FROM panel), products AS (SELECT *, r * m AS rm, m * m AS mm FROM market)"
+    sums = ", ".join(f"{halved_sql(c_, window, half_life)} AS {n}" for n, c_ in (("x", "m"), ("y", "r"), ("xy", "rm"), ("xx", "mm")))
+    weight = repr(sum(0.5 ** (k / half_life) for k in range(window)))
+    slope = f"CASE WHEN n = {window} THEN (xy - x * y / {weight}::DOUBLE) / nullif(xx - x * x / {weight}::DOUBLE, 0) END"
+    return f"{products}, sums AS (SELECT symbol, dt, count(r) {frame_sql(window)} AS n, {sums} FROM products)", slope
+
+
+BETA, SLOPE = beta_sql(26, 13.0)
+indicator("i12_beta", lambda df: I.beta(df, 26, 13), {"beta": six(SLOPE)}, BETA, "sums")
+indicator("i12_beta_w252", I.beta, {"beta": six(beta_sql(252, 63.0)[1])}, beta_sql(252, 63.0)[0], "sums")
+indicator("i12_nonlinear_beta", lambda df: I.orthogonal_cube(I.beta(df, 26, 13), "beta", "nlbeta"), {"nlbeta": six("c - avg(c) OVER (PARTITION BY dt) - covar_samp(b, c) OVER (PARTITION BY dt) / nullif(var_samp(b) OVER (PARTITION BY dt), 0) * (b - avg(b) OVER (PARTITION BY dt))")}, BETA + f", betas AS (SELECT symbol, dt, {SLOPE} AS b FROM sums), cubes AS (SELECT *, pow(b, 3::DOUBLE) AS c FROM betas)", "cubes")
 LOGS = ", logs AS (SELECT *, CASE WHEN returns > -1 THEN ln(1 + CASE WHEN returns > -1 THEN returns END) END AS r FROM panel)"
 indicator("i13_momentum", lambda df: I.momentum(df, 24, 2, 12), {"momentum": six(f"CASE WHEN {before_sql('r', 25, 2, 'count')} = 24 THEN {halved_sql('r', 24, 12.0, 2)} END")}, LOGS, "logs")
+indicator("i13_momentum_w120", I.momentum, {"momentum": six(f"CASE WHEN {before_sql('r', 124, 5, 'count')} = 120 THEN {halved_sql('r', 120, 60.0, 5)} END")}, LOGS, "logs")
 SIZES = ", z AS (SELECT symbol, dt, ln(CASE WHEN close * volume > 0 THEN close * volume END) AS s FROM panel), cubes AS (SELECT *, pow(s, 3::DOUBLE) AS c FROM z)"
 indicator("i14_size", I.size_factor, {"size": six("s"), "nlsize": six("c - avg(c) OVER (PARTITION BY dt) - covar_samp(s, c) OVER (PARTITION BY dt) / nullif(var_samp(s) OVER (PARTITION BY dt), 0) * (s - avg(s) OVER (PARTITION BY dt))")}, SIZES, "cubes")
 SPREAD = LOGS + ", sums AS (SELECT *, returns - avg(returns) OVER (PARTITION BY dt) AS a, sum(r) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM logs)"
