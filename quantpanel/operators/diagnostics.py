@@ -50,19 +50,36 @@ def sign_check(ics: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.withColumn("contradicts", (F.abs("ic") >= RELIABLE) & ((F.col("ic") > 0) != (F.col("expected_sign") > 0)))
 
 
+def is_proxy(prose: DataFrame):
+    """Whether the panel that the prose speaks of has no genuine VWAP; one that isn't known has none."""
+    return ~F.col("vwap_source").eqNullSafe(F.lit("source")) if "vwap_source" in prose.columns else F.lit(True)
+
+
 def unmentioned_fields(prose: DataFrame, text: str = "text") -> DataFrame:
-    """(candidate_id, field) of factor fields that the prose (candidate_id, fields, text) doesn't mention."""
-    spark = prose.sparkSession
-    stems = spark.createDataFrame([(f, s, " " in s or "-" in s) for f, all_of in STEMS.items() for s in all_of], "field string, stem string, phrase boolean")
-    used = prose.select("candidate_id", F.explode("fields").alias("field"), F.lower(text).alias("said")).join(F.broadcast(stems), "field", "left")
+    """(candidate_id, field) of factor fields that the prose (candidate_id, fields, text, vwap_source) doesn't mention.
+
+    A VWAP that is a proxy is a typical price: words for one, or its name, are what mentions it.
+    """
+    known = STEMS | {"vwap proxy": [*STEMS["typical_price"], "vwap"]}
+    stems = prose.sparkSession.createDataFrame([(f, s, " " in s or "-" in s) for f, all_of in known.items() for s in all_of], "vocabulary string, stem string, phrase boolean")
+    used = prose.select("candidate_id", F.explode("fields").alias("field"), F.lower(text).alias("said"), is_proxy(prose).alias("proxy"))
+    used = used.withColumn("vocabulary", F.when((F.col("field") == "vwap") & F.col("proxy"), "vwap proxy").otherwise(F.col("field")))
+    joined = used.join(F.broadcast(stems), "vocabulary", "left")  # the stems are a list of this module
     said = F.when(F.col("phrase"), F.contains("said", "stem")).otherwise(F.expr(r"said rlike concat('\\b', stem)"))
-    return used.groupBy("candidate_id", "field").agg(F.coalesce(F.bool_or(said), F.lit(False)).alias("mentioned")).where(~F.col("mentioned")).select("candidate_id", "field")
+    return joined.groupBy("candidate_id", "field").agg(F.coalesce(F.bool_or(said), F.lit(False)).alias("mentioned")).where(~F.col("mentioned")).select("candidate_id", "field")
 
 
 def volume_claims(prose: DataFrame, text: str = "text") -> DataFrame:
-    """Adds claims: the volume-weighting phrases in the text, sorted; honest only with a genuine VWAP."""
+    """Adds claims: the volume-weighting phrases of a text that speaks of a VWAP which is only a proxy, sorted; else empty."""
     claims = F.array(*(F.lit(c) for c in sorted(VOLUME_CLAIMS)))
-    return prose.withColumn("claims", F.filter(claims, lambda c: F.contains(F.lower(F.col(text)), c)))
+    told = F.filter(claims, lambda c: F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), c))
+    return prose.withColumn("claims", F.when(F.array_contains("fields", "vwap") & is_proxy(prose), told).otherwise(F.slice(claims, 1, 0)))
+
+
+def vwap_warnings(prose: DataFrame, text: str = "text") -> DataFrame:
+    """(candidate_id, warning): stories of volume about a VWAP that holds none."""
+    told = F.concat(F.lit("claims of volume ("), F.array_join("claims", ", "), F.lit(") about a vwap that is a typical price"))
+    return volume_claims(prose, text).where(F.size("claims") > 0).select("candidate_id", told.alias("warning"))
 
 
 def folded(column: str):

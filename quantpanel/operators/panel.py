@@ -49,7 +49,7 @@ def missing_symbols(requested: DataFrame, bars: DataFrame, allow_missing: bool =
 
 def in_request_order(bars: DataFrame, requested: DataFrame) -> DataFrame:
     """Bars of the requested (symbol, symbol_ord), with the order as a column."""
-    return bars.join(F.broadcast(requested), "symbol")
+    return bars.join(requested, "symbol")
 
 
 def genuine_vwap(bars: DataFrame) -> DataFrame:
@@ -74,6 +74,7 @@ def with_derived(dense: DataFrame) -> DataFrame:
 
 
 def panel(bars: DataFrame, source: str = "table", calendar: DataFrame | None = None) -> DataFrame:
+    """The dense panel with derived fields and provenance. `bars` are read several times; hand over a written table."""
     clean = bars
     for c in (*OHLCV, "vwap"):
         clean = clean.withColumn(c, F.when(~F.isnan(c), F.col(c)))
@@ -98,10 +99,30 @@ def between(df: DataFrame, start: str | None = None, end: str | None = None) ->
     return df if end is None else df.where(F.col("dt") <= F.lit(end).cast("date"))
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(rows, hash, version): equal for equal rows in any order."""
-    digest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*columns)).alias("hash"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("total"))
-    return digest.withColumn("version", F.sha2(F.concat_ws("|", "rows", "hash", "total"), 256)).drop("total")
+def canonical(value: Column, kind: str, digits: int) -> Column:
+    """A value as text that every engine writes alike: numbers as integers in units of 10 ** -digits, dates as yyyy-MM-dd."""
+    if kind in ("double", "float"):
+        # Beyond 15 digits a double has no such decimals; its leading ones and its exponent say what there is to know.
+        power = F.floor(F.log10(F.abs(value)))
+        large = F.concat(F.rint(value / F.pow(F.lit(10.0), power - 12)).cast("decimal(38,0)").cast("string"), F.lit("e"), power.cast("string"))
+        small = F.rint(value * F.lit(10.0**digits)).cast("decimal(38,0)").cast("string")
+        odd = F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf")
+        return F.coalesce(odd, F.when(F.abs(value) < 10.0 ** (15 - digits), small), F.when(value.isNotNull(), large), F.lit("-"))
+    text = value.cast("string")
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), digits: int = 9) -> DataFrame:
+    """(rows, total1, total2, version): equal for equal rows in any order, and the same in any engine that has SHA-256.
+
+    A row's digest is that of its canonical texts, and two sums over the rows add up 60 bits of it each. Doubles count to
+    `digits` decimals.
+    """
+    kinds = dict(df.dtypes)
+    row = F.sha2(F.concat_ws("|", *(canonical(F.col(c), kinds[c], digits) for c in columns)), 256)
+    word = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    digest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(word(1), F.lit(0)).cast("string").alias("total1"), F.coalesce(word(16), F.lit(0)).cast("string").alias("total2"))
+    return digest.withColumn("version", F.sha2(F.concat_ws("|", "rows", "total1", "total2"), 256))
 
 
 def wall_clock(text: Column) -> Column:

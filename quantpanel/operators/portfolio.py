@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantpanel.functions import cross
+from quantpanel.operators.quality import validity
 from quantpanel.schema import Config
 
 SECTION = ("candidate_id", "dt")
@@ -18,10 +19,10 @@ def own_rows():
     return Window.partitionBy("candidate_id", "symbol").orderBy("dt")
 
 
-def strengths(signals: DataFrame, gross: float = 1.0) -> DataFrame:
-    """Dollar-neutral strength s: demeaned across symbols, scaled to sum |s| = gross."""
+def strengths(signals: DataFrame, gross: float = 1.0, keep: bool = False) -> DataFrame:
+    """Dollar-neutral strength s: demeaned across symbols, scaled to sum |s| = gross. With `keep`, value stays."""
     centred = signals.withColumn("s", cross.demean(F.col("value"), SECTION))
-    return centred.withColumn("s", cross.scale(F.col("s"), gross, SECTION)).drop("value")
+    return centred.withColumn("s", cross.scale(F.col("s"), gross, SECTION)).drop(*([] if keep else ["value"]))
 
 
 def select_names(book: DataFrame, config: Config) -> DataFrame:
@@ -52,9 +53,12 @@ def entries(book: DataFrame, config: Config) -> DataFrame:
     return held.withColumn("s", cross.scale(F.col("s"), config.gross, SECTION))
 
 
-def weights(signals: DataFrame, config: Config) -> DataFrame:
-    """(candidate_id, dt, symbol, w): the executed book, one bar after the signal; no position where there is none."""
-    book = capped(entries(select_names(strengths(signals, config.gross), config), config), config.gross)
+def weights(signals: DataFrame, config: Config, keep: bool = False) -> DataFrame:
+    """(candidate_id, dt, symbol, w): the executed book, one bar after the signal; no position where there is none.
+
+    With `keep`, the columns of the signal stay beside it.
+    """
+    book = capped(entries(select_names(strengths(signals, config.gross, keep), config), config), config.gross)
     return book.withColumn("w", F.coalesce(F.lag("s", 1).over(own_rows()), F.lit(0.0))).drop("s")
 
 
@@ -82,11 +86,16 @@ def replay(book: DataFrame, panel: DataFrame, cost_bps: float = 0.0, passes: int
     What a pass needs of a symbol doesn't depend on costs: its weight and the value it carried from its row before. A
     date's symbols therefore become one row, and passes run over a candidate's dates alone: the value of the whole book at
     the last close (`base`) and what prices did over night (`gap`) scale all that was carried.
+
+    A book that kept its signal also gives each date's valid, faulty, low and high (see quality.validity), so that a signal
+    is evaluated once for both.
     """
     rate = cost_bps / 1e4
     kept = F.coalesce(F.lag(F.col("w") * (1 + F.col("x")), 1).over(own_rows()), F.lit(0.0))
     cells = priced(book, panel).withColumn("kept", kept)
+    known = validity(book.columns) if "value" in book.columns else {}
     daily = cells.groupBy(*SECTION).agg(
+        *(x.alias(n) for n, x in known.items()),
         F.collect_list(F.struct("w", (F.col("kept") * F.col("g")).alias("held"))).alias("cells"), F.sum(F.col("kept") * (F.col("g") - 1)).alias("gap"), F.sum(F.col("w") * F.col("x")).alias("intra"), F.sum(F.abs("w")).alias("gross")
     )
     dates = Window.partitionBy("candidate_id").orderBy("dt")
@@ -98,7 +107,7 @@ def replay(book: DataFrame, panel: DataFrame, cost_bps: float = 0.0, passes: int
         daily = daily.withColumn("scale", scale).withColumn("turnover", F.aggregate("cells", F.lit(0.0), lambda s, x: s + F.abs(x.w - x.held * F.col("scale"))))
         daily = daily.withColumn("c", F.col("turnover") * rate)
     night = F.coalesce(F.try_divide(F.col("gap"), F.col("base")), F.lit(0.0))
-    return daily.select(*SECTION, ((1 + night) * (1 - F.col("c") + F.col("intra")) - 1).alias("ret"), "turnover", "gross")
+    return daily.select(*SECTION, ((1 + night) * (1 - F.col("c") + F.col("intra")) - 1).alias("ret"), "turnover", "gross", *known)
 
 
 def unlagged_return(signals: DataFrame, panel: DataFrame, gross: float = 1.0) -> DataFrame:

@@ -29,15 +29,20 @@ def node_report(df: DataFrame, nodes: Sequence[str], start: str | None = None, e
     return long.groupBy("node").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("value").isNull()).alias("invalid_cells"), F.count_if(non_finite(F.col("value"))).alias("faults"))
 
 
-def daily_validity(signals: DataFrame) -> DataFrame:
-    """(candidate_id, dt, valid, faulty, low, high): what decides on a signal, a row a candidate and date.
+def validity(columns: Sequence[str]) -> dict[str, Column]:
+    """Aggregates of the cells of a candidate and date: valid, faulty, low, high: what decides on a signal.
 
-    Signals with a `fault` column (faults of the nodes below) are faulty there too.
+    Cells with a `fault` column (faults of the nodes below) are faulty there too.
     """
     fault = F.coalesce(non_finite(F.col("value")), F.lit(False))
-    if "fault" in signals.columns:
+    if "fault" in columns:
         fault = fault | F.col("fault")
-    return signals.groupBy("candidate_id", "dt").agg(F.count("value").alias("valid"), F.count_if(fault).alias("faulty"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return {"valid": F.count("value"), "faulty": F.count_if(fault), "low": F.min("value"), "high": F.max("value")}
+
+
+def daily_validity(signals: DataFrame) -> DataFrame:
+    """(candidate_id, dt, valid, faulty, low, high), a row a candidate and date."""
+    return signals.groupBy("candidate_id", "dt").agg(*(x.alias(n) for n, x in validity(signals.columns).items()))
 
 
 def outcome() -> Column:

@@ -6,10 +6,12 @@ symbols or days is grouped by candidate_id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quantpanel.functions import cross, elementwise, timeseries
 from quantpanel.operators.quality import non_finite
@@ -37,55 +39,81 @@ def catalog(spark: SparkSession, rows=CATALOG) -> DataFrame:
     return df.withColumn("expression_hash", F.sha2(F.to_json(F.struct("shape", "field", "field2", "w1", "w2", "final")), 256))
 
 
-def raw_value(shape: str, a: str, b: str | None, w1: int, w2: int) -> Column:
+def raw_nodes(shape: str, a: str, b: str | None, w1: int, w2: int) -> tuple[Column, list[Column]]:
+    """The value of a shape, and the inner nodes that have to be finite for it: an overflow in one may not show in the value."""
     x = F.col(a)
     if shape == "raw":
-        return x
+        return x, []
     if shape == "spread":
-        return x - F.col(b)
+        return x - F.col(b), []
     if shape == "ratio":
-        return elementwise.div(x - F.col(b), F.col("close"))
+        gap = x - F.col(b)
+        return elementwise.div(gap, F.col("close")), [gap, F.col("close")]
     if shape == "baseline_mean":
-        return x - timeseries.ts_mean(x, w1)
+        mean = timeseries.ts_mean(x, w1)
+        return x - mean, [mean]
     if shape == "baseline_delay":
-        return -timeseries.delta(x, w1)
+        return -timeseries.delta(x, w1), []
     if shape == "mean_gap":
-        return timeseries.ts_mean(x, w1) - timeseries.ts_mean(x, w2)
-    if shape == "deviation":
-        return -elementwise.div(x - timeseries.ts_mean(x, w1), timeseries.ts_std(x, w2))
-    if shape == "location":
-        return elementwise.div(timeseries.ts_mean(x, w1), timeseries.ts_std(x, w2))
+        near, far = timeseries.ts_mean(x, w1), timeseries.ts_mean(x, w2)
+        return near - far, [near, far]
+    if shape in ("deviation", "location"):
+        mean, spread = timeseries.ts_mean(x, w1), timeseries.ts_std(x, w2)
+        return (-elementwise.div(x - mean, spread) if shape == "deviation" else elementwise.div(mean, spread)), [mean, spread]
     if shape == "corr":
-        return timeseries.ts_corr(x, F.col(b), w1)
+        y = F.col(b)
+        both = lambda v: timeseries.full(x, w1, timeseries.full(y, w1, v))
+        frame = timeseries.frame(w1)
+        return timeseries.ts_corr(x, y, w1), [both(F.stddev_samp(v).over(frame)) for v in (x, y)] + [timeseries.ts_cov(x, y, w1)]
     raise ValueError(f"unknown shape {shape!r}")
 
 
+#: Final operators: the value across the symbols of a date, and the node it divides by.
+FINALS = {
+    "rank": (cross.rank, None), "demean": (cross.demean, None), "none": (lambda x, by: x, None),
+    "zscore": (cross.zscore, lambda x, by: F.stddev_samp(x).over(Window.partitionBy(*by))),
+    "scale": (lambda x, by: cross.scale(x, by=by), lambda x, by: F.sum(F.abs(x)).over(Window.partitionBy(*by))),
+}
+
+
+def is_fault(*nodes: Column) -> Column:
+    """Whether any of the nodes is infinite or not a number; one that is masked is none."""
+    return reduce(lambda a, b: a | b, [F.coalesce(non_finite(x), F.lit(False)) for x in nodes])
+
+
 def raw_signals(panel: DataFrame, rows=CATALOG, faults: bool = False) -> DataFrame:
     """(candidate_id, dt, symbol, raw): all time operators in one pass, then candidates as rows.
 
-    With `faults`, also fault: whether an input of the cell or its raw value is infinite or not a number.
+    With `faults`, also fault: whether an input of the cell, an inner node or its raw value is infinite or not a number.
     """
-    if bad := [r[0] for r in rows if r[6] not in ("rank", "zscore", "none")]:
+    if bad := [r[0] for r in rows if r[6] not in FINALS]:
         raise ValueError(f"unknown final operator of {bad}")
     key, names = ["dt", "symbol"], [r[0] for r in rows]
     if not faults:
-        wide = panel.select(*key, *(raw_value(*r[1:6]).alias(r[0]) for r in rows))
+        wide = panel.select(*key, *(raw_nodes(*r[1:6])[0].alias(r[0]) for r in rows))
         return wide.unpivot(key, names, "candidate_id", "raw")
-    node = lambda x: F.coalesce(non_finite(x), F.lit(False))
-    cell = lambda r, x: F.struct(x.alias("raw"), reduce(lambda a, b: a | b, [node(x), *(node(F.col(n)) for n in r[2:4] if n)]).alias("fault"))
-    wide = panel.select(*key, *(cell(r, raw_value(*r[1:6])).alias(r[0]) for r in rows))
+
+    def cell(r) -> Column:
+        value, nodes = raw_nodes(*r[1:6])
+        return F.struct(value.alias("raw"), is_fault(value, *nodes, *(F.col(n) for n in r[2:4] if n)).alias("fault"))
+
+    wide = panel.select(*key, *(cell(r).alias(r[0]) for r in rows))
     return wide.unpivot(key, names, "candidate_id", "cell").select("candidate_id", *key, "cell.raw", "cell.fault")
 
 
-def signals(panel: DataFrame, rows=CATALOG, faults: bool = False) -> DataFrame:
-    """(candidate_id, dt, symbol, value); with `faults` as in raw_signals, as a rank hides what was infinite before it."""
+def signals(panel: DataFrame, rows=CATALOG, faults: bool = False, adjust: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """(candidate_id, dt, symbol, value); with `faults` as in raw_signals, as a rank hides what was infinite before it.
+
+    A dispersion across symbols that is infinite or not a number is a fault of all cells of its date. `adjust` changes raw
+    values before they are compared across symbols.
+    """
     section = ("candidate_id", "dt")
-    finals: dict[str, list[str]] = {}
-    for r in rows:
-        finals.setdefault(r[6], []).append(r[0])
-    value = F.col("raw")
-    if "zscore" in finals:
-        value = F.when(F.col("candidate_id").isin(finals["zscore"]), cross.zscore(F.col("raw"), section)).otherwise(value)
-    if "rank" in finals:
-        value = F.when(F.col("candidate_id").isin(finals["rank"]), cross.rank(F.col("raw"), section)).otherwise(value)
-    return raw_signals(panel, rows, faults).select("candidate_id", "dt", "symbol", value.alias("value"), *(["fault"] if faults else []))
+    raw = raw_signals(panel, rows, faults).withColumn("raw", adjust(F.col("raw")))
+    value, divisor, x = F.col("raw"), F.lit(None).cast("double"), F.col("raw")
+    for final in dict.fromkeys(r[6] for r in rows):
+        mine = F.col("candidate_id").isin([r[0] for r in rows if r[6] == final])
+        of_dates, node = FINALS[final]
+        value = F.when(mine, of_dates(x, section)).otherwise(value)
+        divisor = F.when(mine, node(x, section)).otherwise(divisor) if node else divisor
+    fault = [(F.col("fault") | is_fault(divisor)).alias("fault")] if faults else []
+    return raw.select("candidate_id", "dt", "symbol", value.alias("value"), *fault)

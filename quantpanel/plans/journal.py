@@ -91,6 +91,30 @@ def as_of(table: DataFrame, date: Column | str) -> DataFrame:
     return table.where(F.col("oos_end") <= F.lit(date).cast("date"))
 
 
+LESSON = ("expression_hash", "context", "won")
+
+
+def lesson_history(ledger: DataFrame) -> DataFrame:
+    """Each lesson as it stood from one day to the next: (LESSON, known_from, known_to, n_seen, formula, oos_value).
+
+    A result is known from the day on which its window has closed, one without such a day never. The states of a lesson are
+    a running window over its results in that order; of those of one day the last holds. So what any number of dates may
+    know is a lookup by interval, and no date is joined with all results before it.
+    """
+    known = ledger.where(F.col("label").isin("PASS", "FAIL") & F.col("oos_end").isNotNull()).withColumn("won", F.col("label") == "PASS")
+    whole = Window.partitionBy(*LESSON)
+    order = whole.orderBy("oos_end", "research_date", "run_id")
+    newest = F.max_by(F.struct("candidate_id", "oos_value"), F.struct("research_date", "run_id")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    states = known.select(*LESSON, F.col("oos_end").alias("known_from"), F.row_number().over(order).alias("n_seen"), newest.alias("newest"), F.lead("oos_end").over(order).alias("known_to"))
+    return states.where(~F.col("known_from").eqNullSafe(F.col("known_to"))).select(*LESSON, "known_from", "known_to", "n_seen", F.col("newest.candidate_id").alias("formula"), F.col("newest.oos_value").alias("oos_value"))
+
+
+def known_lessons(history: DataFrame, date: Column | str) -> DataFrame:
+    """The lessons of lesson_history as they stood on the date; known_to itself belongs to the next state."""
+    at = F.lit(date).cast("date")
+    return history.where((F.col("known_from") <= at) & (F.col("known_to").isNull() | (F.col("known_to") > at)))
+
+
 def failure_modes(ledger: DataFrame) -> DataFrame:
     exploded = ledger.where("label = 'FAIL'").select(F.explode("reasons").alias("reason")).select(reason_class(F.col("reason")).alias("mode"))
     return exploded.groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
@@ -113,6 +137,34 @@ def run_listing(ledger: DataFrame) -> DataFrame:
     return ledger.select("run_id", "research_date", "candidate_id", "label", "is_value", "oos_value").orderBy("run_id", "research_date")
 
 
+def clipped(text: Column, width: int = 80) -> Column:
+    """One line of at most `width` characters, with ... where something is missing, fit for a cell of a table."""
+    flat = F.trim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("\\|")), r"\s+", " "))
+    return F.when(F.length(flat) <= width, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(width - 3))), F.lit("...")))
+
+
+def shown(value: Column) -> Column:
+    return F.when(value.isNull() | F.isnan(value), "n/a").otherwise(F.format_string("%.4f", value))
+
+
+def run_tables(ledger: DataFrame, entries: DataFrame) -> DataFrame:
+    """The tables of all runs: one row a result, (run_id, place, research_date, verdict, is_shown, oos_shown, formula, mechanism).
+
+    place counts a run's results from 1 in the order of their dates. A run of `entries` without results has no row here.
+    """
+    order = Window.partitionBy("run_id").orderBy("research_date", "candidate_id")
+    rows = ledger.join(entries.select("run_id"), "run_id", "left_semi")
+    return rows.select("run_id", F.row_number().over(order).alias("place"), "research_date", F.coalesce("label", F.lit("?")).alias("verdict"), shown(F.col("is_value")).alias("is_shown"), shown(F.col("oos_value")).alias("oos_shown"), F.col("candidate_id").alias("formula"), clipped(F.col("mechanism")).alias("mechanism"))
+
+
+def run_heads(ledger: DataFrame, entries: DataFrame) -> DataFrame:
+    """What stands above each run's table: (run_id, note, archived, objective, result), runs without results too."""
+    counts = run_counts(ledger).join(ledger.groupBy("run_id").agg(F.max("objective").alias("objective")), "run_id")
+    archived = F.when(F.col("first_archived").eqNullSafe(F.col("last_archived")), F.coalesce("first_archived", F.lit("?"))).otherwise(F.concat(F.coalesce("first_archived", F.lit("?")), F.lit(" (refreshed "), F.coalesce("last_archived", F.lit("?")), F.lit(")")))
+    result = F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" factor(s), "), F.coalesce("passed", F.lit(0)).cast("string"), F.lit(" PASS"))
+    return entries.join(counts, "run_id", "left").select("run_id", F.trim(F.regexp_replace(F.coalesce("note", F.lit("")), r"\s+", " ")).alias("note"), archived.alias("archived"), F.coalesce("objective", F.lit("?")).alias("objective"), result.alias("result"))
+
+
 def run_counts(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "PASS").alias("passed"), F.count_if(F.col("label") == "FAIL").alias("failed"), F.count_if(F.col("label") == "NUMERICAL_REJECT").alias("rejected"))
 

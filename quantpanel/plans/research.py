@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,7 @@ from quantpanel.operators import quality as Q
 from quantpanel.operators import windows as V
 from quantpanel.plans.candidates import CATALOG, catalog, signals
 from quantpanel.schema import OBJECTIVES, Config
+from quantpanel.sources.tables import written
 
 LATEST_FAILURES = 8
 
@@ -55,12 +58,13 @@ def walk_forward(panel: DataFrame, dates: DataFrame, config: Config, rows=CATALO
     A candidate is a dead end for a date if its signal can't be scored in sample (see quality.admission; faults of its
     inputs count). Selection reads in-sample figures only, so dates don't depend on one another and need no loop. A chosen
     candidate with a numerical fault out of sample gets NUMERICAL_REJECT and no out-of-sample value; later dates go on.
-    `values` are signals with faults, by default those of the catalog.
+    `values` are signals with faults, by default those of the catalog; they are evaluated once: each candidate's day, with
+    its return and what decides on its signal, is written, and windows read that.
     """
     values = signals(panel, rows, faults=True) if values is None else values
-    windows = V.research_windows(dates, panel.select("dt").distinct(), config)
-    daily = B.replay(B.weights(values.select("candidate_id", "dt", "symbol", "value"), config), panel, config.cost_bps)
-    known = Q.admission_by_date(Q.daily_validity(values), windows)
+    daily = written(B.replay(B.weights(values.select("candidate_id", "dt", "symbol", "value", "fault"), config, keep=True), panel, config.cost_bps))
+    windows = V.research_windows(dates, daily.select("dt").distinct(), config)  # the panel is dense: every date has its row
+    known = Q.admission_by_date(daily, windows)
     table = scored(daily, windows, config).join(known.where("outcome = 'ADMITTED'").select("candidate_id", "research_date", "oos_faults"), ["candidate_id", "research_date"])
     chosen = best(table.join(F.broadcast(catalog(panel.sparkSession, rows).select("candidate_id", "candidate", "ops", "expression_hash")), "candidate_id"), config)  # the catalog is a list of the driver's
     return numerical_rejects(V.verdicts(chosen, config)).join(F.broadcast(windows), "research_date")
@@ -76,16 +80,35 @@ def numerical_rejects(judged: DataFrame) -> DataFrame:
     })
 
 
-def visible_priors(ledger: DataFrame) -> DataFrame:
-    """(research_date, prior_date, ...): verdicts that were closed by the date. Both sides have one row a date."""
-    prior = ledger.select(F.col("research_date").alias("prior_date"), F.col("oos_end").alias("prior_end"), F.col("candidate_id").alias("prior_candidate"), F.col("label").alias("prior_label"))
-    now = ledger.select("research_date")
-    return now.join(F.broadcast(prior), (F.col("prior_end") <= F.col("research_date")) & (F.col("prior_date") < F.col("research_date")))
+PRIOR = ("prior_date", "prior_end", "prior_candidate", "prior_label")
+
+
+def seen_priors(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, research_date, priors): the verdicts that were closed by the date, an array in the order of their dates.
+
+    Verdicts stand at the day when they can be seen (their window has closed, and it is later than their own date), before
+    the dates of that day; one sort and one running list over both do what a join by inequality would. A ledger has a row a
+    research date; `by` keeps several apart.
+    """
+    opened = F.greatest("oos_end", F.date_add("research_date", 1))
+    prior = F.struct(*(F.col(a).alias(b) for a, b in zip(("research_date", "oos_end", "candidate_id", "label"), PRIOR)))
+    events = ledger.where("oos_end IS NOT NULL").select(*by, opened.alias("at"), F.lit(0).alias("kind"), prior.alias("prior"))
+    asked = ledger.select(*by, F.col("research_date").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(events.schema["prior"].dataType).alias("prior"))
+    so_far = Window.partitionBy(*by).orderBy("at", "kind", "prior").rowsBetween(Window.unboundedPreceding, 0)
+    running = events.union(asked).withColumn("priors", F.collect_list("prior").over(so_far))
+    return running.where("kind = 1").select(*by, F.col("at").alias("research_date"), F.sort_array("priors").alias("priors"))
+
+
+def visible_priors(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, research_date, prior_date, ...): a row for each verdict that was closed by the date."""
+    return seen_priors(ledger, by).select(*by, "research_date", F.inline("priors"))
 
 
-def latest_failures(priors: DataFrame, most: int = LATEST_FAILURES) -> DataFrame:
-    order = Window.partitionBy("research_date").orderBy(F.col("prior_date").desc())
-    return priors.where("prior_label = 'FAIL'").withColumn("age", F.row_number().over(order)).where(F.col("age") <= most)
+def latest_failures(ledger: DataFrame, most: int = LATEST_FAILURES, by: Sequence[str] = ()) -> DataFrame:
+    """The `most` latest failures that each date may know, with age (1: the latest)."""
+    failed = F.filter("priors", lambda p: p["prior_label"] == "FAIL")
+    latest = F.slice(F.reverse(failed), 1, most)
+    return seen_priors(ledger, by).select(*by, "research_date", F.posexplode(latest).alias("age", "p")).select(*by, "research_date", "p.*", (F.col("age") + 1).alias("age"))
 
 
 def summaries(ledger: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from quantpanel.plans import research as G
 from quantpanel.plans.candidates import CATALOG, catalog, signals
 from quantpanel.schema import FIELDS, Config
 from quantpanel.sources import bars as S
-from quantpanel.sources.tables import brand_bars, brand_panel, brand_settlement, brand_trades, event_bars, shared_dir, table
+from quantpanel.sources.tables import brand_bars, brand_panel, brand_settlement, brand_trades, event_bars, shared_dir, table, version
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,13 +170,7 @@ for row in CATALOG:
 
 def stable_signals(panel: DataFrame, rows=CATALOG, faults: bool = False) -> DataFrame:
     """Signals ranked on raw values of nine digits, so that sums in another order don't break ties otherwise."""
-    from quantpanel.plans.candidates import raw_signals
-
-    section = ("candidate_id", "dt")
-    raw = raw_signals(panel, rows, faults).withColumn("raw", near(c("raw"), 9))
-    zscores = [r[0] for r in rows if r[6] == "zscore"]
-    value = F.when(c("candidate_id").isin(zscores), X.zscore(c("raw"), section)).otherwise(X.rank(c("raw"), section))
-    return raw.select("candidate_id", "dt", "symbol", value.alias("value"), *(["fault"] if faults else []))
+    return signals(panel, rows, faults, adjust=lambda x: near(x, 9))
 
 
 # --- scans, sources, panel ----------------------------------------------------------------------------------------------
@@ -222,6 +217,23 @@ def s8_profiled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.profiled_names(names, ["Brand#11"], ["US", "EU"]).select("p_partkey", "name", "loadable")
 
 
+@query("s9_discover", "SELECT DISTINCT 'Data_' || o_orderpriority[1:1] || '_' || CASE WHEN o_orderpriority < '3' THEN 'US' ELSE 'XX' END || '_D1.parquet' AS name FROM orders WHERE o_orderpriority IS NOT NULL AND (o_orderpriority[1:1] <> '5' OR o_orderpriority < '3')")
+def s9_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each priority of the orders, in a folder and one below; type 5 needs a known region."""
+    folder = shared_dir(spark)
+    kind = c("o_orderpriority").substr(1, 1)
+    name = F.concat(F.lit("Data_"), kind, F.lit("_"), F.when(c("o_orderpriority") < "3", "US").otherwise("XX"), F.lit("_D1.parquet"))
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority IS NOT NULL").select(name.alias("name"), "o_orderkey")
+    orders.repartition(1, "name").write.partitionBy("name").parquet(f"{folder}/raw")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, part in enumerate(sorted(spark.read.parquet(f"{folder}/raw").inputFiles())):  # a file a priority
+        place = f"{folder}/found/{'below/' * (i % 2)}"
+        files.mkdirs(path(place))
+        files.rename(path(part), path(place + part.split("name=")[1].split("/")[0]))
+    return S.discover(spark, f"{folder}/found", ["5"], ["US"]).select("name")
+
+
 @query("p2_usable_symbols", "SELECT DISTINCT p_brand AS symbol FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 0 AND l_extendedprice IS NOT NULL")
 def p2_usable_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.usable_symbols(brand_bars(spark, sf_dir))
@@ -235,10 +247,14 @@ def p3_missing_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.missing_symbols(asked, brand_bars(spark, sf_dir), allow_missing=True)
 
 
+def digits_of(field: str) -> int:
+    return 6 if field == "returns" else 4
+
+
 @query("p5_panel", f"WITH {PANEL} SELECT symbol, dt, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume, round(vwap, 4) AS vwap, round(typical_price, 4) AS typical_price, round(returns, 6) AS returns, 'lineitem(vwap=source)' AS source FROM panel")
 def p5_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense panel with derived fields and provenance."""
-    return brand_panel(spark, sf_dir).select("symbol", "dt", *(near(c(n), 6 if n == "returns" else 4).alias(n) if n != "volume" else c(n) for n in FIELDS), "source")
+    return brand_panel(spark, sf_dir).select("symbol", "dt", *(near(c(n), digits_of(n)).alias(n) if n != "volume" else c(n) for n in FIELDS), "source")
 
 
 @query("p8_slice", f"WITH {PANEL} SELECT symbol, dt, volume FROM panel WHERE dt BETWEEN '1995-01-02' AND '1996-01-01'")
@@ -246,9 +262,17 @@ def p8_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.between(brand_panel(spark, sf_dir), "1995-01-02", "1996-01-01").select("symbol", "dt", "volume")
 
 
-@query("p9_fingerprint")
+def digest_sql(columns: dict[str, str], source: str, by: str = "", digits: int = 6) -> str:
+    """The content hash of panel.fingerprint; `columns` are SQL expressions and their kinds, double or text."""
+    texts = [f"CASE WHEN {x} IS NULL THEN '-' WHEN isnan({x}) THEN 'nan' WHEN isinf({x}) THEN CASE WHEN {x} > 0 THEN 'inf' ELSE '-inf' END ELSE round_even({x} * 1e{digits}::DOUBLE, 0)::HUGEINT::VARCHAR END" if kind == "double" else f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')" for x, kind in columns.items()]
+    word = lambda at: f"coalesce(sum(('0x' || substr(h, {at}, 15))::BIGINT), 0)::VARCHAR"
+    keys = f"{by}, " if by else ""
+    return f"""SELECT *, sha256(concat_ws('|', rows, total1, total2)) AS version FROM (SELECT {keys}count(*) AS rows, {word(1)} AS total1, {word(16)} AS total2 FROM (SELECT {keys}sha256(concat_ws('|', {", ".join(texts)})) AS h FROM {source}) {f"GROUP BY {by}" if by else ""})"""
+
+
+@query("p9_fingerprint", f"WITH {PANEL}, shown AS (SELECT symbol, dt, 'lineitem(vwap=source)' AS source, {', '.join(f'round({n}, {digits_of(n)}) AS {n}' for n in FIELDS)} FROM panel) {digest_sql({'symbol': 'text', 'dt': 'text', **dict.fromkeys(FIELDS, 'double'), 'source': 'text'}, 'shown')}")
 def p9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.fingerprint(rounded(brand_panel(spark, sf_dir)), ["symbol", "dt", *FIELDS, "source"])
+    return P.fingerprint(p5_panel(spark, sf_dir).withColumn("volume", near(c("volume"), 4)), ["symbol", "dt", *FIELDS, "source"], digits=6)
 
 
 for unit in ("day", "week", "month"):
@@ -325,14 +349,33 @@ def m6_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.admission(wide.unpivot(["dt", "symbol"], ["fine", "flat", "late", "overflow"], "candidate_id", "value"), "1993-01-01", "1996-12-31")
 
 
-@query("m8_signal_hash")
-def m8_signal_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.signal_hash(rounded(signals(brand_panel(spark, sf_dir))))
-
-
 SIGNALS = f""", raw0 AS (SELECT symbol, dt, {', '.join(f'round({sql}, 9) AS {name}' for name, sql in SHAPES.items())} FROM panel),
 long AS (UNPIVOT raw0 ON {', '.join(SHAPES)} INTO NAME candidate_id VALUE x), raw AS (SELECT k.candidate_id, p.symbol, p.dt, l.x FROM panel p CROSS JOIN (SELECT unnest([{', '.join(repr(n) for n in SHAPES)}]) AS candidate_id) k LEFT JOIN long l ON l.symbol = p.symbol AND l.dt = p.dt AND l.candidate_id = k.candidate_id),
 signal AS (SELECT candidate_id, symbol, dt, CASE WHEN candidate_id = 'k3_gap_mean' THEN (x - avg(x) OVER (PARTITION BY candidate_id, dt)) / nullif(stddev_samp(x) OVER (PARTITION BY candidate_id, dt), 0) ELSE {rank_sql('x', 'candidate_id, dt')} END AS value FROM raw)"""
+
+
+@query("m8_signal_hash", f"WITH {PANEL}{SIGNALS}, shown AS (SELECT candidate_id, dt, symbol, round(value, 6) AS value FROM signal) {digest_sql({'dt': 'text', 'symbol': 'text', 'value': 'double'}, 'shown', 'candidate_id', 9)}")
+def m8_signal_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.signal_hash(rounded(stable_signals(brand_panel(spark, sf_dir))))
+
+
+#: SQL of the inner nodes of each shape, beside its inputs and its value.
+NODES = {
+    "k3_gap_mean": [mean_sql("close", 8)], "k4_mean_gap": [mean_sql("close", 4), mean_sql("close", 16)], "k5_deviation": [mean_sql("close", 8), std_sql("close", 8)],
+    "k6_location": [mean_sql("returns", 8), std_sql("returns", 8)], "k7_range_ratio": ["high - low", "close"],
+    "k8_corr": [full_sql(f"stddev_samp({x}) {frame_sql(8)}", 8, "close", "volume") for x in ("close", "volume")] + [full_sql(f"covar_samp(close, volume) {frame_sql(8)}", 8, "close", "volume")],
+}
+odd_sql = lambda x: f"coalesce(isnan({x}) OR isinf({x}), false)"
+
+
+def faults_sql(names: list[str], source: str = "panel") -> str:
+    """CTE fault_cells: (candidate_id, symbol, dt, fault), a cell's inputs, inner nodes, raw value and the dispersion of its date."""
+    inputs = {r[0]: [f for f in r[2:4] if f] for r in CATALOG}
+    one = lambda n: f"SELECT '{n}' AS candidate_id, symbol, dt, {' OR '.join(map(odd_sql, [*inputs[n], *NODES.get(n, []), SHAPES[n]]))} AS low, {SHAPES[n]} AS x FROM {source}"
+    spread = "CASE WHEN candidate_id = 'k3_gap_mean' THEN stddev_samp(x) OVER (PARTITION BY candidate_id, dt) END"
+    return f"low_cells AS ({' UNION ALL '.join(map(one, names))}), fault_cells AS (SELECT candidate_id, symbol, dt, low OR {odd_sql(spread)} AS fault FROM low_cells)"
+
+
 FAULTY = "count(*) FILTER (isinf(value) OR isnan(value))"
 OUTCOME = f"CASE WHEN {FAULTY} > 0 THEN 'NUMERICAL_NONFINITE' WHEN count(value) = 0 THEN 'VALID_COVERAGE' WHEN min(value) = max(value) THEN 'DEGENERATE_SIGNAL' ELSE 'ADMITTED' END"
 ORDER_OF = f"list_position([{', '.join(repr(r[0]) for r in CATALOG)}], candidate_id)"
@@ -353,6 +396,18 @@ def g4_spoilt_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.admissions(spoilt.drop("spoilt"), "1993-01-01", "1996-12-31").select("candidate_id", "outcome")
 
 
+HUGE = [r[0] for r in CATALOG]
+
+
+@query("m4_dispersion_faults", f"""WITH {PANEL.replace('panel AS (SELECT *', 'small AS (SELECT *')}, panel AS (SELECT * REPLACE (close * 1e200::DOUBLE AS close, vwap * 1e200::DOUBLE AS vwap) FROM small){SIGNALS}, {faults_sql(HUGE)}
+SELECT candidate_id, count(value) AS valid_cells, count(*) FILTER (fault) AS faults, CASE WHEN count(*) FILTER (fault) > 0 THEN 'NUMERICAL_NONFINITE' WHEN count(value) = 0 THEN 'VALID_COVERAGE' WHEN min(value) = max(value) THEN 'DEGENERATE_SIGNAL' ELSE 'ADMITTED' END AS outcome
+FROM signal JOIN fault_cells USING (candidate_id, symbol, dt) WHERE dt BETWEEN '1993-01-01' AND '1996-12-31' GROUP BY candidate_id""")
+def m4_dispersion_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3, M4: closes so large that their squares overflow. Their means and ranks are finite, their deviations aren't."""
+    huge = brand_panel(spark, sf_dir).withColumns({n: c(n) * 1e200 for n in ("close", "vwap")})
+    return Q.admission(stable_signals(Q.truncated(huge, "1996-12-31"), faults=True), "1993-01-01", "1996-12-31")
+
+
 # --- writing and reading back -------------------------------------------------------------------------------------------
 @query("s1_load_bars", f"WITH {bars_sql()} SELECT symbol, dt::TIMESTAMP AS ts, round(open, 6) AS open, round(close, 6) AS close, volume, round(vwap, 6) AS vwap FROM bars WHERE symbol IN ('Brand#11', 'Brand#23') AND dt BETWEEN '1994-01-01' AND '1996-12-31'")
 def s1_load_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -575,6 +630,25 @@ def v1_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.research_windows(dates_of(spark), brand_settlement(spark, sf_dir).select("dt").distinct(), CONFIG)
 
 
+#: Offset aliases: forward ones, and such as have to be refused.
+ALIASES = {"YS": ("year", 1), "QS": ("quarter", 1), "2QS": ("quarter", 2), "MS": ("month", 1), "6MS": ("month", 6), "M": None, "-1QS": None, "H": None, "0MS": None}
+
+
+@query("v7_frequencies", f"WITH s AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders), days AS (SELECT unnest(generate_series(a::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM s)" + " UNION ALL ".join(f" SELECT '{k}' AS alias, false AS refused, ceil(count(*) / {v[1]}::DOUBLE)::BIGINT AS n, min(d) AS first_date FROM days WHERE d = date_trunc('{v[0]}', d)::DATE" if v else f" SELECT '{k}', true, 0, NULL" for k, v in ALIASES.items()))
+def v7_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6, V7: schedules over the span of the orders by offset alias; those below a day, backward or of an old spelling are refused."""
+    a, z = table(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("date").cast("string"), F.max("o_orderdate").cast("date").cast("string")).first()
+    found = []
+    for alias in ALIASES:
+        try:
+            dates = V.schedule(spark, a, z, alias)
+        except ValueError:
+            found.append(spark.range(1).select(F.lit(alias).alias("alias"), F.lit(True).alias("refused"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("date").alias("first_date")))
+        else:
+            found.append(dates.agg(F.count(F.lit(1)).alias("n"), F.min("research_date").alias("first_date")).select(F.lit(alias).alias("alias"), F.lit(False).alias("refused"), "n", "first_date"))
+    return reduce(DataFrame.unionByName, found)
+
+
 PHASED = f"phased AS (SELECT d.*, w.research_date, CASE WHEN d.dt <= w.is_end THEN 'IS' ELSE 'OOS' END AS phase FROM daily d JOIN windows w ON (d.dt BETWEEN w.is_start AND w.is_end) OR (d.dt > w.is_end AND d.dt BETWEEN w.oos_start AND w.oos_end))"
 
 
@@ -633,29 +707,52 @@ def d3_sign_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(checked.select("ic", "days", "contradicts"))
 
 
-STEM_SQL = " OR ".join(f"contains(t, '{s}')" if " " in s or "-" in s else f"regexp_matches(t, '\\b{s}')" for s in D.STEMS["returns"])
-STEM_SQL_CLOSE = " OR ".join(f"regexp_matches(t, '\\b{s}')" for s in D.STEMS["close"])
+def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' turns as prose of candidates on all fields; odd turns speak of a panel without a VWAP of its own."""
+    bars = brand_bars(spark, sf_dir, "month")
+    kinds = [P.genuine_vwap(df).select(F.lit(k).alias("kind"), F.when(c("genuine"), "source").otherwise("hlc3").alias("vwap_source")) for k, df in enumerate((bars, bars.withColumn("vwap", F.lit(None).cast("double"))))]
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn", F.coalesce("role", F.lit(""))).alias("candidate_id"), F.array(*map(F.lit, FIELDS)).alias("fields"), "text", F.pmod("turn", F.lit(2)).cast("int").alias("kind"))
+    return turns.join(F.broadcast(kinds[0].union(kinds[1])), "kind")  # two rows
+
 
+PROSE_SQL = "p AS (SELECT conv_id || '-' || turn || '-' || coalesce(role, '') AS candidate_id, lower(text) AS t, turn % 2 = 1 AS proxy FROM conversations)"
 
-def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations' turns as prose of candidates on returns and close."""
-    return table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn", F.coalesce("role", F.lit(""))).alias("candidate_id"), F.array(F.lit("returns"), F.lit("close")).alias("fields"), "text")
+
+def said_sql(stems: list[str]) -> str:
+    return " OR ".join(f"contains(t, '{s}')" if " " in s or "-" in s else f"regexp_matches(t, '\\b{s}')" for s in stems)
 
 
-PROSE_SQL = "p AS (SELECT conv_id || '-' || turn || '-' || coalesce(role, '') AS candidate_id, lower(text) AS t FROM conversations)"
+MENTIONS = {f: said_sql(stems) for f, stems in D.STEMS.items()}
+MENTIONS["vwap"] = f"CASE WHEN proxy THEN {said_sql([*D.STEMS['typical_price'], 'vwap'])} ELSE {MENTIONS['vwap']} END"
 
 
-@query("d4_unmentioned", f"WITH {PROSE_SQL} SELECT candidate_id, 'returns' AS field FROM p GROUP BY candidate_id HAVING NOT coalesce(bool_or({STEM_SQL}), false) UNION ALL SELECT candidate_id, 'close' FROM p GROUP BY candidate_id HAVING NOT coalesce(bool_or({STEM_SQL_CLOSE}), false)")
+@query("d4_unmentioned", f"WITH {PROSE_SQL} " + " UNION ALL ".join(f"SELECT candidate_id, '{f}' AS field FROM p GROUP BY candidate_id HAVING NOT coalesce(bool_or({sql}), false)" for f, sql in MENTIONS.items()))
 def d4_unmentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight fields, on panels with and without a VWAP of their own."""
     return D.unmentioned_fields(prose(spark, sf_dir))
 
 
-CLAIM_SQL = " + ".join(f"contains(t, '{x}')::INT" for x in D.VOLUME_CLAIMS)
+CLAIM_SQL = "concat_ws(', ', " + ", ".join(f"CASE WHEN proxy AND contains(t, '{x}') THEN '{x}' END" for x in sorted(D.VOLUME_CLAIMS)) + ")"
+
+
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prose, every third conversation with a claim of volume at its end, as the turns make none."""
+    long = F.coalesce(F.length("text"), F.lit(0))
+    claim = F.element_at(F.array(*map(F.lit, D.VOLUME_CLAIMS)), (F.floor(long / 3) % len(D.VOLUME_CLAIMS) + 1).cast("int"))
+    return prose(spark, sf_dir).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(long % 3 == 0, F.concat(F.lit(" The "), claim)).otherwise("")))
+
+
+TOLD = f"claims(k, phrase) AS (VALUES {', '.join(f'({i}, {x!r})' for i, x in enumerate(D.VOLUME_CLAIMS))}), p AS (SELECT candidate_id, proxy, lower(coalesce(text, '') || CASE WHEN coalesce(length(text), 0) % 3 = 0 THEN ' The ' || phrase ELSE '' END) AS t FROM (SELECT *, conv_id || '-' || turn || '-' || coalesce(role, '') AS candidate_id, turn % 2 = 1 AS proxy FROM conversations) JOIN claims ON k = coalesce(length(text), 0) // 3 % {len(D.VOLUME_CLAIMS)})"
 
 
-@query("d5_volume_claims", f"WITH {PROSE_SQL} SELECT candidate_id, coalesce({CLAIM_SQL}, 0)::INT AS n_claims FROM p")
+@query("d5_volume_claims", f"WITH {TOLD} SELECT candidate_id, {CLAIM_SQL} AS claims FROM p")
 def d5_volume_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.volume_claims(prose(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))).select("candidate_id", F.size("claims").alias("n_claims"))
+    return D.volume_claims(told(spark, sf_dir)).select("candidate_id", F.array_join("claims", ", ").alias("claims"))
+
+
+@query("d5_vwap_warnings", f"WITH {TOLD}, said AS (SELECT candidate_id, {CLAIM_SQL} AS claims FROM p) SELECT candidate_id, 'claims of volume (' || claims || ') about a vwap that is a typical price' AS warning FROM said WHERE claims <> ''")
+def d5_vwap_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.vwap_warnings(told(spark, sf_dir))
 
 
 @query("d6_prose_faults", r"""WITH t AS (SELECT conv_id, turn, role, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS r, trim(lower(regexp_replace(role, '\s+', ' ', 'g'))) AS m FROM conversations)
@@ -667,12 +764,12 @@ def d6_prose_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- research and journal -----------------------------------------------------------------------------------------------
-#: Where the daily returns of the whole catalog were written, by application and input; some twenty queries read them.
-DAILY: dict[tuple[str, str], str] = {}
+#: Where the daily returns of the whole catalog were written, by application and version of the input; some twenty queries read them.
+DAILY: dict[tuple, str] = {}
 
 
 def grid_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, *version(spark, sf_dir, "lineitem", "part"))
     if key not in DAILY:
         panel, path = brand_settlement(spark, sf_dir), shared_dir(spark)
         B.replay(B.weights(stable_signals(panel), CONFIG), panel, CONFIG.cost_bps).write.parquet(path)
@@ -726,6 +823,28 @@ def g5_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(led.select("research_date", "candidate_id", "is_value", "oos_value", "label", F.array_join("reasons", "; ").alias("reasons"), "oos_end"), 5)
 
 
+VOLUMES = [r for r in CATALOG if r[0] in ("k1_volume", "k8_corr")]
+SPOILT = SETTLED.replace("panel AS (SELECT symbol", "clean AS (SELECT symbol") + ", panel AS (SELECT * REPLACE (CASE WHEN dt = (SELECT min(dt) FROM clean WHERE dt > '1996-02-10' AND volume IS NOT NULL) AND volume IS NOT NULL THEN 'infinity'::DOUBLE ELSE volume END AS volume) FROM clean)"
+ONLY = "candidate_id IN ('k1_volume', 'k8_corr')"
+
+
+@query("g9_numerical_reject", f"""WITH {LEDGER.replace(SETTLED, SPOILT, 1).replace('generate_series(1994, 1998)', 'generate_series(1996, 2000)')}, {faults_sql([r[0] for r in VOLUMES])},
+marked AS (SELECT research_date, f.candidate_id, count(*) FILTER (fault AND dt <= is_end) AS before, count(*) FILTER (fault AND dt > is_end) AS after FROM fault_cells f JOIN windows ON dt BETWEEN is_start AND is_end OR dt > is_end AND dt BETWEEN oos_start AND oos_end GROUP BY ALL),
+chosen AS (SELECT l.*, after FROM ledger l JOIN marked m USING (candidate_id, research_date) WHERE {ONLY} AND before = 0 QUALIFY row_number() OVER (PARTITION BY research_date ORDER BY coalesce(is_value, '-infinity'::DOUBLE) DESC, {ORDER_OF}) = 1)
+SELECT research_date, candidate_id, round(is_value, 5) AS is_value, CASE WHEN after = 0 THEN round(oos_value, 5) END AS oos_value, CASE WHEN after > 0 THEN 'NUMERICAL_REJECT' WHEN passed THEN 'PASS' ELSE 'FAIL' END AS label,
+  CASE WHEN after > 0 THEN 'non-finite values out of sample: ' || after ELSE {reasons_sql()} END AS reasons FROM chosen""")
+def g9_numerical_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes of one day after the first research date are infinite. Candidates of volume alone: the first date's is rejected
+    for it, dates whose in-sample window holds that day have no candidate, later ones go on."""
+    clean = brand_settlement(spark, sf_dir)
+    day = clean.where("dt > '1996-02-10' AND volume IS NOT NULL").agg(F.min("dt").alias("spoilt"))
+    hit = c("spoilt").isNotNull() & c("volume").isNotNull()
+    panel = clean.join(F.broadcast(day), c("dt") == c("spoilt"), "left").withColumn("volume", F.when(hit, F.lit(float("inf"))).otherwise(c("volume"))).drop("spoilt")
+    dates = V.schedule(spark, "1996-01-01", "2000-12-31", "YS")
+    led = G.walk_forward(panel, dates, CONFIG, rows=VOLUMES, values=stable_signals(panel, VOLUMES, faults=True))
+    return rounded(led.select("research_date", "candidate_id", "is_value", "oos_value", "label", F.array_join("reasons", "; ").alias("reasons")), 5)
+
+
 PRIORS = f"{LEDGER}, best AS (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY research_date ORDER BY coalesce(is_value, '-infinity'::DOUBLE) DESC, candidate_id) = 1)"
 
 
@@ -742,12 +861,12 @@ def g6_visible_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g7_latest_failures", f"WITH {PRIORS}, v AS (SELECT t.research_date, p.research_date AS prior_date, p.candidate_id AS prior_candidate FROM best t JOIN best p ON p.oos_end <= t.research_date AND p.research_date < t.research_date WHERE NOT p.passed) SELECT research_date, prior_date, row_number() OVER (PARTITION BY research_date ORDER BY prior_date DESC)::INT AS age FROM v QUALIFY age <= 8")
 def g7_latest_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.latest_failures(G.visible_priors(best_ledger(spark, sf_dir))).select("research_date", "prior_date", "age")
+    return G.latest_failures(best_ledger(spark, sf_dir)).select("research_date", "prior_date", "age")
 
 
-@query("g8_summaries", f"WITH {LEDGER} SELECT research_date, candidate_id, CASE WHEN passed THEN 'win' ELSE 'failure' END AS kind FROM ledger")
+@query("g8_summaries", f"WITH {LEDGER} SELECT research_date, candidate_id, CASE WHEN passed THEN 'win' ELSE 'failure' END AS kind, CASE WHEN passed THEN printf('sharpe out of sample %.4f', oos_value) ELSE {reasons_sql()} END AS detail FROM ledger")
 def g8_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.summaries(ledger(spark, sf_dir)).select("research_date", "candidate_id", "kind")
+    return G.summaries(ledger(spark, sf_dir)).select("research_date", "candidate_id", "kind", "detail")
 
 
 @query("g10_pending", f"WITH {LEDGER} SELECT research_date FROM dates WHERE research_date NOT IN (SELECT research_date FROM ledger WHERE research_date < '1996-06-01')")
@@ -755,16 +874,18 @@ def g10_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pending(dates_of(spark), ledger(spark, sf_dir).where(c("research_date") < "1996-06-01"))
 
 
-@query("g11_history", f"WITH {GRID} SELECT research_date, count(*) AS n, string_agg(candidate_id, ',' ORDER BY list_position([{', '.join(repr(r[0]) for r in CATALOG)}], candidate_id)) AS tried FROM scored GROUP BY research_date")
+@query("g11_history", f"WITH {GRID} SELECT research_date, count(*) AS n, string_agg(candidate_id, ',' ORDER BY list_position([{', '.join(repr(r[0]) for r in CATALOG)}], candidate_id)) AS tried, string_agg(coalesce(printf('%.4f', is_value), 'n/a'), ',' ORDER BY list_position([{', '.join(repr(r[0]) for r in CATALOG)}], candidate_id)) AS is_values FROM scored GROUP BY research_date")
 def g11_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = G.history(grid(spark, sf_dir)[0], CONFIG.objective)
-    return h.select("research_date", F.size("iterations").cast("long").alias("n"), F.array_join("iterations.candidate_id", ",").alias("tried"))
+    return h.select("research_date", F.size("iterations").cast("long").alias("n"), F.array_join("iterations.candidate_id", ",").alias("tried"), F.array_join(F.transform("iterations.is_value", J.shown), ",").alias("is_values"))
 
 
-@query("j1_merge", f"WITH {LEDGER}, both_ AS (SELECT research_date, candidate_id, 0 AS load FROM ledger WHERE candidate_id = 'k1_volume' UNION ALL SELECT research_date, candidate_id, 1 FROM ledger WHERE candidate_id = 'k3_reversal' AND research_date > '1995-06-01') SELECT research_date, candidate_id FROM both_ QUALIFY row_number() OVER (PARTITION BY research_date ORDER BY load DESC) = 1")
+@query("j1_merge", f"WITH {LEDGER}, both_ AS (SELECT research_date, candidate_id, 0 AS load FROM ledger UNION ALL SELECT research_date, candidate_id, 1 FROM ledger WHERE passed AND research_date > '1995-06-01') SELECT research_date, candidate_id FROM both_ QUALIFY row_number() OVER (PARTITION BY research_date ORDER BY load DESC, {ORDER_OF} DESC) = 1")
 def j1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = ledger(spark, sf_dir).select("research_date", "candidate_id")
-    return J.merge_ledgers(led.where("candidate_id = 'k1_volume'"), led.where("candidate_id = 'k3_reversal' AND research_date > '1995-06-01'"))
+    """The whole ledger, and the passes of later dates as the newer one; within a ledger the catalog's order is that of writing."""
+    led = ledger(spark, sf_dir).select("research_date", "candidate_id", "candidate", "label")
+    old, new = led.drop("label"), led.where("label = 'PASS' AND research_date > '1995-06-01'").drop("label")
+    return J.merge_ledgers(old, new, "candidate").select("research_date", "candidate_id")
 
 
 @query("j2_archive", "WITH old AS (SELECT 'r' || o_custkey AS run_id, min(o_orderpriority) AS note, min(o_orderdate)::VARCHAR AS first_archived, max(o_orderdate)::VARCHAR AS last_archived FROM orders WHERE o_orderdate < '1997-01-01' GROUP BY o_custkey), new AS (SELECT DISTINCT 'r' || o_custkey AS run_id FROM orders WHERE o_orderdate >= '1996-01-01') SELECT coalesce(o.run_id, n.run_id) AS run_id, coalesce(note, '') AS note, left(coalesce(first_archived, '2030-01-01'), 10) AS first_archived, left(CASE WHEN n.run_id IS NOT NULL THEN '2030-01-01' ELSE last_archived END, 10) AS last_archived FROM old o FULL JOIN new n ON o.run_id = n.run_id")
@@ -790,12 +911,13 @@ def j4_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.config_conflicts(settings(spark, sf_dir, "p_brand = 'Brand#11'").drop("run"), settings(spark, sf_dir, "p_brand = 'Brand#12'").drop("run"), [])
 
 
-LESSONS = f"{LEDGER}, lessons AS (SELECT candidate_id AS formula, passed AS won, count(*) AS n_seen, max(research_date) AS research_date, CASE WHEN count(oos_end) = count(*) THEN max(oos_end) END AS oos_end FROM ledger GROUP BY ALL)"
+LESSONS = f"{LEDGER}, lessons AS (SELECT candidate_id AS formula, passed AS won, count(*) AS n_seen, max(research_date) AS research_date, CASE WHEN count(oos_end) = count(*) THEN max(oos_end) END AS oos_end, arg_max_null(oos_value, research_date) AS oos_value FROM ledger GROUP BY ALL)"
 
 
-@query("j5_lessons", f"WITH {LESSONS} SELECT * FROM lessons")
+@query("j5_lessons", f"""WITH {LESSONS}, modes AS (SELECT candidate_id AS formula, string_agg(DISTINCT regexp_replace(reason, '-?[0-9]+([.][0-9]+)?', '#', 'g'), '; ' ORDER BY regexp_replace(reason, '-?[0-9]+([.][0-9]+)?', '#', 'g')) AS modes FROM (SELECT candidate_id, unnest(string_split({reasons_sql('@')}, '@')) AS reason FROM ledger WHERE NOT passed) GROUP BY 1)
+SELECT formula, won, n_seen, research_date, oos_end, round(oos_value, 5) AS oos_value, CASE WHEN won THEN '' ELSE modes END AS modes FROM lessons LEFT JOIN modes USING (formula)""")
 def j5_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.lessons(ledger(spark, sf_dir)).select("formula", "won", "n_seen", "research_date", "oos_end")
+    return rounded(J.lessons(ledger(spark, sf_dir)).select("formula", "won", "n_seen", "research_date", "oos_end", "oos_value", F.array_join("modes", "; ").alias("modes")), 5)
 
 
 @query("j6_top_losses", f"WITH {LESSONS} SELECT formula, n_seen FROM lessons WHERE NOT won ORDER BY n_seen DESC, formula LIMIT 15")
@@ -813,6 +935,46 @@ def j8_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.as_of(J.lessons(ledger(spark, sf_dir)), "1997-12-31").select("formula", "won", "n_seen")
 
 
+HISTORY = f"""{LEDGER}, states AS (SELECT candidate_id AS formula, passed AS won, oos_end AS known_from, row_number() OVER w AS n_seen, lead(oos_end) OVER w AS known_to, oos_value, research_date FROM ledger WHERE oos_end IS NOT NULL WINDOW w AS (PARTITION BY candidate_id, passed ORDER BY oos_end, research_date)),
+history AS (SELECT s.formula, s.won, s.known_from, s.known_to, s.n_seen, (SELECT arg_max_null(p.oos_value, p.research_date) FROM states p WHERE p.formula = s.formula AND p.won = s.won AND p.known_from <= s.known_from) AS oos_value FROM states s WHERE s.known_to IS DISTINCT FROM s.known_from)"""
+
+
+@query("j8_lesson_history", f"WITH {HISTORY} SELECT formula, won, known_from, known_to, n_seen, round(oos_value, 5) AS oos_value FROM history")
+def j8_lesson_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What could be known of each lesson, and from when to when."""
+    return rounded(J.lesson_history(ledger(spark, sf_dir)).select("formula", "won", "known_from", "known_to", "n_seen", "oos_value"), 5)
+
+
+@query("j8_known_lessons", f"WITH {HISTORY} SELECT formula, won, n_seen FROM history WHERE known_from <= '1997-06-30' AND coalesce(known_to > '1997-06-30', true)")
+def j8_known_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.known_lessons(J.lesson_history(ledger(spark, sf_dir)), "1997-06-30").select("formula", "won", "n_seen")
+
+
+def noted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The ledger with a mechanism for each candidate, a comment on its orders, and entries of its runs and one without results."""
+    words = [(r[0], f"{r[1]} of  {r[2]} |\n{' and then '.join(r[7])}, as a story that is told at length so that it has to be cut") for r in CATALOG]
+    led = ledger(spark, sf_dir).join(F.broadcast(spark.createDataFrame(words, "candidate_id string, mechanism string")), "candidate_id")
+    days = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("run-"), F.year("o_orderdate") % 3).alias("run_id")).agg(F.min("o_orderdate").cast("date").cast("string").alias("first_archived"), F.max("o_orderdate").cast("date").cast("string").alias("last_archived"))
+    return led, days.withColumn("note", F.concat(F.lit(" orders\n of "), "run_id"))
+
+
+MECHANISMS = "mechanisms(candidate_id, flat) AS (VALUES " + ", ".join("('%s', '%s')" % (r[0], f"{r[1]} of {r[2]} \\| {' and then '.join(r[7])}, as a story that is told at length so that it has to be cut") for r in CATALOG) + ")"
+
+
+@query("j12_run_tables", f"""WITH {LEDGER}, {MECHANISMS} SELECT 'run-' || (year(research_date) % 2) AS run_id, row_number() OVER (PARTITION BY year(research_date) % 2 ORDER BY research_date, candidate_id)::INT AS place, research_date, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS verdict,
+  coalesce(printf('%.4f', is_value), 'n/a') AS is_shown, coalesce(printf('%.4f', oos_value), 'n/a') AS oos_shown, candidate_id AS formula, CASE WHEN length(flat) <= 80 THEN flat ELSE rtrim(left(flat, 77)) || '...' END AS mechanism FROM ledger JOIN mechanisms USING (candidate_id)""")
+def j12_run_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of each run."""
+    return J.run_tables(*noted(spark, sf_dir))
+
+
+@query("j12_run_heads", f"""WITH {LEDGER}, runs AS (SELECT 'run-' || (year(research_date) % 2) AS run_id, count(*) AS n, count(*) FILTER (passed) AS won FROM ledger GROUP BY 1),
+entries AS (SELECT 'run-' || (year(o_orderdate) % 3) AS run_id, min(o_orderdate)::DATE::VARCHAR AS a, max(o_orderdate)::DATE::VARCHAR AS z FROM orders GROUP BY 1)
+SELECT run_id, 'orders of ' || run_id AS note, CASE WHEN a = z THEN a ELSE a || ' (refreshed ' || z || ')' END AS archived, CASE WHEN n IS NULL THEN '?' ELSE 'sharpe' END AS objective, coalesce(n, 0) || ' factor(s), ' || coalesce(won, 0) || ' PASS' AS result FROM entries LEFT JOIN runs USING (run_id)""")
+def j12_run_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.run_heads(*noted(spark, sf_dir))
+
+
 @query("j9_failure_modes", f"WITH {LEDGER}, r AS (SELECT unnest(string_split({reasons_sql('@')}, '@')) AS reason FROM ledger WHERE NOT passed) SELECT regexp_replace(reason, '-?[0-9]+([.][0-9]+)?', '#', 'g') AS mode, count(*) AS n FROM r GROUP BY 1")
 def j9_failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.failure_modes(ledger(spark, sf_dir))
@@ -857,7 +1019,20 @@ def j17_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.usage_totals(e.select(F.concat(F.lit("r"), "user_id").alias("run_id"), F.when(kind == "click", c("event_id")).alias("input_tokens"), F.when(~kind.isin("click", "error", "view"), c("event_id")).alias("prompt_tokens"), F.when(kind == "click", c("event_id")).alias("output_tokens"), F.lit(None).cast("long").alias("completion_tokens")))
 
 
-@query("j18_redact")
+def redact_sql(x: str) -> str:
+    """The masks in DuckDB's dialect, which has no lookahead: a bearer word that must stay gets a mark in front of it for the while."""
+    for pattern, mask in J.SECRETS:
+        groups, options = mask.replace("$", "\\"), "g"
+        if "(?!bearer" in pattern:
+            head = pattern.split("((?!bearer")[0].replace("'", "''")
+            x = f"regexp_replace({x}, '{head}(bearer)\\b', '\\1\\2' || chr(1) || '\\3', 'g')"
+            pattern = pattern.replace(r"(?!bearer\b)[^\s\"',]+", r"[^\s\"',\x01][^\s\"',]*")
+        quoted = pattern.replace("'", "''")
+        x = f"regexp_replace({x}, '{quoted}', '{groups}', '{options}')"
+    return f"replace({x}, chr(1), '')"
+
+
+@query("j18_redact", f"SELECT doc_id, sha256({redact_sql('text')}) AS redacted_sha256, {redact_sql('text')} <> text AS changed FROM documents")
 def j18_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents")
     return df.select("doc_id", F.sha2(J.redact(c("text")), 256).alias("redacted_sha256"), (J.redact(c("text")) != c("text")).alias("changed"))

@@ -26,7 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again, so that what is derived from it several times is made once."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application wrote through shared_dir; for the end of it, when no result is read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def version(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Number, size and last change of the tables' files: another one means that their rows may have changed."""
+    one = lambda name: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/{name}.parquet")
+    return tuple(x for n in names for x in one(n).agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first())
 
 
 def brand_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +60,12 @@ def brand_bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFram
 
 
 def brand_panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
-    return P.panel(brand_bars(spark, sf_dir, unit), "lineitem")
+    """The panel reads bars several times (cells, calendar, symbols, VWAP), so they are written once."""
+    return P.panel(written(brand_bars(spark, sf_dir, unit)), "lineitem")
 
 
 def brand_settlement(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
-    return P.settlement(brand_bars(spark, sf_dir, unit))
+    return P.settlement(written(brand_bars(spark, sf_dir, unit)))
 
 
 def event_bars(spark: SparkSession, sf_dir: str, symbol: str = "event_type") -> DataFrame:
