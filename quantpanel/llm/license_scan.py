@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -95,7 +96,14 @@ class Notice:
 def scan_text(text: str | None, notices: list[Notice]) -> dict:
     words = utf8_bytes(text).translate(WORDS).split()
     line = b" " + b" ".join(words) + b" "
-    word_at = lambda pos: line.count(b" ", 0, pos)  # noqa: E731  number of the word that starts behind the space at pos
+    spaces: list[np.ndarray] = []
+
+    def word_at(pos: int) -> int:
+        """Number of the word that starts behind the space at pos; the places of spaces are found once, if anything is."""
+        if not spaces:
+            spaces.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32))
+        return int(np.searchsorted(spaces[0], pos))
+
     places, base, score = [], set(), 0.0
     for phrase, label in BASE.items():
         needle = b" %s " % phrase.encode()
