@@ -16,9 +16,8 @@ A string of `LENGTH` bytes that also starts in a document with a smaller id is r
 
 So hashes decide what is wholly equal or wholly different, and the suffix order what is equal in part.
 
-Defined cases: null text counts as empty; texts below 50 bytes lose nothing; a null id is smaller than all others; where ids
-repeat, of rows with one id the one with the smaller text hash counts as the smaller document; an empty table gives an
-empty result; extra columns don't matter.
+Defined cases: null text counts as empty; texts below 50 bytes lose nothing; a null id is smaller than all others; rows of
+one id take nothing from each other, null ids included; an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantpanel.llm.common import cut, table, utf8_bytes
+from quantpanel.llm.common import cut, numbered, table, utf8_bytes
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
@@ -296,16 +295,28 @@ def by_block(columns: list[tuple[str, str]], rows: dict[str, np.ndarray], blocks
     return held.tolist(), [packed(columns, {k: split[k][i] for k, _ in columns}) for i in range(len(held))]
 
 
+def ordered(named: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """`named` (doc_id, text) with doc, a number of each row in the order of the ids, and shift: doc >> shift is the id's own.
+
+    Where ids repeat, doc is the first place of the id in the order, then the row's place among those of its id.
+    """
+    most = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    if most == 1:
+        return named.withColumn("doc", F.coalesce("doc_id", F.lit(LOWEST))), 0
+    shift = (most - 1).bit_length()
+    if total.bit_length() + shift > 62:
+        raise ValueError(f"{most} rows of one id among {total} are too many to number")
+    rows = numbered(named.withColumns({"all": F.lit(""), "own": F.xxhash64("text")}), ["all"], ["doc_id", "own"])
+    first = rows.groupBy("doc_id").agg(F.min("idx").alias("first")).withColumnRenamed("doc_id", "id")
+    placed = rows.join(first, F.col("doc_id").eqNullSafe(F.col("id")))
+    return cut(placed.select("doc_id", "text", F.shiftleft("first", shift).bitwiseOR(F.col("idx") - F.col("first")).alias("doc"))), shift
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = 4_000, docs_per_block: int = 4_000) -> DataFrame:
     """One row per input row: doc_id, text (what is left), n_bytes, n_removed, n_spans, kept_sha256."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = named.count()
-    if named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        # Rows are numbered in order, once, in the job that writes them.
-        order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-        keyed = cut(named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id()))
-    else:
-        keyed = named.withColumn("doc", F.coalesce("doc_id", F.lit(LOWEST)))
+    keyed, shift = ordered(named, total)
     shards, blocks = max(8, total // docs_per_shard), max(8, total // docs_per_block)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,8 +360,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         low, high = np.minimum.reduceat(e["doc"], heads), np.maximum.reduceat(e["doc"], heads)
         kinds = np.add.reduceat(new_kind.astype(int), heads)
         number = np.cumsum(new_group) - 1
-        one = ((kinds == 1) & (low < high))[number] & (e["doc"] > low[number])
-        several = ((kinds > 1) & (low < high))[number]
+        # Numbers of one id differ below `shift` only; rows of one id don't count against each other.
+        one = ((kinds == 1) & (low >> shift < high >> shift))[number] & (e["doc"] >> shift > low[number] >> shift)
+        several = ((kinds > 1) & (low >> shift < high >> shift))[number]
         kind = np.cumsum(new_kind) - 1
         rep = several & new_kind
         spans = {"doc": e["doc"][one], "pos": e["pos"][one], "size": e["count"][one].astype(int) + LENGTH - 1}
@@ -412,7 +424,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for k, (a, b) in enumerate(zip(first, [*first[1:], len(heads)])):
             low = lows[k]
             for doc, at in zip(w["doc"][a:b].tolist(), w["pos"][a:b].tolist(), strict=True):
-                gone = np.flatnonzero(np.diff(np.concatenate([[0], low < doc, [0]])))
+                gone = np.flatnonzero(np.diff(np.concatenate([[0], low >> shift < doc >> shift, [0]])))
                 for x, y in zip(gone[::2].tolist(), gone[1::2].tolist(), strict=True):
                     docs_.append(doc)
                     pos.append(at + x)
