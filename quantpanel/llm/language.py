@@ -227,6 +227,9 @@ class Labeller:
     def probabilities(self, rows: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         """Of texts with words: their numbers, lengths and word probabilities, some 400,000 words at a time."""
         order = sorted((i for i, r in enumerate(rows) if len(r)), key=lambda i: len(rows[i]))
+        while order and len(rows[order[-1]]) > 4 * BLOCK:
+            i = order.pop()
+            yield [i], np.array([len(rows[i])]), forward_backward_long(self.table[rows[i]], self.field)[None]
         while order:
             take, longest = [], 0
             while order and (not take or (len(take) + 1) * longest <= 400_000):
@@ -265,6 +268,54 @@ def forward_backward_words(emit: np.ndarray, lengths: np.ndarray, field: Field)
     return alpha.transpose(1, 0, 2)
 
 
+#: Words of a block of a long text.
+BLOCK = 2_048
+
+
+def forward_backward_long(emit: np.ndarray, field: Field, block: int = BLOCK) -> np.ndarray:
+    """Word probabilities of one long text, words x languages, exactly those of the whole chain.
+
+    Blocks of words are worked on side by side: first the matrix that carries a message through each of them, then the
+    messages at their ends, block by block, then forward and backward inside all blocks at once.
+    """
+    n, k = emit.shape
+    blocks = -(-n // block)
+    e = np.ones((blocks * block, k))
+    e[:n] = np.exp(emit - emit.max(1, keepdims=True))
+    e = e.reshape(blocks, block, k).transpose(1, 0, 2).copy()
+    last = np.minimum(np.arange(1, blocks + 1) * block, n) - np.arange(blocks) * block - 1
+    m = np.exp(field.moves - field.moves.max())
+    through, inside = np.broadcast_to(np.eye(k), (blocks, k, k)).copy(), np.zeros((blocks, k, k))
+    for t in range(block):
+        live = (t <= last)[:, None, None]
+        inside = np.where(live, through * e[t][:, None, :], inside)
+        step = inside @ m
+        through = np.where(live, step / step.sum((1, 2), keepdims=True), through)
+    into, behind = np.empty((blocks, k)), np.ones((blocks, k))
+    x = np.exp(field.start - field.start.max())
+    for b in range(blocks):
+        into[b] = x
+        x = x @ through[b]
+        x /= x.sum()
+    r = inside[-1].sum(1)
+    for b in range(blocks - 2, -1, -1):
+        behind[b] = m @ r
+        r = through[b] @ r
+        r /= r.sum()
+    alpha = np.empty_like(e)
+    for t in range(block):
+        a = (into if t == 0 else alpha[t - 1] @ m) * e[t]
+        alpha[t] = a / a.sum(1, keepdims=True)
+    beta = behind.copy()
+    for t in range(block - 1, -1, -1):
+        if t < block - 1:
+            beta = np.where((t < last)[:, None], (beta * e[t + 1]) @ m.T, behind)
+        beta /= beta.sum(1, keepdims=True)
+        alpha[t] *= beta
+    alpha /= alpha.sum(2, keepdims=True)
+    return alpha.transpose(1, 0, 2).reshape(-1, k)[:n]
+
+
 def label_words(field: Field, text: str | None) -> list[tuple[str, str, float]]:
     """(word, language, probability) of every word of one text."""
     labeller, words = Labeller(field), words_of(text)

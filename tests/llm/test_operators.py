@@ -182,6 +182,15 @@ def test_a_long_text_of_one_notice_takes_linear_time():
     assert (got["first_word"], got["last_word"]) == (3, 159_999 * 5 + 3) and got["spans"][-1]["first_word"] == 159_999 * 5
 
 
+@pytest.mark.parametrize("n, block", [(1, 8), (8, 8), (9, 8), (64, 8), (1000, 16), (257, 256)])
+def test_long_chains_are_exact(n, block):
+    rng = np.random.default_rng(n)
+    field = language.Field(list("abc"), np.zeros((1, 3)), rng.normal(0, 2, (3, 3)), rng.normal(0, 1, 3))
+    emit = rng.normal(0, 4, (n, 3))
+    whole = language.forward_backward_words(emit[None], np.array([n]), field)[0]
+    assert np.abs(language.forward_backward_long(emit, field, block) - whole).max() < 1e-9
+
+
 # --- suffix arrays -------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("text", [b"", b"a", b"banana", b"mississippi", b"aaaa", b"abab\x00abab", bytes(range(255, 0, -1)) * 2])
 def test_suffix_array(text):
