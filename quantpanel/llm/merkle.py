@@ -122,7 +122,8 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", tree_col: str = "lang", te
     The first has tree, block, levels, climbed, items (doc_id and tampered digest), path, subroot, root; the second tree,
     subroot, path (from the subroot to the root) and root.
     """
-    rows = numbered(leaves(docs, id_col, tree_col, text_col, columns), ["tree"], ["doc_id", "node"])
+    # Written first: ranges are found on a sample of them, and texts shouldn't be digested for that too.
+    rows = numbered(cut(leaves(docs, id_col, tree_col, text_col, columns)), ["tree"], ["doc_id", "node"])
     low = stages(rows.select("tree", "idx", "node", height(F.col("total")).alias("todo"), F.struct("doc_id", "tampered").alias("item")))
     subroots = reduce(DataFrame.unionByName, (b.where("todo = 0").select(F.lit("").alias("tree"), F.col("tree").alias("item"), F.col("top").alias("node")) for b in low))
     subroots = numbered(subroots, ["tree"], ["item"])
