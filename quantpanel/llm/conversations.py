@@ -30,7 +30,7 @@ from functools import lru_cache
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantpanel.llm.common import SPACES, crc32_sql, cut, numbered, table
@@ -155,8 +155,10 @@ def blocks(rows: DataFrame) -> DataFrame:
     fault = F.when(tail == "", 1).when(tail.isin(".", "!", "?"), 0).otherwise(3)
     cls = F.instr(F.lit("sua"), F.left("role", F.lit(1)))
     cls = F.when((F.length("role") == 0) | (cls == 0), 3).otherwise(cls - 1)
-    # Equal rows are interchangeable; a number of their own lets many of them span tasks.
-    codes = numbered(keyed_codes(rows, cls, fault).withColumn("own", F.monotonically_increasing_id()), ["conv"], ["turn", "print", "own"])
+    # Equal rows are interchangeable; a number of their own lets many of them span tasks. Written first, as ranges are found
+    # on a sample and texts shouldn't be digested for that too.
+    own = rows.select("conv", "turn", "print", cls.alias("cls"), fault.alias("fault")).withColumn("own", F.monotonically_increasing_id())
+    codes = numbered(cut(own), ["conv"], ["turn", "print", "own"])
     first = codes.groupBy("conv", "print").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     repeated = F.col("first").isNotNull() & (F.col("idx") > F.col("first"))
     code = F.col("cls") * 4 + F.when(F.col("fault") == 1, 1).when(repeated, 2).otherwise(F.col("fault"))
@@ -166,10 +168,6 @@ def blocks(rows: DataFrame) -> DataFrame:
     return found.select("conv", "block", "blocks", F.array_join(F.transform("rows", lambda r: r["code"]), "").alias("codes"))
 
 
-def keyed_codes(rows: DataFrame, cls: Column, fault: Column) -> DataFrame:
-    return rows.select("conv", "turn", "print", cls.alias("cls"), fault.alias("fault"))
-
-
 # --- walks ---------------------------------------------------------------------------------------------------------------
 def checkpoints(found: DataFrame) -> DataFrame:
     """The blocks of conversations that have several, with behind, the costs at their ends."""
