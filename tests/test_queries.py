@@ -9,7 +9,7 @@ from quantpanel import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer supplier part orders lineitem events documents conversations".split()
-SOME = ["s2_scan", "s5_clean_bars", "s7_wide_to_long", "p5_panel", "p10_bars_month", "c1_rank_close", "t8_ts_rank_w8", "t9_ts_corr_w8", "t11_decay_linear_w20", "k5_deviation", "m5_node_report", "m6_admission", "s1_load_bars", "s10_ledger", "s12_manifest", "s13_entries", "s14_truncate_trace", "s15_register_signal", "p4_request_order", "m9_genuine_vwap", "j7_context", "j13_stale", "i3_macd", "i4_rsi", "i12_beta", "g4_dead_ends", "g4_spoilt_input", "g5_walk_forward", "v5_verdict", "j3_run_ids", "j9_failure_modes", "b3_top_q", "b5_hold_rebalance", "b10_delisted", "d4_unmentioned", "j4_conflicts", "j16_differences"]
+SOME = ["s2_scan", "s5_clean_bars", "s7_wide_to_long", "p5_panel", "p10_bars_month", "c1_rank_close", "t8_ts_rank_w8", "t9_ts_corr_w8", "t11_decay_linear_w20", "t11_decay_linear_w252", "k5_deviation", "m5_node_report", "m6_admission", "m4_dispersion_faults", "m8_signal_hash", "p9_fingerprint", "s9_discover", "v7_frequencies", "s1_load_bars", "s10_ledger", "s12_manifest", "s13_entries", "s14_truncate_trace", "s15_register_signal", "p4_request_order", "m9_genuine_vwap", "j7_context", "j13_stale", "i3_macd", "i4_rsi", "i12_beta", "i12_beta_w252", "i13_momentum_w120", "g4_dead_ends", "g4_spoilt_input", "g5_walk_forward", "g9_numerical_reject", "g6_visible_priors", "g7_latest_failures", "g8_summaries", "g11_history", "v5_verdict", "j3_run_ids", "j9_failure_modes", "j1_merge", "j5_lessons", "j8_lesson_history", "j8_known_lessons", "j12_run_tables", "j12_run_heads", "j18_redact", "b3_top_q", "b5_hold_rebalance", "b10_delisted", "d4_unmentioned", "d5_volume_claims", "d5_vwap_warnings", "j4_conflicts", "j16_differences"]
 
 
 def shown(v):
@@ -33,4 +33,4 @@ def test_equals_sql(spark, name):
 
 
 def test_every_query_with_sql_is_registered():
-    assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) > 110
+    assert set(queries.SQL) == set(queries.QUERIES) and len(queries.QUERIES) > 150
