@@ -5,8 +5,9 @@ at least `min_docs` documents lose all their lines except in the document with t
 
 1. Texts emit, for each shard of the hash space, one packed row a batch: key hashes and document ids.
 2. Each batch is summed by key before the shuffle, so a line that a third of all documents share sends one entry a batch.
-   A shard's task adds them up, builds a minimal perfect hash over its distinct hashes that can drop a line, and stores at the
-   hash's index a 64-bit fingerprint, the document count and the largest id: arrays of 20 bytes a key.
+   A shard's task adds them up. Keys in too few documents can drop no line; over the distinct hashes of the others it builds
+   a minimal perfect hash, and stores at a hash's index the hash, a 64-bit fingerprint, the document count and the largest
+   id: an array of 32-byte cells. A task holds the keys of its shard, some 100,000 rows of documents by default.
 3. The packed rows of step 1 meet the arrays of their shard and probe them; a shard is dealt to as many tasks as its
    entries fill, so one that holds a line of a third of all documents takes many. What is dropped comes back as
    (document, key hashes). No line text is joined.
