@@ -38,6 +38,10 @@ def place(bounds: list[tuple[int, int]]) -> Column:
     return F.expr(tree(0, len(bounds)))
 
 
+#: Rows of a table of ranges that is sent to all tasks, some 100 bytes each; a larger one is shuffled.
+MOST_SENT = 1_000_000
+
+
 def located(keyed: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
     """`keyed` with range, the number of `bounds` at or below the row's key.
 
@@ -49,7 +53,9 @@ def located(keyed: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
     lows, highs = [(LOWEST, LOWEST), *bounds], [*bounds, None]
     rows = [(i, *low, *(high or (None, None)), low[0] >> 48, (high[0] if high else 2**63 - 1) >> 48) for i, (low, high) in enumerate(zip(lows, highs, strict=True))]
     table_ = keyed.sparkSession.createDataFrame(rows, "range int, low_h long, low_oid long, high_h long, high_oid long, first int, last int")
-    table_ = F.broadcast(table_.withColumn("slot", F.explode(F.sequence("first", "last"))).drop("first", "last"))
+    table_ = table_.withColumn("slot", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    if len(rows) + 65_536 <= MOST_SENT:
+        table_ = F.broadcast(table_)
     above = (F.col("h") > F.col("low_h")) | ((F.col("h") == F.col("low_h")) & (F.col("oid") >= F.col("low_oid")))
     below = F.col("high_h").isNull() | (F.col("h") < F.col("high_h")) | ((F.col("h") == F.col("high_h")) & (F.col("oid") < F.col("high_oid")))
     joined = keyed.withColumn("slot", F.shiftright("h", 48).cast("int")).join(table_, "slot").where(above & below)
@@ -98,7 +104,9 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     for i, size, rows in totals:
         offset_bytes.append((i, b, n))
         b, n = b + size, n + rows
-    offsets = F.broadcast(spark.createDataFrame(offset_bytes, "range int, bytes_before long, rows_before long"))  # a row for each range
+    offsets = spark.createDataFrame(offset_bytes, "range int, bytes_before long, rows_before long")  # a row for each range
+    if len(offset_bytes) <= MOST_SENT:
+        offsets = F.broadcast(offsets)
     order = Window.partitionBy("range").orderBy("h", "oid")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     placed = located(keyed, bounds).join(offsets, "range")
