@@ -535,6 +535,19 @@ def test_toxicity_learns_what_neither_term_says_alone(spark):
     assert np.mean([got[i].predicted == labels[i][1] for i in held]) > 0.95
 
 
+def test_scores_equal_the_sum_over_all_pairs():
+    """w0 + sum of w + sum of <v_i, v_j> over every pair of a text's slots, written out."""
+    rng = np.random.default_rng(5)
+    words = ["insult", "group", "neutral", "other", "Straße", "日本語"]
+    slots = np.unique([s for w in words for s in toxicity.word_slots(w.lower())])[:-1]
+    machine = toxicity.Machine(slots, 0.3, rng.normal(0, 1, len(slots)), rng.normal(0, 1, (len(slots), 4)))
+    texts = [None, "", "Insult, group!", "group group insult neutral", " ".join(words), "nothing known", "日本語 other"]
+    for text, got in zip(texts, toxicity.Scorer(machine)(texts), strict=True):
+        at = [i for i, s in enumerate(slots) if s in toxicity.slots_of(text, toxicity.Slots())]
+        z = 0.3 + sum(machine.w[i] for i in at) + sum(machine.v[i] @ machine.v[j] for i, j in itertools.combinations(at, 2))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_toxicity_drops_rows_not_ids(spark):
     rows = [(100 + i, f"some {w} words here {i}") for i, w in enumerate(["vile", "kind", "mere", "mere"] * 40)]
     lab = spark.createDataFrame([(i, int("vile" in t)) for i, t in rows] + [(None, 1), (5000, None)], "doc_id long, toxic int")
