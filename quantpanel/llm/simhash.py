@@ -479,7 +479,7 @@ def remaining_links(docs: DataFrame, members: DataFrame, p: Plan, size: int, sim
     return tiled(full, tile).mapInArrow(verify, "u long, v long")
 
 
-def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14, nearest: int = 2, tile: int | None = None) -> DataFrame:
+def verified_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 14, nearest: int = 1, tile: int | None = None) -> DataFrame:
     """(row_id, row_hash, keep_id, kept) of the documents in a group of two or more; keep_id is the id of the one that stays.
 
     Rows are told apart as in `with_row_key`. The smallest id stays, a null one only if the group has no other; of equal
