@@ -784,10 +784,11 @@ def grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every admitted candidate of every date, judged; one run for each objective window."""
+    """Every admitted candidate of every date, judged; dates of even and odd years are two runs, whose results don't compare."""
     table_, windows = grid(spark, sf_dir)
     judged = V.verdicts(G.eligible(table_, CONFIG), CONFIG).join(F.broadcast(windows), "research_date")
-    return judged.withColumns({"run_id": F.concat(F.lit("run-"), F.year("research_date") % 2), "context": J.evidence_context(["objective"]), "data_version": F.lit("v1")})
+    runs = judged.withColumns({"run_id": F.concat(F.lit("run-"), F.year("research_date") % 2), "data_version": F.lit("v1")})
+    return runs.withColumn("context", J.evidence_context(["objective", "run_id"]))
 
 
 GRID_BOOK = f"""{SETTLED}{SIGNALS}, centred AS (SELECT *, value - avg(value) OVER (PARTITION BY candidate_id, dt) AS z FROM signal), book AS (SELECT candidate_id, symbol, dt, z / nullif(sum(abs(z)) OVER (PARTITION BY candidate_id, dt), 0) AS s FROM centred),
@@ -911,13 +912,13 @@ def j4_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.config_conflicts(settings(spark, sf_dir, "p_brand = 'Brand#11'").drop("run"), settings(spark, sf_dir, "p_brand = 'Brand#12'").drop("run"), [])
 
 
-LESSONS = f"{LEDGER}, lessons AS (SELECT candidate_id AS formula, passed AS won, count(*) AS n_seen, max(research_date) AS research_date, CASE WHEN count(oos_end) = count(*) THEN max(oos_end) END AS oos_end, arg_max_null(oos_value, research_date) AS oos_value FROM ledger GROUP BY ALL)"
+LESSONS = f"{LEDGER}, lessons AS (SELECT candidate_id AS formula, passed AS won, 'run-' || (year(research_date) % 2) AS run_id, count(*) AS n_seen, max(research_date) AS research_date, CASE WHEN count(oos_end) = count(*) THEN max(oos_end) END AS oos_end, arg_max_null(oos_value, research_date) AS oos_value FROM ledger GROUP BY ALL)"
 
 
-@query("j5_lessons", f"""WITH {LESSONS}, modes AS (SELECT candidate_id AS formula, string_agg(DISTINCT regexp_replace(reason, '-?[0-9]+([.][0-9]+)?', '#', 'g'), '; ' ORDER BY regexp_replace(reason, '-?[0-9]+([.][0-9]+)?', '#', 'g')) AS modes FROM (SELECT candidate_id, unnest(string_split({reasons_sql('@')}, '@')) AS reason FROM ledger WHERE NOT passed) GROUP BY 1)
-SELECT formula, won, n_seen, research_date, oos_end, round(oos_value, 5) AS oos_value, CASE WHEN won THEN '' ELSE modes END AS modes FROM lessons LEFT JOIN modes USING (formula)""")
+@query("j5_lessons", f"""WITH {LESSONS}, modes AS (SELECT candidate_id AS formula, run_id, string_agg(DISTINCT regexp_replace(reason, '-?[0-9]+([.][0-9]+)?', '#', 'g'), '; ' ORDER BY regexp_replace(reason, '-?[0-9]+([.][0-9]+)?', '#', 'g')) AS modes FROM (SELECT candidate_id, 'run-' || (year(research_date) % 2) AS run_id, unnest(string_split({reasons_sql('@')}, '@')) AS reason FROM ledger WHERE NOT passed) GROUP BY 1, 2)
+SELECT formula, won, run_id, sha256('{{"objective":"sharpe","run_id":"' || run_id || '"}}') AS context, n_seen, research_date, oos_end, round(oos_value, 5) AS oos_value, CASE WHEN won THEN '' ELSE modes END AS modes FROM lessons LEFT JOIN modes USING (formula, run_id)""")
 def j5_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(J.lessons(ledger(spark, sf_dir)).select("formula", "won", "n_seen", "research_date", "oos_end", "oos_value", F.array_join("modes", "; ").alias("modes")), 5)
+    return rounded(J.lessons(ledger(spark, sf_dir)).select("formula", "won", "run_id", "context", "n_seen", "research_date", "oos_end", "oos_value", F.array_join("modes", "; ").alias("modes")), 5)
 
 
 @query("j6_top_losses", f"WITH {LESSONS} SELECT formula, n_seen FROM lessons WHERE NOT won ORDER BY n_seen DESC, formula LIMIT 15")
@@ -935,8 +936,8 @@ def j8_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.as_of(J.lessons(ledger(spark, sf_dir)), "1997-12-31").select("formula", "won", "n_seen")
 
 
-HISTORY = f"""{LEDGER}, states AS (SELECT candidate_id AS formula, passed AS won, oos_end AS known_from, row_number() OVER w AS n_seen, lead(oos_end) OVER w AS known_to, oos_value, research_date FROM ledger WHERE oos_end IS NOT NULL WINDOW w AS (PARTITION BY candidate_id, passed ORDER BY oos_end, research_date)),
-history AS (SELECT s.formula, s.won, s.known_from, s.known_to, s.n_seen, (SELECT arg_max_null(p.oos_value, p.research_date) FROM states p WHERE p.formula = s.formula AND p.won = s.won AND p.known_from <= s.known_from) AS oos_value FROM states s WHERE s.known_to IS DISTINCT FROM s.known_from)"""
+HISTORY = f"""{LEDGER}, states AS (SELECT candidate_id AS formula, passed AS won, oos_end AS known_from, row_number() OVER w AS n_seen, lead(oos_end) OVER w AS known_to, oos_value, research_date, year(research_date) % 2 AS run FROM ledger WHERE oos_end IS NOT NULL WINDOW w AS (PARTITION BY candidate_id, passed, year(research_date) % 2 ORDER BY oos_end, research_date)),
+history AS (SELECT s.formula, s.won, s.known_from, s.known_to, s.n_seen, (SELECT arg_max_null(p.oos_value, p.research_date) FROM states p WHERE p.formula = s.formula AND p.won = s.won AND p.run = s.run AND p.known_from <= s.known_from) AS oos_value FROM states s WHERE s.known_to IS DISTINCT FROM s.known_from)"""
 
 
 @query("j8_lesson_history", f"WITH {HISTORY} SELECT formula, won, known_from, known_to, n_seen, round(oos_value, 5) AS oos_value FROM history")
