@@ -39,7 +39,21 @@ def catalog(spark: SparkSession, rows=CATALOG) -> DataFrame:
     return df.withColumn("expression_hash", F.sha2(F.to_json(F.struct("shape", "field", "field2", "w1", "w2", "final")), 256))
 
 
-def raw_nodes(shape: str, a: str, b: str | None, w1: int, w2: int) -> tuple[Column, list[Column]]:
+class Nodes(dict):
+    """Inner nodes by name, as columns over the panel: each is computed once, whichever shapes and checks use it."""
+
+    def take(self, kind: str, *of) -> Column:
+        name = " ".join(map(str, (kind, *of)))
+        if name not in self:
+            x, y, w = F.col(of[0]), F.col(of[1]) if len(of) == 3 else None, of[-1]
+            self[name] = {
+                "mean": lambda: timeseries.ts_mean(x, w), "spread": lambda: timeseries.ts_std(x, w), "before": lambda: timeseries.delay(x, w),
+                "covariance": lambda: timeseries.ts_cov(x, y, w), "spread beside": lambda: timeseries.full(y, w, timeseries.ts_std(x, w)),
+            }[kind]()
+        return F.col(f"`{name}`")
+
+
+def raw_value(nodes: Nodes, shape: str, a: str, b: str | None, w1: int, w2: int) -> tuple[Column, list[Column]]:
     """The value of a shape, and the inner nodes that have to be finite for it: an overflow in one may not show in the value."""
     x = F.col(a)
     if shape == "raw":
@@ -47,24 +61,22 @@ def raw_nodes(shape: str, a: str, b: str | None, w1: int, w2: int) -> tuple[Colu
     if shape == "spread":
         return x - F.col(b), []
     if shape == "ratio":
-        gap = x - F.col(b)
-        return elementwise.div(gap, F.col("close")), [gap, F.col("close")]
+        return elementwise.div(x - F.col(b), F.col("close")), [x - F.col(b), F.col("close")]
     if shape == "baseline_mean":
-        mean = timeseries.ts_mean(x, w1)
+        mean = nodes.take("mean", a, w1)
         return x - mean, [mean]
     if shape == "baseline_delay":
-        return -timeseries.delta(x, w1), []
+        return nodes.take("before", a, w1) - x, []
     if shape == "mean_gap":
-        near, far = timeseries.ts_mean(x, w1), timeseries.ts_mean(x, w2)
+        near, far = nodes.take("mean", a, w1), nodes.take("mean", a, w2)
         return near - far, [near, far]
     if shape in ("deviation", "location"):
-        mean, spread = timeseries.ts_mean(x, w1), timeseries.ts_std(x, w2)
+        mean, spread = nodes.take("mean", a, w1), nodes.take("spread", a, w2)
         return (-elementwise.div(x - mean, spread) if shape == "deviation" else elementwise.div(mean, spread)), [mean, spread]
     if shape == "corr":
-        y = F.col(b)
-        both = lambda v: timeseries.full(x, w1, timeseries.full(y, w1, v))
-        frame = timeseries.frame(w1)
-        return timeseries.ts_corr(x, y, w1), [both(F.stddev_samp(v).over(frame)) for v in (x, y)] + [timeseries.ts_cov(x, y, w1)]
+        both = [nodes.take("spread beside", a, b, w1), nodes.take("spread beside", b, a, w1)]
+        covariance = nodes.take("covariance", a, b, w1)
+        return F.try_divide(covariance, both[0] * both[1]), [*both, covariance]
     raise ValueError(f"unknown shape {shape!r}")
 
 
@@ -88,17 +100,13 @@ def raw_signals(panel: DataFrame, rows=CATALOG, faults: bool = False) -> DataFra
     """
     if bad := [r[0] for r in rows if r[6] not in FINALS]:
         raise ValueError(f"unknown final operator of {bad}")
-    key, names = ["dt", "symbol"], [r[0] for r in rows]
+    key, names, nodes = ["dt", "symbol"], [r[0] for r in rows], Nodes()
+    cells = {r[0]: (*raw_value(nodes, *r[1:6]), [F.col(n) for n in r[2:4] if n]) for r in rows}
+    made = panel.withColumns(nodes) if nodes else panel
     if not faults:
-        wide = panel.select(*key, *(raw_nodes(*r[1:6])[0].alias(r[0]) for r in rows))
-        return wide.unpivot(key, names, "candidate_id", "raw")
-
-    def cell(r) -> Column:
-        value, nodes = raw_nodes(*r[1:6])
-        return F.struct(value.alias("raw"), is_fault(value, *nodes, *(F.col(n) for n in r[2:4] if n)).alias("fault"))
-
-    wide = panel.select(*key, *(cell(r).alias(r[0]) for r in rows))
-    return wide.unpivot(key, names, "candidate_id", "cell").select("candidate_id", *key, "cell.raw", "cell.fault")
+        return made.select(*key, *(value.alias(n) for n, (value, _, _) in cells.items())).unpivot(key, names, "candidate_id", "raw")
+    judged = {n: F.struct(value.alias("raw"), is_fault(value, *inner, *inputs).alias("fault")) for n, (value, inner, inputs) in cells.items()}
+    return made.select(*key, *(x.alias(n) for n, x in judged.items())).unpivot(key, names, "candidate_id", "cell").select("candidate_id", *key, "cell.raw", "cell.fault")
 
 
 def signals(panel: DataFrame, rows=CATALOG, faults: bool = False, adjust: Callable[[Column], Column] = lambda x: x) -> DataFrame:
