@@ -217,20 +217,30 @@ def s8_profiled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.profiled_names(names, ["Brand#11"], ["US", "EU"]).select("p_partkey", "name", "loadable")
 
 
+#: Orders that one task sorts and writes.
+PART_ROWS = 1_000_000
+
+
 @query("s9_discover", "SELECT DISTINCT 'Data_' || o_orderpriority[1:1] || '_' || CASE WHEN o_orderpriority < '3' THEN 'US' ELSE 'XX' END || '_D1.parquet' AS name FROM orders WHERE o_orderpriority IS NOT NULL AND (o_orderpriority[1:1] <> '5' OR o_orderpriority < '3')")
 def s9_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each priority of the orders, in a folder and one below; type 5 needs a known region."""
+    """A file for each priority of the orders, in a folder and one below; type 5 needs a known region.
+
+    A file is a folder of parts, as Spark writes it, so a task writes PART_ROWS orders or so, however many there are.
+    """
     folder = shared_dir(spark)
     kind = c("o_orderpriority").substr(1, 1)
     name = F.concat(F.lit("Data_"), kind, F.lit("_"), F.when(c("o_orderpriority") < "3", "US").otherwise("XX"), F.lit("_D1.parquet"))
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority IS NOT NULL").select(name.alias("name"), "o_orderkey")
-    orders.repartition(1, "name").write.partitionBy("name").parquet(f"{folder}/raw")
+    everything = table(spark, sf_dir, "orders")
+    tasks = max(1, -(-everything.count() // PART_ROWS))
+    orders = everything.where("o_orderpriority IS NOT NULL").select(name.alias("name"), "o_orderkey")
+    orders.repartition(tasks, "o_orderkey").write.partitionBy("name").parquet(f"{folder}/raw")
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for i, part in enumerate(sorted(spark.read.parquet(f"{folder}/raw").inputFiles())):  # a file a priority
-        place = f"{folder}/found/{'below/' * (i % 2)}"
-        files.mkdirs(path(place))
-        files.rename(path(part), path(place + part.split("name=")[1].split("/")[0]))
+    for place in ("", "below/"):
+        files.mkdirs(path(f"{folder}/found/{place}"))
+    written = sorted(n for s in files.listStatus(path(f"{folder}/raw")) if (n := s.getPath().getName()).startswith("name="))  # a folder a priority
+    for i, part in enumerate(written):
+        files.rename(path(f"{folder}/raw/{part}"), path(f"{folder}/found/{'below/' * (i % 2)}{part.removeprefix('name=')}"))
     return S.discover(spark, f"{folder}/found", ["5"], ["US"]).select("name")
 
 

@@ -74,10 +74,14 @@ def profiled_names(files: DataFrame, known_types: Sequence[str], regions: Sequen
 
 
 def discover(spark: SparkSession, folder: str, known_types: Sequence[str], regions: Sequence[str]) -> DataFrame:
-    """Loadable files in a folder and one level below; only the listing is read."""
+    """Loadable files in a folder and one level below; only the listing is read. A folder called *.parquet is one file, whatever parts it has."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select("path", "length")
-    depth = F.size(F.split(F.replace("path", F.lit(folder.rstrip("/") + "/"), F.lit("|")), "/"))
-    return profiled_names(listing.withColumn("name", F.element_at(F.split("path", "/"), -1)).where(depth <= 2), known_types, regions).where("loadable")
+    names = F.split(F.substr("path", F.lit(len(root) + 2)), "/")  # below the folder
+    depth = F.array_position(F.transform(names, lambda n: F.endswith(n, F.lit(".parquet"))), True).cast("int")
+    placed = listing.where(depth <= 2).select(F.concat(F.lit(f"{root}/"), F.array_join(F.slice(names, 1, depth), "/")).alias("path"), "length", names[depth - 1].alias("name"))
+    return profiled_names(placed.groupBy("path", "name").agg(F.sum("length").alias("length")).select("path", "length", "name"), known_types, regions).where("loadable")
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:

@@ -4,8 +4,10 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quantpanel import queries
+from quantpanel.sources import bars
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer supplier part orders lineitem events documents conversations".split()
@@ -32,5 +34,29 @@ def test_equals_sql(spark, name):
     assert got
 
 
+def test_discover_writes_orders_in_parts(spark, tmp_path, monkeypatch):
+    """No task writes more than some PART_ROWS orders, and all of them are in the files."""
+    monkeypatch.setattr(queries, "PART_ROWS", 200)
+    monkeypatch.setattr(queries, "shared_dir", lambda spark: tmp_path.as_uri())
+    assert {r.name for r in queries.QUERIES["s9_discover"](spark, SF).collect()} == {r[0] for r in duckdb.sql(queries.SQL["s9_discover"].replace("FROM orders", f"FROM '{SF}/orders.parquet'")).fetchall()}
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderpriority IS NOT NULL")
+    files = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/found")
+    in_task = files.groupBy(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("task")).count()
+    assert in_task.agg(F.max("count")).first()[0] <= 300
+    assert sorted(files.select("o_orderkey").collect()) == sorted(orders.select("o_orderkey").collect())
+
+
+def test_discover_takes_a_folder_of_parts_as_one_file(spark, tmp_path):
+    below, name = tmp_path / "below", "Data_5_US_D1.parquet"
+    for place in (tmp_path, below, below / "deeper"):
+        place.mkdir(exist_ok=True)
+        (place / f"Data_{5 + len(place.name)}_XX_D1.parquet").write_bytes(b"12")
+    spark.range(4).repartition(4).write.parquet(str(below / name))
+    for folder in (str(tmp_path), f"{tmp_path}/", tmp_path.as_uri()):
+        got = sorted((r.name, r.path, r.length > 2) for r in bars.discover(spark, folder, ["5"], ["US"]).collect())
+        first, second = f"Data_{5 + len(tmp_path.name)}_XX_D1.parquet", "Data_10_XX_D1.parquet"
+        assert got == sorted([(first, f"file:{tmp_path}/{first}", False), (second, f"file:{below}/{second}", False), (name, f"file:{below}/{name}", True)])
+
+
 def test_every_query_with_sql_is_registered():
     assert set(queries.SQL) == set(queries.QUERIES) and len(queries.QUERIES) > 150
