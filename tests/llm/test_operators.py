@@ -437,6 +437,37 @@ def test_decontamination_equals_all_windows(spark):
     assert got == expected and len(got) > 40
 
 
+def python_in_stages(df):
+    """How many Python operators each stage of the plan has, as a shuffle or broadcast ends a stage."""
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def count(node):
+        """Python operators of the node's own stage."""
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return count(node.initialPlan())
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        own = sum(map(count, below)) + name.endswith("InArrow")
+        if "Exchange" in name:
+            found.append(own)
+            return 0
+        return own
+
+    last = count(plan)
+    return sorted([*found, last])
+
+
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_decontamination_has_one_python_worker_a_task(spark, broadcast_rows):
+    item = prose(70, 30)
+    docs = spark.createDataFrame([(1, "x " + item), (2, prose(73, 50))], "doc_id long, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame([(9, item)], "item_id long, text string"), broadcast_rows)
+    # Two in one stage hold twice the workers, and executors keep those for all that follows.
+    in_stages = python_in_stages(found)
+    assert sum(in_stages) == 2 and max(in_stages) == 1
+    assert [(r.row_id, r.item_id, r.words) for r in found.collect()] == [(1, 9, 13)]
+
+
 # --- licenses ------------------------------------------------------------------------------------------------------------
 def test_license_scan(docs, empty):
     got = {r["doc_id"]: r for r in rows_of(license_scan.license_scan(docs))}
